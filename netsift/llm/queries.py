@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from netsift.llm.jaccard_join import near_duplicate_components
+from netsift.llm.language_id import identify_languages
 from netsift.llm.suffix_dedup import remove_repeats
 
 
@@ -20,5 +21,9 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op7_suffix_array_dedup)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op7_suffix_array_dedup, op8_language_id)}
 ORACLES: dict[str, str] = {}
