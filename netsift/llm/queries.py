@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netsift.llm.jaccard_join import near_duplicate_components
 from netsift.llm.language_id import identify_languages
+from netsift.llm.packing import pack_documents
 from netsift.llm.suffix_dedup import remove_repeats
 
 
@@ -25,5 +27,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op7_suffix_array_dedup, op8_language_id)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op7_suffix_array_dedup, op8_language_id, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
