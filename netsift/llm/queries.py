@@ -9,12 +9,17 @@ from netsift.llm.jaccard_join import near_duplicate_components
 from netsift.llm.language_id import identify_languages
 from netsift.llm.packing import pack_documents
 from netsift.llm.suffix_dedup import remove_repeats
+from netsift.llm.token_counts import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(_table(spark, sf_dir, "documents"))
 
@@ -31,5 +36,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op7_suffix_array_dedup, op8_language_id, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op7_suffix_array_dedup, op8_language_id, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
