@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handled in groups of about so many characters, so that memory in a Python worker is bounded.
-GROUP_CHARS = 1_500_000
+GROUP_CHARS = 600_000
 
 
 def text_groups(batch: pa.RecordBatch, text: int = 1, limit: int = GROUP_CHARS) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from netsift.llm.common import pack, runs, spans
 
 #: Tokens that a map task holds before it hands its blocks on.
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
 BLOCKS = "part int, payload binary"
 
 

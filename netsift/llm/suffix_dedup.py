@@ -33,8 +33,8 @@ from netsift.llm.common import checkpointed, joined, mix, pack, parts_for, runs,
 
 LENGTH, GRAM = 200, 64
 #: Longer texts are parsed in segments of so many bytes; strings never depend on where a segment ends.
-SEGMENT = 1_500_000
-POSITION_BITS = np.uint64(22)
+SEGMENT = 400_000
+POSITION_BITS = np.uint64(20)
 PARSE = "part int, payload binary"
 PLACES = "row long, repeated boolean, lo long, n int"
 SPANS = "row long, lo long, hi long"
@@ -120,12 +120,12 @@ def _parse_blocks(length: int, gram: int, parts: int):
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
-            for group in text_groups(batch):
+            for group in text_groups(batch, limit=SEGMENT):
                 row = np.array(group.column(0).to_pylist(), np.int64)
                 for text, lo, count, trigger, phrase in parse(_encoded(group.column(1)), length, gram):
                     held.append((row[text], lo.astype(np.uint32), count.astype(np.uint16), trigger, phrase))
                     size += len(lo)
-                if size > 500_000:
+                if size > 200_000:
                     yield from _dealt(held, 3, parts)
                     held, size = [], 0
         yield from _dealt(held, 3, parts)
@@ -133,16 +133,21 @@ def _parse_blocks(length: int, gram: int, parts: int):
     return run
 
 
-def _dealt(held: list[tuple[np.ndarray, ...]], by: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """One packed block for each part; a hash, the array at `by`, names the part."""
+def _dealt(held: list[tuple[np.ndarray, ...]], by: int, parts: int, by_row: bool = False) -> Iterator[pa.RecordBatch]:
+    """One packed block for each part; a hash, the array at `by`, names the part. by_row: a row's number stands once."""
     if not held:
         return
     arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
-    part = (((arrays[by] >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int32)
+    # a trigger is the least hash of many, so that its upper bits are small until they are mixed again
+    part = (((mix(arrays[by]) >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     arrays, part = [a[order] for a in arrays], part[order]
     for s, n in zip(*runs(part), strict=True):
-        block = pack(*(a[s : s + n] for a in arrays))
+        mine = [a[s : s + n] for a in arrays]
+        if by_row:
+            first, count = runs(mine[0])
+            mine[:1] = [mine[0][first], count.astype(np.uint32)]
+        block = pack(*mine)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part[s]], pa.int32()), "payload": pa.array([block], pa.binary())})
 
 
@@ -174,7 +179,7 @@ def _suffix_blocks(length: int, parts: int):
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
-            for group in text_groups(batch):
+            for group in text_groups(batch, limit=SEGMENT):
                 texts, cut, rows, places, counts = _encoded(group.column(1)), [], [], [], []
                 total = 0
                 for row, text, phrases in zip(group.column(0).to_pylist(), texts, group.column(2).to_pylist(), strict=True):
@@ -192,10 +197,10 @@ def _suffix_blocks(length: int, parts: int):
                 if cut:
                     held.append(_fingerprints(cut, rows, places, counts, length))
                     size += len(held[-1][0])
-                if size > 1_000_000:
-                    yield from _dealt(held, 2, parts)
+                if size > 400_000:
+                    yield from _dealt(held, 2, parts, by_row=True)
                     held, size = [], 0
-        yield from _dealt(held, 2, parts)
+        yield from _dealt(held, 2, parts, by_row=True)
 
     return run
 
@@ -211,7 +216,8 @@ def _fingerprints(cut: list[bytes], rows: list[int], places: list[int], counts:
 
 def _equal_suffixes(back: int):
     def apply(table: pa.Table) -> pa.Table:
-        row, place, suffix = joined(table.column("payload").to_pylist())
+        row, count, place, suffix = joined(table.column("payload").to_pylist())
+        row = np.repeat(row, count)
         order = np.argsort(suffix, kind="stable")
         _, n = runs(suffix[order])
         found = order[np.repeat(n, n) >= 2]
@@ -246,7 +252,7 @@ def _suffix_spans(length: int):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for group in text_groups(batch):
+        for group in text_groups(batch, limit=SEGMENT):
             sizes, removed, count, digests, kept = [], [], [], [], []
             for text, found in zip(_encoded(group.column(1)), group.column(2).to_pylist(), strict=True):
                 end, gone, n, rest = 0, 0, 0, []
@@ -269,12 +275,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """row, lo, hi of the spans of repeated strings; rows has row and text."""
+    """row, lo, hi of the spans of repeated strings; rows has row, text and what is carried.
+
+    All columns go through the join with open phrases, so that its exchange of texts is the one that a later join
+    of the same rows uses again.
+    """
     parts = parts_for(rows, "text")
-    blocks = rows.mapInArrow(_parse_blocks(length, gram, parts), PARSE)
+    blocks = rows.select("row", "text").mapInArrow(_parse_blocks(length, gram, parts), PARSE)
     places = checkpointed(blocks.groupBy("part").applyInArrow(_sorted_places, PLACES))
     opened = places.where("not repeated").groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("phrases"))
-    suffixes = rows.join(opened, "row").select("row", "text", "phrases").mapInArrow(_suffix_blocks(length, parts), PARSE)
+    suffixes = rows.join(opened, "row").select("row", "text", "phrases", "carried").mapInArrow(_suffix_blocks(length, parts), PARSE)
     equal = suffixes.groupBy("part").applyInArrow(_equal_suffixes(parts), PARSE)
     spans_of = equal.groupBy("part").applyInArrow(_suffix_spans(length), SPANS)
     whole = places.where("repeated").select("row", "lo", (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("hi"))
@@ -288,7 +298,7 @@ def remove_repeats(documents: DataFrame, *, text: str = "text", carry: tuple[str
     """
     row = F.xxhash64(F.col(doc_id), F.col(text))
     rows = documents.select(row.alias("row"), F.col(text).alias("text"), F.struct(*[F.col(c) for c in carry]).alias("carried"))
-    found = repeated_spans(rows.select("row", "text"), length, gram)
+    found = repeated_spans(rows, length, gram)
     found = found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     cut = rows.join(found, "row", "left").select("carried", "text", "found")
     kind = rows.schema["carried"].dataType.simpleString()
