@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from netsift.llm.decontamination import benchmark_matches
 from netsift.llm.jaccard_join import near_duplicate_components
 from netsift.llm.language_id import identify_languages
 from netsift.llm.packing import pack_documents
@@ -24,6 +25,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -36,5 +41,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op7_suffix_array_dedup, op8_language_id, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_benchmark_decontamination, op7_suffix_array_dedup, op8_language_id, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
