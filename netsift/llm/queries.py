@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from netsift.llm.decontamination import benchmark_matches
 from netsift.llm.jaccard_join import near_duplicate_components
 from netsift.llm.language_id import identify_languages
+from netsift.llm.licenses import ORACLE as LICENSES_SQL
+from netsift.llm.licenses import scan_licenses
 from netsift.llm.packing import pack_documents
 from netsift.llm.suffix_dedup import remove_repeats
 from netsift.llm.token_counts import count_tokens
@@ -29,6 +31,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -41,5 +47,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_benchmark_decontamination, op7_suffix_array_dedup, op8_language_id, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_license_scans, op7_suffix_array_dedup, op8_language_id, op10_best_fit_packing)}
+ORACLES: dict[str, str] = {"op4_license_scans": LICENSES_SQL}
