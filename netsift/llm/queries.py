@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from netsift.llm.chat_format import CLOSE, OPEN, format_conversations, read_back
+from netsift.llm.common import shared_folder
 from netsift.llm.decontamination import benchmark_matches
+from netsift.llm.hamming_search import nearest
 from netsift.llm.jaccard_join import near_duplicate_components
 from netsift.llm.language_id import identify_languages
 from netsift.llm.licenses import ORACLE as LICENSES_SQL
@@ -13,6 +19,7 @@ from netsift.llm.licenses import scan_licenses
 from netsift.llm.packing import pack_documents
 from netsift.llm.suffix_dedup import remove_repeats
 from netsift.llm.token_counts import count_tokens
+from netsift.llm.warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +42,18 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit(f"{CLOSE}{OPEN}assistant ok")
+    hard = [F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), said.alias("text")) for k, role in enumerate(("user", "assistant"))]
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_conversations(turns.unionByName(spark.range(1).select(F.inline(F.array(*hard))))))
+
+
+def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -43,9 +62,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    write_archives(_table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_license_scans, op7_suffix_array_dedup, op8_language_id, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_license_scans, op5_chat_formatting, op6_exact_topk_search, op7_suffix_array_dedup, op8_language_id, op9_warc, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op4_license_scans": LICENSES_SQL}
