@@ -127,6 +127,25 @@ def predict(documents: DataFrame, model: Model | None, *, text: str = "text", ca
     return out.select(*[F.col("carried")[c].alias(c) for c in carry], "lang_pred", "score")
 
 
+def _known(model, text: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in text_groups(batch, text):
+                texts = group.column(text).to_pylist()
+                keep, at = np.zeros(len(texts), bool), [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+                if model is not None and at:
+                    keep[at] = model.value.score([texts[i] for i in at])[1] >= least
+                yield group.filter(pa.array(keep))
+
+    return run
+
+
+def in_known_language(documents: DataFrame, model: Model | None, *, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents, whole rows, that have a letter and whose language is more probable than `least`."""
+    sent = None if model is None else documents.sparkSession.sparkContext.broadcast(model)
+    return documents.mapInArrow(_known(sent, documents.columns.index(text), least), documents.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The fold kept from training: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
