@@ -10,8 +10,8 @@ are computed, and afterwards only pairs from different components are left to ve
 2. Every shingle meets its like in one packed shuffle (`repeats`). A class keeps the shingles that another class
    has too. One with fewer than 75 % of these has no partner.
 3. What is left is ordered by rarity; the first shingles, as many as the prefix bound asks for, form the index.
-4. First pass: in each index list the smallest class leads; a class is verified against the leader that most of
-   its lists name. Second pass: index entries whose list still holds several components give pairs of classes
+4. First pass: in each index list the weightiest class leads, the one whose shingles most classes share; a class is
+   verified against the weightiest of its leaders. Second pass: index entries whose list still holds several components give pairs of classes
    of different components, in blocks of bounded size, and these are verified.
 5. Links between classes give components, and every document gets the smallest doc_id of its component.
 
@@ -112,7 +112,7 @@ def least_overlap(n, numerator: int, denominator: int):
     return -(-n * numerator // denominator)
 
 
-CLASSES = "class long, n long, prefix int, tokens array<long>"
+CLASSES = "class long, n long, prefix int, weight double, tokens array<long>"
 
 
 def _candidates(numerator: int, denominator: int):
@@ -129,6 +129,7 @@ def _candidates(numerator: int, denominator: int):
         owner = np.repeat(who, counts)
         keep = good[owner]
         owner, token, df = owner[keep], token[keep], df[keep]
+        weight = np.bincount(owner, df, len(names))[good]
         order = np.lexsort((token, df, owner))
         token, have, n, need = token[order], have[good], n[good], need[good]
         # shingles of one class only come first in rarity and use up the prefix
@@ -136,6 +137,7 @@ def _candidates(numerator: int, denominator: int):
         offsets = np.append(0, np.cumsum(have)).astype(np.int32)
         return pa.table({
             "class": pa.array(names[good].view(np.int64)), "n": pa.array(n), "prefix": pa.array(prefix.astype(np.int32)),
+            "weight": pa.array((weight + n - have) / n),
             "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(token.view(np.int64))),
         })
 
@@ -151,7 +153,7 @@ def candidate_classes(docs: DataFrame, words: int, numerator: int, denominator:
 def _entries(classes: DataFrame) -> DataFrame:
     """The index: one row for each class and shingle of its prefix, with its position among the shared ones."""
     prefix = F.slice("tokens", 1, F.col("prefix"))
-    return classes.where("prefix > 0").select("class", "n", F.size("tokens").alias("m"), F.posexplode(prefix).alias("k", "token"))
+    return classes.where("prefix > 0").select("class", "n", "weight", F.size("tokens").alias("m"), F.posexplode(prefix).alias("k", "token"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -167,13 +169,16 @@ def _least(numerator: int, denominator: int, n_a, n_b):
 
 
 def star_links(entries: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """First pass: every class against the one leader that most of its index lists name."""
-    lists = entries.groupBy("token").agg(F.count("*").alias("length"), F.min_by(F.struct("class", "n"), "class").alias("lead"))
-    named = entries.join(lists.where("length > 1"), "token").where(F.col("class") > F.col("lead.class"))
+    """First pass: every class against the weightiest of the classes that lead its index lists.
+
+    The weight of a class is the mean number of classes that have its shingles. In a group of near copies the text
+    that they were made from has the largest, as every change brings rarer shingles.
+    """
+    lists = entries.groupBy("token").agg(F.count("*").alias("length"), F.max(F.struct("weight", "class", "n")).alias("lead"))
+    named = entries.join(lists.where("length > 1"), "token").where(F.struct("weight", "class") < F.struct("lead.weight", "lead.class"))
     named = named.where(_least(numerator, denominator, F.col("n"), F.col("lead.n")))
-    votes = named.groupBy("class", F.col("lead.class").alias("leader")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("class").agg(F.max(F.struct("votes", "leader")).alias("best"))
-    return _verified(best.select(F.col("class").alias("a"), F.col("best.leader").alias("b")), classes, numerator, denominator)
+    best = named.groupBy(F.col("class").alias("a")).agg(F.max("lead").alias("lead"))
+    return _verified(best.select("a", F.col("lead.class").alias("b")), classes, numerator, denominator)
 
 
 def cross_pairs(entries: DataFrame, component: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -181,16 +186,24 @@ def cross_pairs(entries: DataFrame, component: DataFrame, numerator: int, denomi
 
     Lists that one component fills are skipped, and within a list only components meet, then their members.
     """
-    entries = entries.join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    # a set needs its whole prefix only against smaller partners; as the smaller one its first positions suffice
+    position = F.col("n") - F.col("m") + F.col("k")
+    short = (F.col("n") - position) * (numerator + denominator) >= 2 * numerator * F.col("n")
+    entries = entries.join(component, "class", "left").withColumn("component", F.coalesce("component", "class")).withColumn("short", short)
+    mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("short").alias("short"))
+    mixed = mixed.where("low < high and short")
     left = checkpointed(entries.join(mixed.select("token"), "token"))
-    parts = left.select("token", "component").distinct()
-    meet = parts.withColumnRenamed("component", "c_a").join(parts.withColumnRenamed("component", "c_b"), "token").where("c_a < c_b")
-    side = lambda x: left.select("token", F.col("component").alias(f"c_{x}"), F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "m", "k")])
-    pairs = meet.join(side("a"), ["token", "c_a"]).join(side("b"), ["token", "c_b"])
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    reach = F.least("k_a", "k_b") + F.least(F.expr("m_a - k_a"), F.expr("m_b - k_b"))
-    near = _least(numerator, denominator, n_a, n_b) & (reach * (numerator + denominator) >= numerator * (n_a + n_b))
+    # as the larger set, an entry has partners of at most `cap` shingles: the first that two sets share leaves no
+    # more than what follows it; components meet, then their members, only as far as these bounds allow
+    total, n_a, n_b = numerator + denominator, F.col("n_a"), F.col("n_b")
+    left = left.withColumn("cap", F.least("n", F.floor((F.col("m") - F.col("k")) * total / numerator) - F.col("n")))
+    parts_a = left.where("short").groupBy("token", F.col("component").alias("c_a")).agg(F.min("n").alias("low"))
+    parts_b = left.groupBy("token", F.col("component").alias("c_b")).agg(F.max("cap").alias("high"))
+    meet = parts_a.join(parts_b, "token").where("c_a <> c_b and low <= high")
+    b = left.select("token", F.col("component").alias("c_b"), F.col("class").alias("b"), F.col("n").alias("n_b"), "cap")
+    a = left.where("short").select("token", F.col("component").alias("c_a"), F.col("class").alias("a"), F.col("n").alias("n_a"))
+    pairs = meet.join(b, ["token", "c_b"]).where("low <= cap").join(a, ["token", "c_a"]).where("n_a <= cap")
+    near = _least(numerator, denominator, n_a, n_b)
     return pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
