@@ -13,6 +13,8 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,71 +23,100 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import text_groups
+from netsift.llm.common import spans, text_groups
 
 LENGTH, END = 2048, 0
 OPEN_BINS = 256
 PER_TASK = 100_000
-#: Distinct chunks between blanks whose ids a Python worker remembers.
-CHUNK_CACHE = 300_000
+#: Distinct words whose ids a Python worker remembers, but for those of one batch.
+WORD_CACHE = 400_000
+WORD_END = "</w>"
+# fixed values: how the tokenizer splits lower-cased text, for the characters that OTHER leaves
+WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
+OTHER = re.compile(r"[^\n -;=-~À-ÖØ-öø-ÿ]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
 
-class ChunkIds:
-    """Token ids of texts, by the ids of the chunks between blanks.
+class _Numbered(dict):
+    """Words by number in the order they come; `new` are those without ids so far."""
 
-    The tokenizer drops white space and never joins across it, so that a text's ids are those of its chunks end to
-    end. Chunks recur, and each is given to the tokenizer once.
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class WordIds:
+    """Token ids of texts, by the ids of the words that the tokenizer splits them into.
+
+    The tokenizer works word by word, and the last token of a word, and no other, ends in the word-end mark.
+    Words recur, and each is given to the tokenizer once, many in one text. Texts with characters outside ASCII and
+    the Latin-1 letters, or with a `<`, which may begin a special token, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.known.clear()
-        self.ids: list[np.ndarray] = []
-
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if len(self.ids) > 1:
-            sizes = np.concatenate([x[0] for x in self.ids])
-            self.ids = [(sizes, np.concatenate([x[1] for x in self.ids]))]
-        sizes, flat = self.ids[0]
-        return np.cumsum(sizes) - sizes, sizes, flat
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.known = _Numbered()
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        words, self.known.new = self.known.new, []
+        sizes, ids_of = [self.sizes], [self.flat]
+        joined = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for some, ids in zip(joined, self._ids([" ".join(x) for x in joined]), strict=True):
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(some):
+                sizes.append(np.diff(last, prepend=-1))
+                ids_of.append(ids)
+            else:
+                each = self._ids(some)
+                sizes.append(np.array([len(x) for x in each], np.int64))
+                ids_of += each
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(ids_of)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        from netsift.llm.common import spans
-
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({c for part in chunks for c in part}.difference(self.known))
-        if len(self.known) + len(fresh) > CHUNK_CACHE:
-            self.clear()
-            fresh = list({c for part in chunks for c in part})
-        if fresh:
-            start = len(self.known)
-            self.known.update(zip(fresh, range(start, start + len(fresh)), strict=True))
-            found = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids.append((sizes, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))))
-        begin, sizes, flat = self.table()
-        get, out = self.known.__getitem__, []
-        for part in chunks:
-            at = np.fromiter(map(get, part), np.int64, len(part))
-            out.append(flat[spans(begin[at], sizes[at])])
-        return out
+        if len(self.known) > WORD_CACHE:
+            self.known.clear()
+            self.sizes, self.flat = self.sizes[:0], self.flat[:0]
+        get, places, whole = self.known.__getitem__, {}, []
+        for i, t in enumerate(texts):
+            if OTHER.search(t):
+                whole.append(i)
+            else:
+                part = WORD.findall(t.lower())
+                places[i] = np.fromiter(map(get, part), np.int64, len(part))
+        if self.known.new:
+            self._learn()
+        begin = np.cumsum(self.sizes) - self.sizes
+        direct = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True)) if whole else {}
+        return [direct[i] if i in direct else self.flat[spans(begin[places[i]], self.sizes[places[i]])] for i in range(len(texts))]
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One memory of words for all tasks of a Python worker."""
+    return WordIds(path)
 
 
 def _pieces(path: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkIds(path)
+        words = word_ids(path)
         for batch in batches:
             for group in text_groups(batch, limit=500_000):
                 out = []
-                ids_of = chunks.encode([t or "" for t in group.column(1).to_pylist()])
+                ids_of = words.encode([t or "" for t in group.column(1).to_pylist()])
                 for doc, ids in zip(group.column(0).to_pylist(), ids_of, strict=True):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), length)):
