@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 #: Nodes of an ensemble that may be broadcast.
 MOST_NODES = 5_000_000
@@ -46,7 +47,7 @@ def tree_margins(rows: DataFrame, features: str, nodes: DataFrame, classes: int)
                 margins[:, c] += t["value"][at]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(margins))], names=[*batch.schema.names, "margins"])
 
-    return rows.mapInArrow(run, rows.schema.add("margins", "array<double>"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("margins", ArrayType(DoubleType()))]))
 
 
 def predicted(margins: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ rows_ AS (SELECT *, flow_id - 1 AS flow_index, CAST(flow_duration AS DOUBLE) AS
   CAST(forward_packets AS DOUBLE) AS x3, CAST(syn_count AS DOUBLE) AS x4, CAST(forward_bytes AS DOUBLE) AS x5 FROM flows),
 margins AS (SELECT *, {_TOP} AS top FROM (SELECT *, {_MARGINS} FROM rows_)),
 chosen AS (SELECT *, {_CLASS_ID} AS class_id, {_SUM} AS total_exp FROM margins),
-scored AS (SELECT *, {_NAME} AS predicted_class, 1.0 / total_exp AS confidence, class_id <> 1 AS is_threat, {_BASE} AS base_value FROM chosen),
+scored AS (SELECT *, {_NAME} AS predicted_class, 1.0 / total_exp AS confidence, class_id <> 1 AS is_threat, CAST({_BASE} AS DOUBLE) AS base_value FROM chosen),
 parts AS ({' UNION ALL '.join(f"SELECT case_id, flow_index, predicted_class, confidence, base_value, top, {f} AS feature_id, '{STAND_IN[f][0]}' AS feature, x{f} AS raw_value, ({_weight(f)}) * ((x{f} - {STAND_IN[f][1]}) / {STAND_IN[f][2]}) AS shap_value FROM scored" for f in range(6))}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id, flow_index ORDER BY round(abs(shap_value), 9) DESC, feature_id) AS rank,
   CASE WHEN round(shap_value, 9) > 0 THEN 'supports_prediction' WHEN round(shap_value, 9) < 0 THEN 'opposes_prediction' ELSE 'neutral' END AS direction FROM parts),
@@ -124,7 +124,7 @@ _query("traffic_totals", "SELECT case_id, count(*) AS total_packets, CAST(sum(pa
 _query("protocol_counts", "SELECT case_id, protocol, count(*) AS packets FROM packets GROUP BY 1, 2")(lambda s, d: traffic.protocol_counts(packets(s, d)))
 _query("protocol_text", "SELECT case_id, string_agg(protocol || ': ' || format('{:,}', n), ', ' ORDER BY protocol) AS protocol_text FROM (SELECT case_id, protocol, count(*) AS n FROM packets GROUP BY 1, 2) GROUP BY 1")(lambda s, d: traffic.protocol_text(packets(s, d)))
 for _side in ("source", "destination"):
-    _query(f"top_{_side}_ips", f"SELECT case_id, ip, packets, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY packets DESC, f) AS rank FROM (SELECT case_id, {_side}_ip AS ip, count(*) AS packets, min(packet_number) AS f FROM packets GROUP BY 1, 2)) WHERE rank <= 5")(
+    _query(f"top_{_side}_ips", f"SELECT case_id, ip, packets, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY packets DESC, f) AS INTEGER) AS rank FROM (SELECT case_id, {_side}_ip AS ip, count(*) AS packets, min(packet_number) AS f FROM packets GROUP BY 1, 2)) WHERE rank <= 5")(
         lambda s, d, c=f"{_side}_ip": traffic.top_ips(packets(s, d), c)
     )
 
@@ -215,12 +215,12 @@ _query("class_probabilities", " UNION ALL ".join(f"SELECT case_id, flow_index, '
     lambda s, d: _scored(s, d).select("case_id", "flow_index", F.explode("probabilities").alias("class_name", "p")).select("case_id", "flow_index", "class_name", F.round("p", 9).alias("probability"))
 )
 _query("case_summary", "SELECT * FROM summaries")(lambda s, d: scoring.case_summary(_scored(s, d)))
-_query("class_counts", "SELECT case_id, predicted_class, flows, row_number() OVER (PARTITION BY case_id ORDER BY flows DESC, predicted_class) AS position FROM (SELECT case_id, predicted_class, count(*) AS flows FROM scored GROUP BY 1, 2)")(lambda s, d: cases.counts_by_size(scoring.class_counts(_scored(s, d))))
+_query("class_counts", "SELECT case_id, predicted_class, flows, CAST(row_number() OVER (PARTITION BY case_id ORDER BY flows DESC, predicted_class) AS INTEGER) AS position FROM (SELECT case_id, predicted_class, count(*) AS flows FROM scored GROUP BY 1, 2)")(lambda s, d: cases.counts_by_size(scoring.class_counts(_scored(s, d))))
 _TOPSQL = "SELECT case_id, flow_index, rank, feature, round(raw_value, 6) AS raw_value, round(shap_value, 9) + 0.0 AS shap_value, direction, base_value FROM ranked WHERE rank <= {n}"
 for _name, _n in (("top_contributors", 10), ("printed_contributors", 5)):
     _query(_name, _TOPSQL.format(n=_n))(lambda s, d, n=_n: scoring.top_contributors(_contributed(s, d), n).select("case_id", "flow_index", "rank", "feature", F.round("raw_value", 6).alias("raw_value"), F.round("shap_value", 9).alias("shap_value"), "direction", "base_value"))
 _query("additivity", "SELECT case_id, flow_index, abs(any_value(base_value) + sum(shap_value) - any_value(top)) < 1e-4 AS adds_up FROM parts GROUP BY 1, 2")(lambda s, d: scoring.additivity(_contributed(s, d)))
-_query("global_importance", "SELECT predicted_class, feature, round(mean_abs_shap, 6) AS mean_abs_shap, round(mean_signed_shap, 6) AS mean_signed_shap, rank FROM (SELECT *, row_number() OVER (PARTITION BY predicted_class ORDER BY round(mean_abs_shap, 6) DESC, feature_id) AS rank FROM (SELECT predicted_class, feature_id, feature, avg(abs(shap_value)) AS mean_abs_shap, avg(shap_value) AS mean_signed_shap FROM parts GROUP BY 1, 2, 3)) WHERE rank <= 12")(
+_query("global_importance", "SELECT predicted_class, feature, round(mean_abs_shap, 6) AS mean_abs_shap, round(mean_signed_shap, 6) AS mean_signed_shap, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY predicted_class ORDER BY round(mean_abs_shap, 6) DESC, feature_id) AS INTEGER) AS rank FROM (SELECT predicted_class, feature_id, feature, avg(abs(shap_value)) AS mean_abs_shap, avg(shap_value) AS mean_signed_shap FROM parts GROUP BY 1, 2, 3)) WHERE rank <= 12")(
     lambda s, d: scoring.global_importance(_contributed(s, d)).select("predicted_class", "feature", F.round("mean_abs_shap", 6).alias("mean_abs_shap"), F.round("mean_signed_shap", 6).alias("mean_signed_shap"), "rank")
 )
 _query("importance_sample")(lambda s, d: scoring.stratified_sample(_scored(s, d), 500).select("case_id", "flow_index", "predicted_class"))
@@ -242,12 +242,12 @@ _query("upserted_reviews", "SELECT case_id, flow_index, decision, notes, event_i
 _query("reviews_of_findings", "SELECT case_id, flow_index, decision, predicted_class FROM reviews")(lambda s, d: _reviews(s, d).select("case_id", "flow_index", "decision", "predicted_class"))
 _query("reviews_without_finding", "SELECT case_id, flow_index, decision FROM newest n WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.case_id = n.case_id AND s.flow_index = n.flow_index)")(lambda s, d: cases.reviews_without_finding(cases.upsert(_good_log(s, d)), _scored(s, d)).select("case_id", "flow_index", "decision"))
 _T = "case_id, flow_index, predicted_class, priority, priority_rank, source, destination, review"
-_query("triage_rows", f"SELECT {_T}, row_number() OVER (PARTITION BY case_id ORDER BY review <> 'Unreviewed', round(confidence, 9) DESC, flow_index) AS position FROM triage")(lambda s, d: cases.triage_order(_triage(s, d)).drop("confidence"))
+_query("triage_rows", f"SELECT {_T}, CAST(row_number() OVER (PARTITION BY case_id ORDER BY review <> 'Unreviewed', round(confidence, 9) DESC, flow_index) AS INTEGER) AS position FROM triage")(lambda s, d: cases.triage_order(_triage(s, d)).drop("confidence"))
 _query("triage_search", f"SELECT {_T} FROM triage WHERE lower(predicted_class) LIKE '%over%' OR source LIKE '%over%' OR destination LIKE '%over%'")(lambda s, d: cases.search(_triage(s, d), " OVER ").drop("confidence"))
 _query("triage_facets", f"SELECT {_T} FROM triage WHERE review = 'Unreviewed' AND priority = 'Low'")(lambda s, d: cases.facets(_triage(s, d), review="unreviewed", predicted_class="All Classes", priority="low").drop("confidence"))
 _query("facet_classes", "SELECT DISTINCT case_id, predicted_class FROM triage")(lambda s, d: cases.class_values(_triage(s, d)))
 _query("next_unreviewed", "SELECT case_id, flow_index, predicted_class FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(confidence, 9) DESC, flow_index) AS n FROM triage WHERE review = 'Unreviewed') WHERE n = 1")(lambda s, d: cases.next_unreviewed(_triage(s, d)).select("case_id", "flow_index", "predicted_class"))
-_query("class_distribution", "SELECT case_id, predicted_class, flows, round_even(flows * 100.0 / sum(flows) OVER (PARTITION BY case_id), 4) AS percent, row_number() OVER (PARTITION BY case_id ORDER BY predicted_class <> 'Benign', flows DESC, lower(predicted_class)) AS position FROM (SELECT case_id, predicted_class, count(*) AS flows FROM scored GROUP BY 1, 2)")(lambda s, d: cases.class_distribution(_scored(s, d)))
+_query("class_distribution", "SELECT case_id, predicted_class, flows, round_even(flows * 100.0 / sum(flows) OVER (PARTITION BY case_id), 4) AS percent, CAST(row_number() OVER (PARTITION BY case_id ORDER BY predicted_class <> 'Benign', flows DESC, lower(predicted_class)) AS INTEGER) AS position FROM (SELECT case_id, predicted_class, count(*) AS flows FROM scored GROUP BY 1, 2)")(lambda s, d: cases.class_distribution(_scored(s, d)))
 _query("summary_agrees", "SELECT case_id, TRUE AS consistent FROM summaries")(lambda s, d: cases.summary_agrees(scoring.case_summary(_scored(s, d)), _scored(s, d)))
 _query("review_summary", "SELECT * FROM review_sums")(lambda s, d: cases.review_summary(_reviews(s, d)))
 _query("triage_counts", "SELECT *, threats - reviewed AS unreviewed, CASE WHEN threats > 0 THEN round_even(reviewed * 100.0 / threats, 4) ELSE 0.0 END AS completion FROM (SELECT case_id, count(*) AS threats, count(*) FILTER (review = 'Confirmed') AS confirmed, count(*) FILTER (review = 'Rejected') AS rejected, count(*) FILTER (review = 'Inconclusive') AS inconclusive, count(*) FILTER (review <> 'Unreviewed') AS reviewed FROM triage GROUP BY 1)")(lambda s, d: cases.triage_counts(_triage(s, d)))
