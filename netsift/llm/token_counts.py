@@ -106,7 +106,7 @@ def merge_counts(units: list[str], pieces: Pieces) -> np.ndarray:
     unit = np.repeat(np.arange(len(units), dtype=np.int32), size)
     known = np.where(points < len(pieces.char), pieces.char[np.minimum(points, len(pieces.char) - 1)], -1)
     width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    total = np.bincount(unit[known < 0], width[known < 0], len(units))
+    total = np.bincount(unit[known < 0], width[known < 0], len(units)).astype(np.float64)
     cost = np.where(known < 0, 0, pieces.bytes[known])
     # a boundary where the unit changes, at an unknown character, and where no piece holds both characters
     cut = np.ones(len(points), bool)
