@@ -159,6 +159,34 @@ def test_trees(spark):
     assert got == {1: ([2.0, 0.5], 0), 2: ([-1.0, 0.5], 1)}
 
 
+def test_tree_contributions(spark):
+    """Against the sum over all coalitions, and additive."""
+    from itertools import combinations
+    from math import factorial
+
+    table = [(0, 0, 0, 0, 1.0, 1, 2, 0.0, 10.0), (0, 1, 0, 1, 0.0, 3, 4, 0.0, 6.0), (0, 2, 0, 0, 3.0, 5, 6, 0.0, 4.0), (0, 3, 0, -1, 0.0, 0, 0, 2.0, 2.0), (0, 4, 0, -1, 0.0, 0, 0, -1.0, 4.0), (0, 5, 0, 2, 5.0, 7, 8, 0.0, 3.0), (0, 6, 0, -1, 0.0, 0, 0, 4.0, 1.0), (0, 7, 0, -1, 0.0, 0, 0, 1.0, 1.0), (0, 8, 0, -1, 0.0, 0, 0, 7.0, 2.0)]
+    nodes = spark.createDataFrame(table, "tree int, node int, class_id int, feature int, threshold double, left int, right int, value double, cover double")
+    at = {r[1]: r for r in table}
+
+    def expected(x, known, n=0):
+        _, _, _, f, threshold, left, right, value, cover = at[n]
+        if f < 0:
+            return value
+        if f in known:
+            return expected(x, known, left if x[f] < threshold else right)
+        return sum(at[k][8] / cover * expected(x, known, k) for k in (left, right))
+
+    xs = [[0.0, -1.0, 9.0], [2.0, 1.0, 1.0], [5.0, 0.0, 5.0], [1.0, 0.0, 6.0]]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "k int, x array<double>")
+    margins = {r.k: r.margins[0] for r in trees.tree_margins(rows, "x", nodes, 1).collect()}
+    for r in trees.tree_contributions(rows, "x", nodes, 1).collect():
+        assert r.base_values[0] == pytest.approx(expected(r.x, ())) and r.base_values[0] + sum(r.contributions[0]) == pytest.approx(margins[r.k])
+        for f in range(3):
+            others = [g for g in range(3) if g != f]
+            value = sum(factorial(len(s)) * factorial(2 - len(s)) / 6 * (expected(r.x, (*s, f)) - expected(r.x, s)) for n in range(3) for s in combinations(others, n))
+            assert r.contributions[0][f] == pytest.approx(value)
+
+
 def test_streams_equal_batches(spark, tmp_path):
     packets(spark, SF).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(packets(spark, SF).schema).parquet(str(tmp_path / "in"))
