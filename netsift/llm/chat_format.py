@@ -155,7 +155,7 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_turns(turns: DataFrame, order: tuple[str, ...] = ("turn", "part"), *, conversation: str = "conv_id") -> DataFrame:
     """conversation, its order columns, formatted, loss_start and loss_stop: one row per turn, the mask in code points.
 
-    The turn's role and text are carried in the order, so that equal numbers have a fixed one.
+    `read_back` puts turns of equal numbers in the order of their formatted text, which is by role, then text.
     """
     carried = F.struct(F.col(conversation).alias("conversation"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     rows = turns.select(carried.alias("carried"), "role", "text")

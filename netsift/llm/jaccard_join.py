@@ -11,8 +11,8 @@ are computed, and afterwards only pairs from different components are left to ve
    has too. One with fewer than 75 % of these has no partner.
 3. What is left is ordered by rarity; the first shingles, as many as the prefix bound asks for, form the index.
 4. First pass: in each index list the weightiest class leads, the one whose shingles most classes share; a class is
-   verified against the weightiest of its leaders. Second pass: index entries whose list still holds several components give pairs of classes
-   of different components, in blocks of bounded size, and these are verified.
+   verified against the weightiest of its leaders. Second pass: lists that still hold several components give pairs
+   of these, then of their members, as far as bounds on size and position allow, and the pairs are verified.
 5. Links between classes give components, and every document gets the smallest doc_id of its component.
 
 Shingles are compared by 64-bit fingerprints, classes by a 64-bit fingerprint of the sorted set and its size.
