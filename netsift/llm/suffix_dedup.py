@@ -14,6 +14,10 @@ as far as their first `length` bytes, follows from the dictionary alone, and the
    64-bit fingerprint of their first `length` bytes; neighbours in that order that agree are repeated strings.
 3. The spans of both steps go back to their documents and are cut out.
 
+Before either exchange a map task settles what repeats among the places it holds: all but one place of such a string
+go ahead as repeated, and the one that stands for them says so. A passage that a third of the documents share thus
+sends one place for each flush, not for each document, to the part of its trigger or fingerprint.
+
 A span is decided on the input, so the first copy goes as well. Strings never cross documents. Null text counts
 as empty: zero bytes, nothing removed. Texts shorter than `length` stay. Rows with the same doc_id and text
 are two places. Other columns are ignored, or carried along under their own names by `carry`.
@@ -126,18 +130,34 @@ def _parse_blocks(length: int, gram: int, parts: int):
                     held.append((row[text], lo.astype(np.uint32), count.astype(np.uint16), trigger, phrase))
                     size += len(lo)
                 if size > 200_000:
-                    yield from _dealt(held, 3, parts)
+                    yield from _dealt(held, 4, 3, parts)
                     held, size = [], 0
-        yield from _dealt(held, 3, parts)
+        yield from _dealt(held, 4, 3, parts)
 
     return run
 
 
-def _dealt(held: list[tuple[np.ndarray, ...]], by: int, parts: int, by_row: bool = False) -> Iterator[pa.RecordBatch]:
-    """One packed block for each part; a hash, the array at `by`, names the part. by_row: a row's number stands once."""
+def _block(part: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "payload": pa.array([pack(*arrays)], pa.binary())})
+
+
+def _dealt(held: list[tuple[np.ndarray, ...]], string: int, by: int, parts: int, by_row: bool = False) -> Iterator[pa.RecordBatch]:
+    """Packed blocks of the places held, by part; parts from `parts` on hold settled places.
+
+    Of the places whose array at `string` agrees one goes on, with an array more: 2 if it stands for several, else 1.
+    A hash, the array at `by`, names its part. The others are settled. by_row: a row's number stands once in a block.
+    """
     if not held:
         return
     arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
+    order = np.argsort(arrays[string], kind="stable")
+    first, n = runs(arrays[string][order])
+    times = np.zeros(len(order), np.uint8)
+    times[order[first]] = np.minimum(n, 2)
+    settled = [a[times == 0] for a in arrays]
+    if len(settled[0]):
+        yield _block(parts + int(mix(settled[0][:1].view(np.uint64))[0] % np.uint64(parts)), *settled)
+    arrays = [a[times > 0] for a in (*arrays, times)]
     # a trigger is the least hash of many, so that its upper bits are small until they are mixed again
     part = (((mix(arrays[by]) >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int32)
     order = np.argsort(part, kind="stable")
@@ -147,29 +167,36 @@ def _dealt(held: list[tuple[np.ndarray, ...]], by: int, parts: int, by_row: bool
         if by_row:
             first, count = runs(mine[0])
             mine[:1] = [mine[0][first], count.astype(np.uint32)]
-        block = pack(*mine)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part[s]], pa.int32()), "payload": pa.array([block], pa.binary())})
+        yield _block(int(part[s]), *mine)
 
 
-def _sorted_places(table: pa.Table) -> pa.Table:
+def _sorted_places(parts: int):
     """Repeated phrases, every place; open ones, a place for each distinct phrase."""
-    row, lo, count, trigger, phrase = joined(table.column("payload").to_pylist())
-    order = np.lexsort((lo, row, phrase, trigger))
-    row, lo, count, trigger, phrase = (a[order] for a in (row, lo, count, trigger, phrase))
-    _, n = runs(trigger)
-    same_trigger = np.repeat(n, n)
-    new = np.ones(len(row), bool)
-    new[1:] = (phrase[1:] != phrase[:-1]) | (trigger[1:] != trigger[:-1])
-    s = np.flatnonzero(new)
-    n = np.diff(np.append(s, len(row)))
-    places = np.repeat(n, n)
-    repeated = places >= 2
-    opened = new & (same_trigger > places)
-    row, lo, count = (np.concatenate((a[repeated], a[opened])) for a in (row, lo, count))
-    return pa.table({
-        "row": pa.array(row), "repeated": pa.array(np.arange(len(row)) < int(repeated.sum())),
-        "lo": pa.array(lo.astype(np.int64)), "n": pa.array(count.astype(np.int32)),
-    })
+
+    def apply(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() >= parts:
+            row, lo, count = joined(table.column("payload").to_pylist())[:3]
+            repeats = len(row)
+        else:
+            row, lo, count, trigger, phrase, times = joined(table.column("payload").to_pylist())
+            order = np.lexsort((lo, row, phrase, trigger))
+            row, lo, count, trigger, phrase, times = (a[order] for a in (row, lo, count, trigger, phrase, times))
+            s, n = runs(trigger)
+            same_trigger = np.repeat(np.add.reduceat(times, s, dtype=np.int64), n)
+            new = np.ones(len(row), bool)
+            new[1:] = (phrase[1:] != phrase[:-1]) | (trigger[1:] != trigger[:-1])
+            s = np.flatnonzero(new)
+            places = np.repeat(np.add.reduceat(times, s, dtype=np.int64), np.diff(np.append(s, len(row))))
+            repeated = places >= 2
+            opened = new & (same_trigger > places)
+            row, lo, count = (np.concatenate((a[repeated], a[opened])) for a in (row, lo, count))
+            repeats = int(repeated.sum())
+        return pa.table({
+            "row": pa.array(row), "repeated": pa.array(np.arange(len(row)) < repeats),
+            "lo": pa.array(lo.astype(np.int64)), "n": pa.array(count.astype(np.int32)),
+        })
+
+    return apply
 
 
 def _suffix_blocks(length: int, parts: int):
@@ -198,9 +225,9 @@ def _suffix_blocks(length: int, parts: int):
                     held.append(_fingerprints(cut, rows, places, counts, length))
                     size += len(held[-1][0])
                 if size > 400_000:
-                    yield from _dealt(held, 2, parts, by_row=True)
+                    yield from _dealt(held, 2, 2, parts, by_row=True)
                     held, size = [], 0
-        yield from _dealt(held, 2, parts, by_row=True)
+        yield from _dealt(held, 2, 2, parts, by_row=True)
 
     return run
 
@@ -214,14 +241,17 @@ def _fingerprints(cut: list[bytes], rows: list[int], places: list[int], counts:
     return np.repeat(np.array(rows, np.int64), n), position.astype(np.uint32), rolling.of(spans(base, n), length)
 
 
-def _equal_suffixes(back: int):
-    def apply(table: pa.Table) -> pa.Table:
-        row, count, place, suffix = joined(table.column("payload").to_pylist())
-        row = np.repeat(row, count)
-        order = np.argsort(suffix, kind="stable")
-        _, n = runs(suffix[order])
-        found = order[np.repeat(n, n) >= 2]
-        row, place = row[found], place[found]
+def _equal_suffixes(parts: int, back: int):
+    def apply(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() >= parts:
+            row, place = joined(table.column("payload").to_pylist())[:2]
+        else:
+            row, count, place, suffix, times = joined(table.column("payload").to_pylist())
+            row = np.repeat(row, count)
+            order = np.argsort(suffix, kind="stable")
+            s, n = runs(suffix[order])
+            found = order[np.repeat(np.add.reduceat(times[order], s, dtype=np.int64), n) >= 2]
+            row, place = row[found], place[found]
         part = (row.view(np.uint64) % np.uint64(back)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         row, place, part = row[order], place[order], part[order]
@@ -282,10 +312,10 @@ def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """
     parts = parts_for(rows, "text")
     blocks = rows.select("row", "text").mapInArrow(_parse_blocks(length, gram, parts), PARSE)
-    places = checkpointed(blocks.groupBy("part").applyInArrow(_sorted_places, PLACES))
+    places = checkpointed(blocks.groupBy("part").applyInArrow(_sorted_places(parts), PLACES))
     opened = places.where("not repeated").groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("phrases"))
     suffixes = rows.join(opened, "row").select("row", "text", "phrases", "carried").mapInArrow(_suffix_blocks(length, parts), PARSE)
-    equal = suffixes.groupBy("part").applyInArrow(_equal_suffixes(parts), PARSE)
+    equal = suffixes.groupBy("part").applyInArrow(_equal_suffixes(parts, parts), PARSE)
     spans_of = equal.groupBy("part").applyInArrow(_suffix_spans(length), SPANS)
     whole = places.where("repeated").select("row", "lo", (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("hi"))
     return whole.unionByName(spans_of)
