@@ -175,7 +175,9 @@ def star_links(entries: DataFrame, classes: DataFrame, numerator: int, denominat
     that they were made from has the largest, as every change brings rarer shingles.
     """
     lists = entries.groupBy("token").agg(F.count("*").alias("length"), F.max(F.struct("weight", "class", "n")).alias("lead"))
-    named = entries.join(lists.where("length > 1"), "token").where(F.struct("weight", "class") < F.struct("lead.weight", "lead.class"))
+    # read back, so that the join is of two plain exchanges, which Spark splits where one list holds much of the index
+    lists = checkpointed(lists.where("length > 1").drop("length"))
+    named = entries.join(lists, "token").where(F.struct("weight", "class") < F.struct("lead.weight", "lead.class"))
     named = named.where(_least(numerator, denominator, F.col("n"), F.col("lead.n")))
     best = named.groupBy(F.col("class").alias("a")).agg(F.max("lead").alias("lead"))
     return _verified(best.select("a", F.col("lead.class").alias("b")), classes, numerator, denominator)
@@ -191,8 +193,8 @@ def cross_pairs(entries: DataFrame, component: DataFrame, numerator: int, denomi
     short = (F.col("n") - position) * (numerator + denominator) >= 2 * numerator * F.col("n")
     entries = entries.join(component, "class", "left").withColumn("component", F.coalesce("component", "class")).withColumn("short", short)
     mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("short").alias("short"))
-    mixed = mixed.where("low < high and short")
-    left = checkpointed(entries.join(mixed.select("token"), "token"))
+    mixed = checkpointed(mixed.where("low < high and short").select("token"))
+    left = checkpointed(entries.join(mixed, "token"))
     # as the larger set, an entry has partners of at most `cap` shingles: the first that two sets share leaves no
     # more than what follows it; components meet, then their members, only as far as these bounds allow
     total, n_a, n_b = numerator + denominator, F.col("n_a"), F.col("n_b")
@@ -237,9 +239,9 @@ def near_duplicate_components(
     entries = _entries(classes)
     links = checkpointed(star_links(entries, classes, numerator, denominator))
     pairs = cross_pairs(entries, components(links), numerator, denominator)
-    component = components(links.union(_verified(pairs, classes, numerator, denominator)))
+    component = checkpointed(components(links.union(_verified(pairs, classes, numerator, denominator))))
     rows = checkpointed(docs.mapInArrow(_documents(words), "doc_id long, n_shingles long, class long"))
     rows = rows.join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    first = rows.groupBy("component").agg(F.min("doc_id").alias("first"))
+    first = checkpointed(rows.groupBy("component").agg(F.min("doc_id").alias("first")))
     named = rows.join(first, "component")
     return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
