@@ -66,6 +66,16 @@ def general_value(x: Column) -> Column:
     return F.when(x.isNull(), "N/A").otherwise(tidy)
 
 
+def filled(*texts: Column, default: str | None = None) -> Column:
+    """The first that is neither null nor empty."""
+    return F.coalesce(*[F.when(t != "", t) for t in texts], F.lit(default))
+
+
+def filled_number(*values: Column) -> Column:
+    """The first that is neither null nor zero; the last as it is."""
+    return F.coalesce(*[F.when(v != 0, v) for v in values[:-1]], values[-1])
+
+
 def headline(predicted: Column, confidence: Column, strongest: Column) -> Column:
     """The sentence on a flow's prediction and its strongest contributor, a struct with feature and direction."""
     percent = F.format_string("%.2f%%", confidence * 100)

@@ -64,6 +64,12 @@ def with_explanations(findings: DataFrame, explained: DataFrame) -> DataFrame:
     return findings.join(one, FLOW, "left")
 
 
+def look_up(keys: DataFrame, findings: DataFrame, explained: DataFrame) -> DataFrame:
+    """For every key asked for its finding and contributors; found tells whether there is a finding."""
+    have = with_explanations(findings, explained).select(*FLOW, "predicted_class", "confidence", "contributors", F.lit(True).alias("found"))
+    return keys.select(*FLOW).distinct().join(have, FLOW, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def missing(keys: DataFrame, findings: DataFrame) -> DataFrame:
     """Keys asked for that no finding has."""
     return keys.join(findings, FLOW, "left_anti")
@@ -176,6 +182,20 @@ def case_report(summary: DataFrame, rows: DataFrame, reviews: DataFrame) -> Data
     return summary.join(review_summary(reviews), "case_id", "left").join(threats, "case_id", "left")
 
 
+def case_details(catalog: DataFrame, summary: DataFrame, reviews: DataFrame) -> DataFrame:
+    """A catalog's cases with the figures of their analysis and reviews; without an analysis the figures are null."""
+    counts = review_summary(reviews).drop("total_reviews")
+    out = catalog.join(summary, "case_id", "left").join(counts, "case_id", "left")
+    return out.fillna(0, [d.lower() for d in DECISIONS])
+
+
+def evidence_name(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """case_id and file_name of every case: the name in its document, or else the first of its files."""
+    first = files.groupBy("case_id").agg(F.min("file_name").alias("first"))
+    named = documents.select("case_id", F.when(~blank(F.col("file_name")), F.col("file_name")).alias("named"))
+    return first.join(named, "case_id", "full").select("case_id", F.coalesce("named", "first").alias("file_name"))
+
+
 def case_catalog(cases: DataFrame, documents: DataFrame, reviews: DataFrame) -> DataFrame:
     """Cases with status: Incomplete without a document, Invalid where it cannot be read, Analyzed, else Error."""
     state = F.when(F.col("has_document").isNull(), "Incomplete").when(~F.col("readable"), "Invalid").when(F.col("total_flows").isNotNull(), "Analyzed").otherwise("Error")

@@ -24,6 +24,12 @@ def require_features(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
     return df
 
 
+def ordered_features(df: DataFrame, features: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """The key columns and the features in the order of the contract; a missing feature is an error, extra columns go."""
+    df = df.toDF(*[clean_name(c) for c in df.columns])
+    return require_features(df, features).select(*[F.col(f"`{c}`") for c in (*keys, *features)])
+
+
 def contract_report(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
     """One row per column or feature: available, missing or extra."""
     have = [clean_name(c) for c in df.columns]
@@ -172,6 +178,22 @@ def additivity(contributed: DataFrame) -> DataFrame:
     return out.select("case_id", "flow_index", (F.abs(F.col("base_value") + F.col("total") - F.col("margin")) < 1e-4).alias("adds_up"))
 
 
+def explanation_faults(scored: DataFrame, contributed: DataFrame, n_features: int = len(STAND_IN)) -> DataFrame:
+    """case_id, flow_index and fault of flows whose explanation is missing, of the wrong width, not finite or of an unknown class."""
+    bad = F.col("shap_value").isNull() | F.isnan("shap_value") | (F.abs("shap_value") == float("inf"))
+    seen = contributed.groupBy("case_id", "flow_index").agg(F.count("*").alias("width"), F.max(bad).alias("bad"))
+    fault = F.when(F.col("width").isNull(), "missing").when(F.col("width") != n_features, "width").when(F.col("bad"), "not finite")
+    fault = fault.when(F.coalesce(~F.col("predicted_class").isin(*CLASSES), F.lit(True)), "unknown class")
+    found = scored.select("case_id", "flow_index", "predicted_class").join(seen, ["case_id", "flow_index"], "left")
+    return found.select("case_id", "flow_index", fault.alias("fault")).where("fault is not null")
+
+
+def require_explanations(scored: DataFrame, contributed: DataFrame, n_features: int = len(STAND_IN)) -> DataFrame:
+    if not (faults := explanation_faults(scored, contributed, n_features)).isEmpty():
+        raise ValueError(f"explanations do not fit the findings: {faults.first()}")
+    return contributed
+
+
 def global_importance(contributed: DataFrame, n: int = 12) -> DataFrame:
     out = contributed.groupBy("predicted_class", "feature_id", "feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap"), F.avg("shap_value").alias("mean_signed_shap"))
     order = Window.partitionBy("predicted_class").orderBy(F.desc(F.round("mean_abs_shap", 6)), "feature_id")
@@ -180,5 +202,5 @@ def global_importance(contributed: DataFrame, n: int = 12) -> DataFrame:
 
 def stratified_sample(scored: DataFrame, per_class: int) -> DataFrame:
     """The same flows in every run: of each class those with the smallest hash of their key."""
-    order = Window.partitionBy("predicted_class").orderBy(F.xxhash64("case_id", "flow_index"), "case_id", "flow_index")
+    order = Window.partitionBy("predicted_class").orderBy(F.md5(F.concat_ws("/", "case_id", F.col("flow_index").cast("string"))), "case_id", "flow_index")
     return scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_class).drop("nth")

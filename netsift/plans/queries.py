@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsift.functions import text as T
-from netsift.operators import cases, flows, scoring, traffic
+from netsift.operators import cases, flows, scoring, traffic, trees
 from netsift.operators.features import flow_features
 from netsift.schema import CLASSES, COLUMNS, RECOMMENDATIONS, STAND_IN, bias, snake, weight
 from netsift.sources.fixtures import DUCKDB, PACKETS_SQL, REVIEWS_SQL, fill, packets, review_log
@@ -223,7 +223,7 @@ _query("additivity", "SELECT case_id, flow_index, abs(any_value(base_value) + su
 _query("global_importance", "SELECT predicted_class, feature, round(mean_abs_shap, 6) AS mean_abs_shap, round(mean_signed_shap, 6) AS mean_signed_shap, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY predicted_class ORDER BY round(mean_abs_shap, 6) DESC, feature_id) AS INTEGER) AS rank FROM (SELECT predicted_class, feature_id, feature, avg(abs(shap_value)) AS mean_abs_shap, avg(shap_value) AS mean_signed_shap FROM parts GROUP BY 1, 2, 3)) WHERE rank <= 12")(
     lambda s, d: scoring.global_importance(_contributed(s, d)).select("predicted_class", "feature", F.round("mean_abs_shap", 6).alias("mean_abs_shap"), F.round("mean_signed_shap", 6).alias("mean_signed_shap"), "rank")
 )
-_query("importance_sample")(lambda s, d: scoring.stratified_sample(_scored(s, d), 500).select("case_id", "flow_index", "predicted_class"))
+_query("importance_sample", "SELECT case_id, flow_index, predicted_class FROM (SELECT *, row_number() OVER (PARTITION BY predicted_class ORDER BY md5(case_id || '/' || flow_index), case_id, flow_index) AS n FROM scored) WHERE n <= 500")(lambda s, d: scoring.stratified_sample(_scored(s, d), 500).select("case_id", "flow_index", "predicted_class"))
 _query("explanations")(lambda s, d: scoring.explanations(scoring.top_contributors(_contributed(s, d))))
 _HEAD = "'The model classified this network flow as ' || predicted_class || ' with ' || printf('%.2f%%', confidence * 100) || ' confidence. The strongest SHAP contributor was \"' || feature || '\". Its observed value ' || CASE direction WHEN 'supports_prediction' THEN 'supported' WHEN 'opposes_prediction' THEN 'opposed' ELSE 'had a neutral effect on' END || ' the predicted class. The table below lists the most influential features for this prediction.'"
 _query("headlines", f"SELECT case_id, flow_index, feature AS strongest, CASE direction WHEN 'supports_prediction' THEN 'Supports' WHEN 'opposes_prediction' THEN 'Opposes' ELSE 'Neutral' END AS effect, {_HEAD} AS headline FROM ranked WHERE rank = 1")(
@@ -232,11 +232,16 @@ _query("headlines", f"SELECT case_id, flow_index, feature AS strongest, CASE dir
 _query("narrations", "SELECT case_id, flow_index, 'The XGBoost classifier predicted ''' || any_value(predicted_class) || '''.' || coalesce(' The strongest TreeSHAP features supporting this prediction were ' || array_to_string((list(feature ORDER BY rank) FILTER (shap_value > 0))[1:3], ', ') || '.', '') || coalesce(' Features that opposed the prediction included ' || array_to_string((list(feature ORDER BY rank) FILTER (shap_value < 0))[1:2], ', ') || '.', '') AS narration FROM ranked WHERE rank <= 10 GROUP BY 1, 2")(
     lambda s, d: scoring.explanations(scoring.top_contributors(_contributed(s, d))).select("case_id", "flow_index", T.narration(F.col("predicted_class"), F.col("contributors")).alias("narration"))
 )
-_query("prompts")(lambda s, d: scoring.explanations(scoring.top_contributors(_contributed(s, d))).select("case_id", "flow_index", T.prompt(F.col("predicted_class"), F.col("confidence"), F.col("contributors")).alias("prompt")))
+_LINE = "'- ' || feature || ': value ' || format('{:.6g}', raw_value) || ', contribution ' || format('{:.6g}', shap_value) || ', ' || direction"
+_query("prompts", f"SELECT case_id, flow_index, 'Explain only from these facts.' || chr(10) || 'Predicted class: ' || any_value(predicted_class) || chr(10) || 'Confidence: ' || printf('%.2f%%', any_value(confidence) * 100) || chr(10) || string_agg({_LINE}, chr(10) ORDER BY rank) AS prompt FROM ranked WHERE rank <= 5 GROUP BY 1, 2")(lambda s, d: scoring.explanations(scoring.top_contributors(_contributed(s, d))).select("case_id", "flow_index", T.prompt(F.col("predicted_class"), F.col("confidence"), F.col("contributors")).alias("prompt")))
 _query("recommended", "SELECT s.case_id, s.flow_index, s.predicted_class, a.summary, a.n_actions FROM scored s LEFT JOIN advice a USING (predicted_class)")(lambda s, d: cases.recommend(_scored(s, d)).select("case_id", "flow_index", "predicted_class", "summary", F.size("actions").alias("n_actions")))
 _query("explained_threats", "SELECT s.case_id, s.flow_index, s.predicted_class, r.n AS n_contributors FROM scored s LEFT JOIN (SELECT case_id, flow_index, count(*) AS n FROM ranked WHERE rank <= 10 GROUP BY 1, 2) r USING (case_id, flow_index) WHERE s.is_threat")(
     lambda s, d: cases.with_explanations(_scored(s, d).where("is_threat"), scoring.explanations(scoring.top_contributors(_contributed(s, d)))).select("case_id", "flow_index", "predicted_class", F.size("contributors").cast("long").alias("n_contributors"))
 )
+_query("looked_up_findings", "SELECT k.case_id, k.flow_index, s.predicted_class, n AS n_contributors, s.case_id IS NOT NULL AS found FROM (SELECT DISTINCT case_id, flow_index FROM log) k LEFT JOIN scored s ON s.case_id = k.case_id AND s.flow_index = k.flow_index LEFT JOIN (SELECT case_id, flow_index, count(*) AS n FROM ranked WHERE rank <= 10 GROUP BY 1, 2) r ON r.case_id = k.case_id AND r.flow_index = k.flow_index")(
+    lambda s, d: cases.look_up(review_log(s, d), _scored(s, d), scoring.explanations(scoring.top_contributors(_contributed(s, d)))).select("case_id", "flow_index", "predicted_class", F.size("contributors").cast("long").alias("n_contributors"), "found")
+)
+_query("explanation_faults", "SELECT case_id, flow_index, 'missing' AS fault FROM scored WHERE flow_index NOT IN (SELECT flow_index FROM ranked)")(lambda s, d: scoring.explanation_faults(_scored(s, d), _contributed(s, d)))
 _query("validated_reviews", "SELECT event_id, trim(notes) AS notes, CASE WHEN decision = 'Maybe' THEN 'decision invalid' END AS reason FROM log")(lambda s, d: cases.validate_reviews(review_log(s, d)).select("event_id", "notes", "reason"))
 _query("upserted_reviews", "SELECT case_id, flow_index, decision, notes, event_id FROM newest")(lambda s, d: cases.upsert(_good_log(s, d)).select("case_id", "flow_index", "decision", "notes", "event_id"))
 _query("reviews_of_findings", "SELECT case_id, flow_index, decision, predicted_class FROM reviews")(lambda s, d: _reviews(s, d).select("case_id", "flow_index", "decision", "predicted_class"))
@@ -278,3 +283,27 @@ def case_catalog(spark: SparkSession, d: str) -> DataFrame:
     scored = _scored(spark, d)
     documents = scoring.case_summary(scored.where(~F.col("case_id").endswith("1-000000"))).select("case_id", "total_flows", F.lit(True).alias("has_document"), F.lit(True).alias("readable"))
     return cases.case_catalog(packets(spark, d).select("case_id").distinct(), documents, _reviews(spark, d)).select("case_id", "status", "total_reviews", "openable")
+
+
+@_query("case_details", "SELECT p.case_id, s.total_flows, s.benign_flows, s.threat_flows, s.threat_percentage, coalesce(r.total_reviews, 0) AS total_reviews, coalesce(r.confirmed, 0) AS confirmed, coalesce(r.rejected, 0) AS rejected, coalesce(r.inconclusive, 0) AS inconclusive FROM (SELECT DISTINCT case_id FROM packets) p LEFT JOIN summaries s USING (case_id) LEFT JOIN review_sums r USING (case_id)")
+def case_details(spark: SparkSession, d: str) -> DataFrame:
+    summary, reviews = scoring.case_summary(_scored(spark, d)), _reviews(spark, d)
+    documents = summary.select("case_id", "total_flows", F.lit(True).alias("has_document"), F.lit(True).alias("readable"))
+    catalog = cases.case_catalog(packets(spark, d).select("case_id").distinct(), documents, reviews)
+    return cases.case_details(catalog.select("case_id", "total_reviews"), summary, reviews)
+
+
+#: A small ensemble over total_packets, packet_length_mean and syn_count: tree, node, class_id, feature, threshold, left, right, value.
+ENSEMBLE = (
+    (0, 0, 0, 0, 3.0, 1, 2, 0.0), (0, 1, 0, 1, 120.0, 3, 4, 0.0), (0, 2, 0, -1, 0.0, 0, 0, -1.5), (0, 3, 0, -1, 0.0, 0, 0, 2.0), (0, 4, 0, -1, 0.0, 0, 0, 0.25),
+    (1, 0, 1, 2, 1.0, 1, 2, 0.0), (1, 1, 1, -1, 0.0, 0, 0, -0.5), (1, 2, 1, -1, 0.0, 0, 0, 1.0), (2, 0, 2, 1, 90.0, 1, 2, 0.0), (2, 1, 2, -1, 0.0, 0, 0, 1.5), (2, 2, 2, -1, 0.0, 0, 0, 0.5),
+)
+
+
+@_query("tree_scored", "SELECT case_id, flow_id, m0, m1, m2, CASE WHEN m0 >= m1 AND m0 >= m2 THEN 0 WHEN m1 >= m2 THEN 1 ELSE 2 END AS class_id FROM (SELECT case_id, flow_id, CASE WHEN total_packets >= 3 THEN -1.5 WHEN packet_length_mean < 120 THEN 2.0 ELSE 0.25 END::DOUBLE AS m0, CASE WHEN syn_count < 1 THEN -0.5 ELSE 1.0 END::DOUBLE AS m1, CASE WHEN packet_length_mean < 90 THEN 1.5 ELSE 0.5 END::DOUBLE AS m2 FROM flows)")
+def tree_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Margins and class of every flow under a small tree ensemble."""
+    nodes = spark.createDataFrame(ENSEMBLE, "tree int, node int, class_id int, feature int, threshold double, left int, right int, value double")
+    x = F.array(*[F.col(c).cast("double") for c in ("total_packets", "packet_length_mean", "syn_count")])
+    out = trees.predicted(trees.tree_margins(_flows(spark, d).select("case_id", "flow_id", x.alias("x")), "x", nodes, 3))
+    return out.select("case_id", "flow_id", *[F.col("margins")[c].alias(f"m{c}") for c in range(3)], "class_id")

@@ -203,6 +203,8 @@ PACKETS = (
     "source_port int, destination_port int, packet_length long, tcp_flags string, header_length int, payload_length long, tcp_window int"
 )
 
+REVIEWS = "case_id string, flow_index long, predicted_class string, decision string, notes string, review_timestamp timestamp"
+
 #: The stand-in linear model: (feature, mean, scale) by feature id, a rule for weights, and biases.
 STAND_IN = (
     ("Flow Duration", 4.0e10, 2.5e10), ("Packet Length Mean", 120.0, 50.0), ("Packet Length Max", 180.0, 90.0),

@@ -6,11 +6,12 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsift.operators.scoring import clean_name
-from netsift.schema import PACKETS
+from netsift.schema import PACKETS, REVIEWS
 
 
 def read_packets(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
@@ -49,6 +50,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return out.select("case_id", "doc", readable.alias("readable"), F.lit(True).alias("has_document"), F.col("doc.ml_analysis.summary.total_flows").alias("total_flows"))
 
 
+def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """Stored reviews by case and flow; a path that does not exist holds none."""
+    try:
+        stored = spark.read.schema(REVIEWS).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], REVIEWS)
+    return stored.orderBy("case_id", "flow_index")
+
+
 def read_importance(spark: SparkSession, path: str) -> DataFrame:
     """Global importance of features, nested per class, as rows."""
     kind = "classes map<string, array<struct<feature: string, mean_abs_shap: double, mean_signed_shap: double>>>"

@@ -10,7 +10,7 @@ from netsift.functions import text as T
 from netsift.operators import cases, flows, scoring, traffic, trees
 from netsift.operators.features import flow_features
 from netsift.plans import queries
-from netsift.schema import CLASSES, COLUMNS, FEATURES, PACKETS
+from netsift.schema import CLASSES, COLUMNS, FEATURES, PACKETS, REVIEWS
 from netsift.sources import captures
 from netsift.sources.fixtures import packets, review_log
 from netsift.streaming import live
@@ -28,7 +28,7 @@ def frame(spark, *rows):
     return spark.createDataFrame(list(rows), PACKETS)
 
 
-@pytest.mark.parametrize("name", ["flows", "flow_features_74", "scored_flows", "top_contributors", "triage_rows", "report_rows", "upserted_reviews", "text_expressions", "class_distribution", "report_status"])
+@pytest.mark.parametrize("name", ["flows", "flow_features_74", "scored_flows", "top_contributors", "triage_rows", "report_rows", "upserted_reviews", "text_expressions", "class_distribution", "report_status", "importance_sample", "prompts", "looked_up_findings", "explanation_faults", "case_details", "tree_scored"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -205,3 +205,28 @@ def test_streams_equal_batches(spark, tmp_path):
     live.review_feed(spark.readStream.schema(log.schema).parquet(str(tmp_path / "log")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     want = cases.upsert(cases.validate_reviews(log).where("reason is null"))
     assert live.current_reviews(spark.read.parquet(str(tmp_path / "out"))).count() == want.count()
+
+
+def test_explanations_are_guarded(spark):
+    scored = spark.createDataFrame([("c", 1, "DoS"), ("c", 2, "DoS"), ("c", 3, "DoS"), ("c", 4, "odd"), ("c", 5, "DoS")], "case_id string, flow_index long, predicted_class string")
+    rows = [("c", k, 0.5) for k in (1, 1, 2, 4, 4, 5)] + [("c", 5, float("nan"))]
+    parts = spark.createDataFrame(rows, "case_id string, flow_index long, shap_value double")
+    assert {r.flow_index: r.fault for r in scoring.explanation_faults(scored, parts, 2).collect()} == {2: "width", 3: "missing", 4: "unknown class", 5: "not finite"}
+    with pytest.raises(ValueError, match="do not fit"):
+        scoring.require_explanations(scored, parts, 2)
+
+
+def test_fallbacks(spark):
+    df = spark.createDataFrame([(None, "", "x", 0.0, None, 0.3), ("a", "b", "c", 0.9, 0.1, 0.2), ("", None, None, None, 0.0, None)], "p string, q string, r string, a double, b double, c double")
+    got = df.select(T.filled(F.col("p"), F.col("q"), F.col("r"), default="Unknown").alias("t"), T.filled_number(F.col("a"), F.col("b"), F.col("c")).alias("n")).collect()
+    assert [(r.t, r.n) for r in got] == [("x", 0.3), ("a", 0.9), ("Unknown", None)]
+
+
+def test_names_reviews_and_feature_order(spark, tmp_path):
+    documents = spark.createDataFrame([("A", "a.pcap"), ("B", " ")], "case_id string, file_name string")
+    files = spark.createDataFrame([("A", "z.pcap"), ("B", "y.pcap"), ("B", "x.pcap"), ("C", "c.pcap")], "case_id string, file_name string")
+    assert {r.case_id: r.file_name for r in cases.evidence_name(documents, files).collect()} == {"A": "a.pcap", "B": "x.pcap", "C": "c.pcap"}
+    assert captures.read_reviews(spark, str(tmp_path / "none")).count() == 0
+    spark.createDataFrame([("c", 2, "DoS", "Confirmed", "", None), ("c", 1, "DoS", "Rejected", "", None)], REVIEWS).write.parquet(str(tmp_path / "r"))
+    assert [r.flow_index for r in captures.read_reviews(spark, str(tmp_path / "r")).collect()] == [1, 2]
+    assert scoring.ordered_features(spark.createDataFrame([(1, 2, 3)], ["b/s ", "odd", "a"]), ("a", "b/s")).columns == ["a", "b/s"]
