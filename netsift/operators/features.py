@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netsift.operators.numbering import SPAN, numbered
 from netsift.operators.traffic import canonical_key, endpoints, flag, with_ports
 from netsift.schema import COLUMNS
 
@@ -57,7 +58,7 @@ def bulks(packets: DataFrame, gap_us: int, least: int) -> DataFrame:
     return bulk.groupBy(*KEY).agg(*out)
 
 
-def flow_features(packets: DataFrame, *, active_us: int = 5_000_000, subflow_us: int = 1_000_000, bulk_us: int = 1_000_000, bulk_least: int = 4, length: str = "payload_length") -> DataFrame:
+def flow_features(packets: DataFrame, *, active_us: int = 5_000_000, subflow_us: int = 1_000_000, bulk_us: int = 1_000_000, bulk_least: int = 4, length: str = "payload_length", span: int = SPAN) -> DataFrame:
     """case_id, flow_id and the 74 features under their column names, in model order."""
     p = directed(packets)
     size, fwd, bwd = F.col(length), F.col("fwd"), ~F.col("fwd")
@@ -86,6 +87,8 @@ def flow_features(packets: DataFrame, *, active_us: int = 5_000_000, subflow_us:
         "bwd_segment_size_avg": per("total_length_of_bwd_packet", "total_bwd_packets"), "flow_bytes_s": rate(lengths), "flow_packets_s": rate(both), "down_up_ratio": per("total_bwd_packets", "total_fwd_packet"),
         "subflow_fwd_bytes": per("total_length_of_fwd_packet", "subflows"), "subflow_fwd_packets": per("total_fwd_packet", "subflows"),
         "subflow_bwd_bytes": per("total_length_of_bwd_packet", "subflows"), "subflow_bwd_packets": per("total_bwd_packets", "subflows"),
-        "flow_id": F.row_number().over(Window.partitionBy("case_id").orderBy("first_packet")).cast("long"),
     })
+    starts = canonical_key(with_ports(packets)).groupBy(*KEY).agg(F.min("packet_number").alias("first_packet"))
+    # narrow rows are numbered and joined by flow, as everything else is, so that the wide ones stay where they are
+    out = out.join(numbered(starts, starts, "flow_id", span=span).drop("first_packet"), list(KEY))
     return out.select("case_id", "flow_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in COLUMNS])

@@ -82,6 +82,15 @@ def write_features(features: DataFrame, path: str) -> None:
     features.write.mode("overwrite").option("header", True).partitionBy("case_id").csv(path)
 
 
+#: Frames of a capture file that go on in one batch.
+FRAMES_AT_ONCE = 10_000
+
+
+def _frame_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "packet_number", "us", "packet_length", "frame"])
+
+
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Frames of classic capture files, either byte order, micro- or nanoseconds."""
     for batch in batches:
@@ -91,14 +100,17 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if struct.unpack(f"{order}I", magic.ljust(4, b"\0"))[0] not in (0xA1B2C3D4, 0xA1B23C4D):
                 raise ValueError(f"{path} is no classic capture file")
             unit = 1000 if struct.unpack(f"{order}I", magic)[0] == 0xA1B23C4D else 1
-            at, rows = 24, []
+            at, number, rows = 24, 0, []
             while at + 16 <= len(data):
                 seconds, part, kept, whole = struct.unpack_from(f"{order}IIII", data, at)
-                rows.append((path, len(rows) + 1, seconds * 1_000_000 + part // unit, whole, data[at + 16 : at + 16 + kept]))
+                number += 1
+                rows.append((path, number, seconds * 1_000_000 + part // unit, whole, data[at + 16 : at + 16 + kept]))
                 at += 16 + kept
+                if len(rows) == FRAMES_AT_ONCE:
+                    yield _frame_rows(rows)
+                    rows = []
             if rows:
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "packet_number", "us", "packet_length", "frame"])
+                yield _frame_rows(rows)
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:

@@ -58,6 +58,26 @@ def test_equal_endpoints_and_single_packets(spark):
     assert b.syn_count + b.ack_count + b.fin_count + b.rst_count + b.psh_count == 0
 
 
+@pytest.mark.parametrize("span", [1, 7, 10**6])
+def test_numbers_do_not_depend_on_buckets(spark, span):
+    rows = packets(spark, SF)
+    first = {}
+    for p in traffic.with_ports(rows).collect():
+        ends = (p.case_id, *sorted([(p.source_ip, p.source_port), (p.destination_ip, p.destination_port)]), p.protocol_number)
+        first[ends] = min(first.get(ends, p.packet_number), p.packet_number)
+    want, seen = {}, {}
+    for ends in sorted(first, key=first.get):
+        want[ends] = seen[ends[0]] = seen.get(ends[0], 0) + 1
+    made = flows.build_flows(rows, span=span)
+    got = {(r.case_id, *sorted([(r.source_ip, r.source_port), (r.destination_ip, r.destination_port)]), r.protocol_number): r.flow_id for r in made.collect()}
+    assert got == want
+
+
+def test_flows_are_hash_aggregates(spark):
+    plan = flows.build_flows(packets(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_top_ips_tie(spark):
     rows = frame(spark, *[packet(n, n, ip, 1, "z", 2) for n, ip in enumerate("fabcdeabcd")])
     assert [r.ip for r in traffic.top_ips(rows, "source_ip").orderBy("rank").collect()] == ["a", "b", "c", "d", "f"]
