@@ -1,11 +1,11 @@
 """Benchmark passages in documents, found within a bound on edits.
 
 Method: q-gram lemma filtering. Text and benchmark items are lower-cased, and every run of characters other
-than letters and digits becomes one blank. An item is cut into overlapping passages of PASSAGE characters (an item that
+than letters and digits becomes one blank. Every PASSAGE characters in a row of an item are a passage (an item that
 is shorter is one passage). A passage of L characters with at most e edits shares L + 1 - q (e + 1) q-grams with its
-place in a document, and all of them lie on diagonals at most e apart. So shared q-grams are counted in overlapping
-bands of 2 (e + 1) diagonals, bands that reach the bound are kept, and these regions are verified by a
-banded alignment of the passage against the text of the band.
+place in a document, and all of them lie on diagonals at most e apart. So q-grams shared with an item are gathered in
+overlapping bands of 2 (e + 1) diagonals, and passages that hold enough of a band's are verified, those of neighbouring
+starts at once, by a banded alignment against the text of the band.
 
 The edit budget of a passage is BUDGET of its length, less where the bound would fall below one q-gram. Items with
 fewer than Q characters left, null ones included, match nothing; null and empty documents contain nothing. Equal
@@ -25,14 +25,18 @@ from pyspark.sql import functions as F
 
 from netsift.llm.common import mix, runs, spans, text_groups
 
-Q, PASSAGE, STRIDE, BUDGET = 10, 100, 50, 0.08
+Q, PASSAGE, BUDGET = 10, 100, 0.08
 #: Characters of benchmark text that are broadcast at once.
 BLOCK_CHARS = 4_000_000
 FILTER_BITS = 22
+#: Bands and passages that are aligned at once.
+BANDS, AT_ONCE = 8, 512
 OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 MATCHES = "doc_id long, item_id long, start long, stop long, edits int, passages int"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_ZERO = 1 << 32
+_NONE = np.uint32(0xFFFFFFFF)
 
 
 def normalised(text: str | None) -> str:
@@ -53,35 +57,35 @@ def _points(text: str) -> np.ndarray:
 
 
 class Passages:
-    """Passages of benchmark items, and an index from the hash of a q-gram to where it stands in them."""
+    """Benchmark items, all of whose passages count, and an index from the hash of a q-gram to where it stands in them."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, length: int = PASSAGE, stride: int = STRIDE, budget: float = BUDGET) -> None:
-        self.q, self.item, self.start, self.text, edits, grams = q, [], [], [], [], []
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, length: int = PASSAGE, budget: float = BUDGET) -> None:
+        self.q, self.item, self.text, edits = q, [], [], []
         for number, raw in items:
             text = normalised(raw)
-            last = max(0, len(text) - length)
-            for s in [*range(0, last, stride), last] if len(text) >= q else []:
-                part = text[s : s + length]
+            if len(text) >= q:
+                size = min(length, len(text))
                 self.item.append(number)
-                self.start.append(s)
-                self.text.append(part)
-                edits.append(max(0, min(int(budget * len(part)), len(part) // q - 1)))
-                grams.append(_qgrams(_points(part), q))
+                self.text.append(text)
+                edits.append(max(0, min(int(budget * size), size // q - 1)))
+        self.points = [_points(t) for t in self.text]
+        grams = [_qgrams(p, q) for p in self.points]
         self.edits = np.array(edits, np.int64)
-        self.size = np.array([len(t) for t in self.text], np.int64)
+        self.size = np.array([min(length, len(t)) for t in self.text], np.int64)
+        self.last = np.array([len(t) for t in self.text], np.int64) - self.size
         self.least = self.size + 1 - q * (self.edits + 1)
         lengths = np.array([len(g) for g in grams], np.int64)
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         first, self.count = runs(flat[order])
         self.gram, self.first = flat[order][first], first
-        self.passage = np.repeat(np.arange(len(grams)), lengths)[order]
+        self.owner = np.repeat(np.arange(len(grams)), lengths)[order]
         self.place = spans(np.zeros(len(grams), np.int64), lengths)[order]
         self.bits = np.zeros(1 << FILTER_BITS, bool)
         self.bits[(self.gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def candidates(self, points: np.ndarray) -> list[tuple[int, int, int]]:
-        """Passage, first and last diagonal of the bands that hold enough shared q-grams."""
+    def candidates(self, points: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Item, first and last start of passages, first and last diagonal, where enough q-grams are shared."""
         grams = _qgrams(points, self.q)
         at = np.flatnonzero(self.bits[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         if not len(at) or not len(self.gram):
@@ -90,67 +94,111 @@ class Passages:
         hit = self.gram[slot] == grams[at]
         at, slot = at[hit], slot[hit]
         entry = spans(self.first[slot], self.count[slot])
-        passage = self.passage[entry]
-        width = self.edits[passage] + 1
-        diagonal = np.repeat(at, self.count[slot]) - self.place[entry] + (1 << 20)
-        band = diagonal // width
+        owner, place = self.owner[entry], self.place[entry]
+        band = (np.repeat(at, self.count[slot]) - place + _ZERO) // (self.edits[owner] + 1)
         # a diagonal lies in the band that starts at its own multiple of the width and in the one before
-        key = np.concatenate((passage << 40 | band, passage << 40 | (band - 1)))
-        key.sort()
-        first, n = runs(key)
-        key = key[first]
-        passage = key >> 40
-        good = n >= self.least[passage]
-        passage, band = passage[good], key[good] & ((1 << 40) - 1)
-        width = self.edits[passage] + 1
-        begin = band * width - (1 << 20)
-        return list(zip(passage.tolist(), begin.tolist(), (begin + 2 * width - 1).tolist(), strict=True))
+        key = np.concatenate((owner << 40 | band, owner << 40 | (band - 1)))
+        ordered = np.sort(key)
+        first, n = runs(ordered)
+        good = ordered[first][n >= self.least[ordered[first] >> 40]]
+        if not len(good):
+            return []
+        kept = np.isin(key, good)
+        key, place = key[kept], np.concatenate((place, place))[kept]
+        order = np.lexsort((place, key))
+        key, place = key[order], place[order]
+        # from each q-gram to the one that makes them enough: the passages that hold both
+        owner = key >> 40
+        end = np.arange(len(key)) + self.least[owner] - 1
+        inside = np.flatnonzero(end < len(key))
+        end = end[inside]
+        enough = (key[end] == key[inside]) & (place[end] - place[inside] <= self.size[owner[inside]] - self.q)
+        inside, end = inside[enough], end[enough]
+        key, owner = key[inside], owner[inside]
+        low = np.maximum(0, place[end] - (self.size[owner] - self.q))
+        high = np.minimum(place[inside], self.last[owner])
+        if not len(key):
+            return []
+        new = np.append(True, (key[1:] != key[:-1]) | (low[1:] > high[:-1] + 1))
+        start = np.flatnonzero(new)
+        stop = np.append(start[1:], len(key)) - 1
+        out: list[list[int]] = []
+        for k, s, t in zip(key[start].tolist(), low[start].tolist(), high[stop].tolist(), strict=True):
+            item, band = k >> 40, k & ((1 << 40) - 1)
+            old = next((o for o in reversed(out[-4:]) if o[0] == item and o[4] in (band - 1, band) and o[1] <= t and s <= o[2] and band - o[3] < BANDS), None)
+            if old:
+                old[1:] = min(old[1], s), max(old[2], t), old[3], band
+            else:
+                out.append([item, s, t, band, band])
+        width = (self.edits + 1).tolist()
+        return [(item, s, t, b * width[item] - _ZERO, (c + 2) * width[item] - 1 - _ZERO) for item, s, t, b, c in out]
 
     def matches(self, text: str) -> dict[int, list[int]]:
         """Start, end, least edits and number of passages of each item that the normalised text holds."""
         found: dict[int, list[int]] = {}
-        seen: set[tuple[int, int, int]] = set()
-        for passage, low, high in self.candidates(_points(text)):
-            edits, end = aligned(self.text[passage], text, low, high, int(self.edits[passage]))
-            if edits is None or (passage, end, edits) in seen:
-                continue
-            seen.add((passage, end, edits))
-            span = (max(0, end - len(self.text[passage])), end, edits, 1)
-            if (old := found.get(self.item[passage])) is None:
-                found[self.item[passage]] = list(span)
-            else:
-                old[:] = min(old[0], span[0]), max(old[1], span[1]), min(old[2], span[2]), old[3] + 1
+        held: dict[tuple[int, int], set[int]] = {}
+        points = _points(text)
+        for item, first, last, low, high in self.candidates(points):
+            size, most = int(self.size[item]), int(self.edits[item])
+            for s in range(first, last + 1, AT_ONCE):
+                t = min(last, s + AT_ONCE - 1)
+                whole = self.text[item][s : t + size]
+                at = text.find(whole, max(0, s + low - most), max(0, s + high + most + len(whole)))
+                if at >= 0:
+                    edits, ends = np.zeros(t - s + 1, np.int64), at + size + np.arange(t - s + 1)
+                else:
+                    edits, ends = window_edits(self.points[item], size, s, t, points, low, high, most)
+                good = np.flatnonzero(edits <= most)
+                if not len(good):
+                    continue
+                number = self.item[item]
+                mine = held.setdefault((number, item), set())
+                before = len(mine)
+                mine.update((s + good).tolist())
+                span = max(0, int(ends[good].min()) - size), int(ends[good].max()), int(edits[good].min()), len(mine) - before
+                if (old := found.get(number)) is None:
+                    found[number] = list(span)
+                else:
+                    old[:] = min(old[0], span[0]), max(old[1], span[1]), min(old[2], span[2]), old[3] + span[3]
         return found
 
 
+def window_edits(item: np.ndarray, size: int, first: int, last: int, text: np.ndarray, low: int, high: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each passage of `size` that starts at first to last of the item: the fewest edits that turn it into a string
+    of the text within the diagonals low - most to high + most, and where that string ends. More than `most` edits
+    may be more than the fewest."""
+    low, high = low - most, high + most
+    n, lanes, begin = last - first + 1, high - low + 1, first + low
+    # what is outside the text equals nothing, so that to use it never takes fewer edits than to leave it
+    around = np.full(n + lanes + size - 2, _NONE, np.uint32)
+    a, b = max(0, begin), min(len(text), begin + len(around))
+    if a < b:
+        around[a - begin : b - begin] = text[a:b]
+    shifted = np.lib.stride_tricks.sliding_window_view(around, n)
+    step = np.arange(lanes, dtype=np.min_scalar_type(-2 * (lanes + size)))[:, None]
+    # row i holds the edits less the lane, for the text position begin + i + lane + passage
+    row = np.repeat(-step, n, axis=1)
+    for i in range(size):
+        new = row + (shifted[i : i + lanes] != item[first + i : first + i + n])
+        np.minimum(new[:-1], row[1:] + 2, out=new[:-1])
+        for k in range(1, lanes):
+            np.minimum(new[k], new[k - 1], out=new[k])
+        row = new
+        if i % 16 == 15 and (row + step).min() > most:
+            break
+    row = row + step
+    best = row.argmin(axis=0)
+    edits = row[best, np.arange(n)].astype(np.int64)
+    if i < size - 1:
+        edits[:] = most + 1
+    return edits, np.clip(begin + np.arange(n) + best + size, 0, len(text))
+
+
 def aligned(passage: str, text: str, low: int, high: int, most: int) -> tuple[int | None, int]:
     """The fewest edits, if at most `most`, that turn the passage into a string of the text within the diagonals
     low - most to high + most, and where that string ends."""
-    low, high = low - most, high + most
-    begin, stop = max(0, low), min(len(text), high + len(passage) + 1)
-    at = text.find(passage, begin, stop)
-    if at >= 0:
-        return 0, at + len(passage)
-    window = _points(text[begin:stop])
-    far = len(passage) + most + 1
-    step = np.arange(high - low + 1)
-    # row i holds the cells text position = low + i + step, diagonal by diagonal
-    position = low + step
-    row = np.where((position >= begin) & (position <= stop), 0, far)
-    for i, c in enumerate(_points(passage)):
-        position = low + i + step
-        inside = (position >= begin) & (position < stop)
-        differs = np.ones(len(step), np.int64)
-        differs[inside] = window[position[inside] - begin] != c
-        new = np.where(inside, row + differs, far)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        new = np.minimum.accumulate(new - step) + step
-        new[(position + 1 < begin) | (position + 1 > stop)] = far
-        row = new
-        if row.min() > most:
-            return None, 0
-    best = int(row.argmin())
-    return int(row[best]), low + len(passage) + best
+    edits, ends = window_edits(_points(passage), len(passage), 0, 0, _points(text), low, high, most)
+    return (int(edits[0]), int(ends[0])) if edits[0] <= most else (None, 0)
 
 
 def _find(passages):

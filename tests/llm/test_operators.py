@@ -143,6 +143,34 @@ def test_decontamination(spark, nothing):
     assert decontamination.benchmark_matches(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_excerpts_at_any_offset():
+    rnd = random.Random(7)
+    item = "".join(rnd.choice("abcdefghij ") for _ in range(400)).split()
+    item = " ".join(item)[:279].strip()
+    passages = decontamination.Passages([(5, item), (6, "other words " * 3)])
+
+    def by_force(text):
+        best, points = 99, np.array(list(text))
+        for s in range(len(item) - 99):
+            row = np.zeros(len(text) + 1, np.int64)
+            step = np.arange(len(text) + 1)
+            for c in item[s : s + 100]:
+                new = row + 1
+                new[1:] = np.minimum(new[1:], row[:-1] + (points != c))
+                row = np.minimum.accumulate(new - step) + step
+            best = min(best, int(row.min()))
+        return best
+
+    for k in range(18):
+        size, cut = (100, 110, 125, 150)[k % 4], rnd.randrange(len(item) - 150)
+        s = list(item[cut : cut + size])
+        for _ in range((0, 0, 4, 8, 11, 16)[k // 3]):
+            s[rnd.randrange(len(s))] = rnd.choice(["q", "", "qr"])
+        text = decontamination.normalised("xyz " * rnd.randrange(9) + "".join(s) + " uvw" * rnd.randrange(9))
+        least, got = by_force(text), passages.matches(text)
+        assert (set(got), [m[2] for m in got.values()]) == (({5}, [least]) if least <= 8 else (set(), [])), (k, cut)
+
+
 def test_alignment_against_full_table():
     rnd = random.Random(4)
     passage = "".join(rnd.choice("abcde ") for _ in range(60))
