@@ -6,13 +6,14 @@ segments 0..j at radius r and the others at r - 1, every code within m r + j of
 so a query ends as soon as its kth verified distance is at most that. Where the next radius has more values to look
 up than the block has codes, all codes are verified instead, which is as exact.
 
-A code holds the signs of a vector's components (1 for a positive one). Equal codes form one class: it is
-searched for and found once, with its k smallest ids, enough for any answer. The classes and the query classes are
+A code holds the signs of a vector's components (1 for a positive one). Equal codes form one class, named by the
+code itself: it is searched for and found once, with its k smallest ids, enough for any answer. The classes and the query classes are
 laid out in blocks of bounded size; a task takes a block of each, and answers are merged by query.
 
 Every vector is indexed; one whose id is null can be found but asks nothing. Null or empty vectors and those of
 another length than the longest have no code here: they are neither found nor ask. Null components count as not
-positive. Ties in distance go to the smaller id, and a query finds itself. Fewer than k vectors give shorter answers.
+positive. Ties in distance go to the smaller id, null ids first, and a query finds itself. An id may stand on several
+vectors: each one is found and asks on its own. Fewer than k vectors give shorter answers.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,23 +117,22 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(c.ljust(width, b"\0") for c in codes), np.uint8).reshape(len(codes), width)
 
 
-FOUND = "ask long, found long, distance int"
+FOUND = "ask binary, found binary, first long, distance int"
 
 
 def _cell(k: int):
     def apply(index: pa.Table, queries: pa.Table) -> pa.Table:
         out = [[], [], []]
         if index.num_rows and queries.num_rows:
-            index = index.sort_by("first")
-            found = np.array(index.column("first").to_pylist(), np.int64)
+            # classes of null ids first, as the windows order them
+            index = index.take(pc.sort_indices(index, sort_keys=[("first", "ascending")], null_placement="at_start"))
             tables, codes = Index(_matrix(index.column("code"))), _matrix(queries.column("code"))
-            ask = np.array(queries.column("first").to_pylist(), np.int64)
             for s in range(0, len(codes), AT_ONCE):
                 q, c, d = tables.search(codes[s : s + AT_ONCE], k)
-                for kept, new in zip(out, (ask[s + q], found[c], d), strict=True):
+                for kept, new in zip(out, (s + q, c, d), strict=True):
                     kept.append(new)
-        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        return pa.table({"ask": pa.array(columns[0]), "found": pa.array(columns[1]), "distance": pa.array(columns[2].astype(np.int32))})
+        ask, found, distance = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out)
+        return pa.table({"ask": queries.column("code").take(ask), "found": index.column("code").take(found), "first": index.column("first").take(found), "distance": distance.cast(pa.int32())})
 
     return apply
 
@@ -144,20 +145,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", e
     coded = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("v")).mapInArrow(_codes(bits), "id long, code binary")
     by_code = Window.partitionBy("code").orderBy("id")
     ranked = coded(vectors).withColumn("nth", F.row_number().over(by_code)).where(F.col("nth") <= k)
-    classes = ranked.groupBy("code").agg(F.sort_array(F.collect_list(F.coalesce("id", F.lit(-(1 << 63))))).alias("ids"))
-    classes = classes.withColumn("first", F.col("ids")[0])
+    # in structs, as collect_list leaves out nulls
+    classes = ranked.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id"))).alias("ids"))
+    classes = classes.withColumn("first", F.col("ids")[0]["id"])
     asked = coded(queries.where(F.col(vec_id).isNotNull()))
-    asks = asked.groupBy("code").agg(F.min("id").alias("first"))
+    asks = asked.select("code").distinct()
     index_blocks, query_blocks = max(1, -(-vectors.count() // INDEX_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = classes.select("first", "code", block(index_blocks).alias("i"), every(query_blocks).alias("q"))
-    right = asks.select("first", "code", block(query_blocks).alias("q"), every(index_blocks).alias("i"))
+    right = asks.select("code", block(query_blocks).alias("q"), every(index_blocks).alias("i"))
     found = left.groupBy("i", "q").cogroup(right.groupBy("i", "q")).applyInArrow(_cell(k), FOUND)
-    near = Window.partitionBy("ask").orderBy("distance", "found")
+    near = Window.partitionBy("ask").orderBy("distance", "first", "found")
     found = found.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= k)
-    ids = found.join(classes.select(F.col("first").alias("found"), "ids"), "found").select("ask", "distance", F.explode("ids").alias("vec_id"))
+    ids = found.join(classes.select(F.col("code").alias("found"), "ids"), "found").select("ask", "distance", F.inline("ids").alias("vec_id"))
     ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("ask").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
-    answers = ids.join(asks.select(F.col("first").alias("ask"), "code"), "ask").drop("ask")
-    vec = F.when(F.col("vec_id") > -(1 << 63), F.col("vec_id")).alias("vec_id")
-    return asked.join(answers, "code").select(F.col("id").alias("query_id"), "rank", vec, "distance")
+    return asked.join(ids.withColumnRenamed("ask", "code"), "code").select(F.col("id").alias("query_id"), "rank", "vec_id", "distance")

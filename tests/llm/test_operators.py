@@ -244,6 +244,20 @@ def test_hamming_search(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_hamming_search_with_ids_that_repeat(spark):
+    rnd = np.random.default_rng(5)
+    ids = [None, None, None, 3, 3, 3, 20, 20, 5, 6, -(2**63), 7]
+    v = rnd.normal(size=(len(ids), 24))
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in zip(ids, v)], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.distance, r.vec_id is not None, r.vec_id or 0) for r in nearest(df, df.where("vec_id in (3, 20)"), k=6).collect())
+    want = []
+    for q, x in zip(ids, v):
+        if q in (3, 20):
+            near = sorted((int(((x > 0) != (y > 0)).sum()), i is not None, i or 0) for i, y in zip(ids, v))[:6]
+            want += [(q, rank, *n) for rank, n in enumerate(near, 1)]
+    assert got == sorted(want)
+
+
 def test_language_id(spark, docs, nothing):
     rnd = random.Random(1)
     say = {"xx": "abcde", "yy": "vwxyz"}
