@@ -10,8 +10,8 @@ A code holds the signs of a vector's components (1 for a positive one). Equal co
 code itself: it is searched for and found once, with its k smallest ids, enough for any answer. The classes and the query classes are
 laid out in blocks of bounded size; a task takes a block of each, and answers are merged by query.
 
-Every vector is indexed; one whose id is null can be found but asks nothing. Null or empty vectors and those of
-another length than the longest have no code here: they are neither found nor ask. Null components count as not
+Every vector is indexed; one whose id is null can be found but asks nothing. Vectors of each
+length are searched among themselves. Null or empty vectors have no code: they are neither found nor ask. Null components count as not
 positive. Ties in distance go to the smaller id, null ids first, and a query finds itself. An id may stand on several
 vectors: each one is found and asks on its own. Fewer than k vectors give shorter answers.
 """
@@ -29,21 +29,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT, K = 16, 10
+#: Bytes before a code that say how many components the vector has.
+LENGTH = 4
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 1_024
 #: Queries that a task takes through a radius at once.
 AT_ONCE = 64
 
 
-def _codes(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [v is not None and len(v) == bits for v in batch.column(1).to_pylist()]
-            batch = batch.filter(pa.array(rows, pa.bool_()))
-            flat = batch.column(1).flatten().fill_null(0).to_numpy(zero_copy_only=False)
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The code of each vector, behind the number of its components; batches of one length each."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0)
+        for bits in filter(None, pc.unique(sizes).to_pylist()):
+            mine = batch.filter(pc.equal(sizes, bits))
+            flat = mine.column(1).flatten().fill_null(0).to_numpy(zero_copy_only=False)
             packed = np.packbits(flat.reshape(-1, bits) > 0, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in packed], pa.binary())], names=["id", "code"])
-
-    return run
+            length = bits.to_bytes(LENGTH, "big")
+            yield pa.RecordBatch.from_arrays(
+                [mine.column(0), pa.array([bits] * len(packed), pa.int32()), pa.array([length + c.tobytes() for c in packed], pa.binary())], names=["id", "bits", "code"]
+            )
 
 
 class Index:
@@ -112,7 +116,7 @@ def _nearest(q: np.ndarray, c: np.ndarray, d: np.ndarray, k: int) -> tuple[np.nd
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Codes as rows of bytes, filled up to whole segments."""
-    codes = column.to_pylist()
+    codes = [c[LENGTH:] for c in column.to_pylist()]
     width = -(-len(codes[0]) // 2) * 2
     return np.frombuffer(b"".join(c.ljust(width, b"\0") for c in codes), np.uint8).reshape(len(codes), width)
 
@@ -139,23 +143,20 @@ def _cell(k: int):
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K) -> DataFrame:
     """query_id, rank from 1, vec_id and distance: the k nearest of all vectors for each query vector."""
-    bits = vectors.agg(F.max(F.size(embedding))).first()[0] or 0
-    if bits <= 0:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, distance int")
-    coded = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("v")).mapInArrow(_codes(bits), "id long, code binary")
+    coded = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("v")).mapInArrow(_codes, "id long, bits int, code binary")
     by_code = Window.partitionBy("code").orderBy("id")
     ranked = coded(vectors).withColumn("nth", F.row_number().over(by_code)).where(F.col("nth") <= k)
     # in structs, as collect_list leaves out nulls
-    classes = ranked.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id"))).alias("ids"))
+    classes = ranked.groupBy("bits", "code").agg(F.sort_array(F.collect_list(F.struct("id"))).alias("ids"))
     classes = classes.withColumn("first", F.col("ids")[0]["id"])
     asked = coded(queries.where(F.col(vec_id).isNotNull()))
-    asks = asked.select("code").distinct()
+    asks = asked.select("bits", "code").distinct()
     index_blocks, query_blocks = max(1, -(-vectors.count() // INDEX_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = classes.select("first", "code", block(index_blocks).alias("i"), every(query_blocks).alias("q"))
-    right = asks.select("code", block(query_blocks).alias("q"), every(index_blocks).alias("i"))
-    found = left.groupBy("i", "q").cogroup(right.groupBy("i", "q")).applyInArrow(_cell(k), FOUND)
+    left = classes.select("first", "bits", "code", block(index_blocks).alias("i"), every(query_blocks).alias("q"))
+    right = asks.select("bits", "code", block(query_blocks).alias("q"), every(index_blocks).alias("i"))
+    found = left.groupBy("bits", "i", "q").cogroup(right.groupBy("bits", "i", "q")).applyInArrow(_cell(k), FOUND)
     near = Window.partitionBy("ask").orderBy("distance", "first", "found")
     found = found.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= k)
     ids = found.join(classes.select(F.col("code").alias("found"), "ids"), "found").select("ask", "distance", F.inline("ids").alias("vec_id"))

@@ -258,6 +258,19 @@ def test_hamming_search_with_ids_that_repeat(spark):
     assert got == sorted(want)
 
 
+def test_hamming_search_of_several_lengths(spark):
+    rnd = np.random.default_rng(6)
+    sizes = [24] * 30 + [25] * 3 + [8] * 4 + [65]
+    rows = [(i, [float(x) for x in rnd.normal(size=n)]) for i, n in enumerate(sizes)] + [(50, []), (60, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in nearest(df, df, k=5).select("query_id", "rank", "distance", "vec_id").collect())
+    want = []
+    for i, n in enumerate(sizes):
+        near = sorted((sum((x > 0) != (y > 0) for x, y in zip(rows[i][1], rows[j][1])), j) for j, m in enumerate(sizes) if m == n)[:5]
+        want += [(i, rank, *d) for rank, d in enumerate(near, 1)]
+    assert got == want
+
+
 def test_language_id(spark, docs, nothing):
     rnd = random.Random(1)
     say = {"xx": "abcde", "yy": "vwxyz"}
