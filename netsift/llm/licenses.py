@@ -7,7 +7,8 @@ a licence inside a longer text is no match.
 
 Null and empty texts have the digest of the empty string and no licence. A text that several names share goes by
 the first name in order. Repeated rows each get their row. Other columns are ignored, very long texts need nothing
-special. The table of licences is a constant of this module, so its broadcast is bounded.
+special. The licences known by themselves are the constants of this module, so their broadcast is bounded; any table of
+further texts can be given instead, and Spark chooses how it is joined.
 """
 
 from __future__ import annotations
@@ -93,17 +94,24 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def license_digests(texts: DataFrame) -> DataFrame:
+    """canonical_sha256 and license_id of licence texts, given as name and text; those without a word are left out."""
+    texts = texts.where(canonical(F.col("text")) != "")
+    return texts.groupBy(digest(F.col("text")).alias("canonical_sha256")).agg(F.min("name").alias("license_id"))
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """canonical_sha256 and license_id of the licences known here."""
     rows = F.inline(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(text).alias("text")) for name, text in LICENSES]))
-    return spark.range(1).select(rows).groupBy(digest(F.col("text")).alias("canonical_sha256")).agg(F.min("name").alias("license_id"))
+    return license_digests(spark.range(1).select(rows))
 
 
-def scan_licenses(documents: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, canonical_sha256, and license_id where the whole text is a known licence."""
+def scan_licenses(documents: DataFrame, known: DataFrame | None = None, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, canonical_sha256, and license_id where the whole text is a known licence: one of `known`, a table of
+    name and text, or else of LICENSES."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("canonical_sha256"))
-    known = F.broadcast(known_licenses(documents.sparkSession))
-    return docs.join(known, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id")
+    table = F.broadcast(known_licenses(documents.sparkSession)) if known is None else license_digests(known)
+    return docs.join(table, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id")
 
 
 def _sql_text(value: str) -> str:

@@ -198,6 +198,14 @@ def test_licenses(spark, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def test_licenses_of_a_given_table(spark):
+    full = "Example License\n\nYou may do as you like.\n\nEND OF TERMS"
+    known = spark.createDataFrame([("Example-1.0", full), ("Alias", full.upper()), ("Blank", " \n"), ("Null", None)], "name string, text string")
+    texts = [full.replace("\n", " "), "Copyright 2020 X\n" + full, "", None, f"{full} more", dict(licenses.LICENSES)["MIT"]]
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(frame(spark, texts), known).collect()}
+    assert got == {0: "Alias", 1: "Alias", 2: None, 3: None, 4: None, 5: None}
+
+
 def test_chat_layouts(spark):
     records = [
         '{"prompt": "p", "response": "r"}', '{"instruction": "i", "input": "", "output": "o"}', '{"messages": [{"role": "system", "content": null}, {"content": "c", "role": "user"}]}',
