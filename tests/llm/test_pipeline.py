@@ -27,6 +27,16 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id is not None, r.doc_id) for r in left if r.doc_id) == [(True, 1), (True, 3), (True, 4)] and sum(r.doc_id is None for r in left) == 1
 
 
+def test_one_id_with_different_texts(spark):
+    near, clean, own = "a b c d e f g h", "other words that stand nowhere else at all", "one two three four five six seven"
+    rows = [(1, near), (2, near.upper()), (2, clean), (5, own), (5, own.upper()), (5, own), (6, None), (6, None), (7, ""), (7, "")]
+    left = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert left.columns == ["doc_id", "text"]
+    got = sorted((r.doc_id, r.text if r.doc_id != 5 else "own") for r in left.collect() if r.text)
+    assert got == [(1, near), (2, clean), (5, "own")]
+    assert sorted((r.doc_id, r.text) for r in left.collect() if not r.text) == [(6, None), (6, None), (7, ""), (7, "")]
+
+
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_against_sql(spark, name):
     con = duckdb.connect()
