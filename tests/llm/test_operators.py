@@ -330,3 +330,21 @@ def test_packing(docs, nothing):
             at += n
         assert at <= 64
     assert pack_documents(nothing, WORD).count() == 0
+
+
+def test_hamming_search_in_split_parts(spark):
+    """A segment value that most codes share, parts of a few codes, and a query that is far from all others."""
+    rnd = np.random.default_rng(9)
+    v = rnd.normal(size=(400, 48))
+    v[:300, :20] = 1.0
+    v[380:, :] = -1.0
+    v[380:, :6] = rnd.normal(size=(20, 6))
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = df.where("vec_id % 20 = 0").unionByName(spark.createDataFrame([(1000, [-1.0, 1.0] * 24)], df.schema))
+    got = sorted((r.query_id, r.rank, r.distance, r.vec_id) for r in nearest(df, asked, k=7, per_part=16).collect())
+    want = []
+    for i, x in [(r.vec_id, r.embedding) for r in asked.collect()]:
+        near = sorted((int(((np.array(x) > 0) != (y > 0)).sum()), j) for j, y in enumerate(v))[:7]
+        want += [(i, rank, *n) for rank, n in enumerate(near, 1)]
+    assert got == sorted(want)
