@@ -1,14 +1,17 @@
 """Exact token counts of whole texts under a piece-wise BPE vocabulary with byte fallback.
 
-Method: rank-synchronous merging of arrays. A text is cut where no piece of the vocabulary spans two neighbouring
-characters, and each distinct unit is counted once per worker. Units of a batch lie end to end in one array of
-symbols. In every round each unit finds its pair of lowest rank and all units apply theirs at once; where a merge
-can make no pair of a lower rank, all places of the unit's best pair are merged in the same round,
-else only the first. What survives are the tokens; a symbol without a piece counts its UTF-8 bytes.
+Method: rank-synchronous merging of arrays. A text is cut into units at blanks, and each distinct unit is counted once
+per worker. Units of a batch lie end to end in one array of symbols, which is cut further where no piece of the
+vocabulary that stands in it spans two neighbouring characters. In every round each sequence between cuts applies its
+pair of lowest rank, all sequences at once. In a long sequence every other pair goes along that is lowest as far as
+pieces standing there could reach it: only merges of lower rank come before its own, and if none within that reach is
+lower, none can take away one of its two symbols. So an unbroken text of a million characters takes few rounds, and a
+round touches only places that can still merge. What survives are the tokens; a symbol without a piece counts its UTF-8 bytes.
 
 Ranks come from the model file through its library; no text goes through the library's encoder. The model's
 conventions hold: a blank before the text, blanks written as U+2581, nothing trimmed or normalised, strings of
-control pieces inside a text are plain text. Null and empty texts have 0 bytes and 0 tokens. Repeated rows, ties
+control pieces inside a text are plain text. A very long text is counted group by group of units; one unbroken unit needs
+about 100 bytes of memory a character. Null and empty texts have 0 bytes and 0 tokens. Repeated rows, ties
 and other columns need no care: every row is counted by itself. An empty table gives an empty result.
 """
 
@@ -28,6 +31,7 @@ LIMIT = 4096
 BLANK = "\u2581"
 #: Distinct units whose counts a Python worker remembers; units that are merged in one array, by characters.
 UNIT_CACHE, ARRAY_CHARS = 400_000, 1_000_000
+PIECE_BITS = 22
 NONE = np.iinfo(np.int32).max
 ODD = re.compile(r"\n|[ \u2581]+[^ \u2581\n]*|[^ \u2581\n]+")
 
@@ -79,11 +83,38 @@ class Pieces:
                 d += 1
             self.slot[s + d], self.at[s + d] = k, i
             self.reach = max(self.reach, d)
-        # merges after which a pair of lower rank can arise beside them
+        # merges after which no pair of the same or a lower rank can arise beside them
         lowest = np.full(len(self.symbol), NONE, np.int64)
         np.minimum.at(lowest, keys >> 20, self.rank)
         np.minimum.at(lowest, keys & ((1 << 20) - 1), self.rank)
-        self.calm = lowest >= np.where(rank == NONE, 0, rank)
+        self.calm = lowest > np.where(rank == NONE, 0, rank)
+        # strings that may be pieces, by a hash of their characters; others may look like one
+        self.longest = max(map(len, text))
+        self.maybe = np.zeros(1 << PIECE_BITS, bool)
+        for size in range(2, self.longest + 1):
+            some = [p for p in text if len(p) == size]
+            points = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32).reshape(len(some), size)
+            self.maybe[self._spot(next(x for n, x in self._grams(points.ravel()) if n == size)[::size])] = True
+
+    def _grams(self, points: np.ndarray):
+        """For each length from 2 the hashes of the strings of that length."""
+        value = points.astype(np.uint64)
+        for size in range(2, min(self.longest, len(points)) + 1):
+            value = value[:-1] * np.uint64(0x9E3779B97F4A7C15) + points[size - 1 :] + np.uint64(size)
+            yield size, value
+
+    def _spot(self, value: np.ndarray) -> np.ndarray:
+        return ((value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - PIECE_BITS)
+
+    def reaches(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the longest piece ends that may start at each place, and where that starts which may end before it."""
+        ends = np.arange(1, len(points) + 2, dtype=np.int32)
+        starts = np.arange(-1, len(points), dtype=np.int32)
+        for size, value in self._grams(points):
+            at = np.flatnonzero(self.maybe[self._spot(value)]).astype(np.int32)
+            ends[at] = at + size
+            starts[at + size] = at
+        return ends, starts
 
     def _first(self, key):
         return (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
@@ -106,48 +137,73 @@ def merge_counts(units: list[str], pieces: Pieces) -> np.ndarray:
     unit = np.repeat(np.arange(len(units), dtype=np.int32), size)
     known = np.where(points < len(pieces.char), pieces.char[np.minimum(points, len(pieces.char) - 1)], -1)
     width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    total = np.bincount(unit[known < 0], width[known < 0], len(units)).astype(np.float64)
-    cost = np.where(known < 0, 0, pieces.bytes[known])
-    # a boundary where the unit changes, at an unknown character, and where no piece holds both characters
-    cut = np.ones(len(points), bool)
-    if len(points) > 1:
-        cut[1:] = (unit[1:] != unit[:-1]) | (known[1:] < 0) | (known[:-1] < 0)
-        inner = np.flatnonzero(~cut)
-        cut[inner] = ~pieces.inside[known[inner - 1], known[inner]]
-    part = np.cumsum(cut, dtype=np.int32) - 1
-    live = known >= 0
-    symbol, part, unit, cost = known[live], part[live], unit[live], cost[live]
-    while len(symbol):
-        pair = np.full(len(symbol), -1, np.int32)
-        same = np.flatnonzero(part[1:] == part[:-1])
-        pair[same] = pieces.pair(symbol[same], symbol[same + 1])
-        rank = np.where(pair >= 0, pieces.rank[pair], NONE)
-        start, length = runs(part)
-        best = np.minimum.reduceat(rank, start)
-        done = np.repeat(best == NONE, length)
-        if done.any():
-            tokens = np.where(pieces.bytes[symbol[done]] > 0, pieces.bytes[symbol[done]], 1)
-            total += np.bincount(unit[done], tokens, len(units))
-            keep = ~done
-            symbol, part, unit, pair, rank = symbol[keep], part[keep], unit[keep], pair[keep], rank[keep]
-            if not len(symbol):
-                break
-            start, length = runs(part)
-            best = np.minimum.reduceat(rank, start)
-        at = np.flatnonzero(rank == np.repeat(best, length))
-        # of places next to each other every other one, from the left
-        row, n = runs(at - np.arange(len(at)) + part[at].astype(np.int64) * 2**32)
-        at = at[(np.arange(len(at)) - np.repeat(row, n)) % 2 == 0]
-        made = pieces.made[pair[at]]
-        first = np.ones(len(at), bool)
-        first[1:] = part[at[1:]] != part[at[:-1]]
-        at, made = at[ok := first | pieces.calm[made]], made[ok]
-        symbol = symbol.copy()
-        symbol[at] = made
-        keep = np.ones(len(symbol), bool)
-        keep[at + 1] = False
-        symbol, part, unit = symbol[keep], part[keep], unit[keep]
-    return total.astype(np.int64)
+    cost = np.where(known < 0, width, np.where(pieces.bytes[known] > 0, pieces.bytes[known], 1))
+    alive, merged = _merged(points, known, unit, pieces)
+    cost[merged] = 1
+    return np.bincount(unit[alive], cost[alive], len(units)).astype(np.int64)
+
+
+def _merged(points: np.ndarray, known: np.ndarray, unit: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The first characters of what is left when no pair can be merged, and those of merged ones."""
+    n = len(points)
+    right, left = pieces.reaches(points)
+    # a sequence ends where the unit does, at an unknown character, and where no piece that stands here goes on
+    cut = np.ones(n, bool)
+    cut[1:] = (unit[1:] != unit[:-1]) | (known[1:] < 0) | (known[:-1] < 0) | (np.maximum.accumulate(right[: n - 1]) <= np.arange(1, n))
+    start, length = runs(np.cumsum(cut, dtype=np.int32))
+    end = np.append(np.repeat(start + length, length), n).astype(np.int32)
+    right, left = np.minimum(right, end), np.maximum(left, np.append(np.repeat(start, length), n).astype(np.int32))
+    # symbols by their first characters, as linked lists; the last element stands for what is before and after all
+    symbol, stop = np.append(known, -1).astype(np.int32), np.arange(1, n + 2, dtype=np.int32)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after[n], before[0] = n, n
+    rank, made = np.full(n + 1, NONE, np.int32), np.zeros(n + 1, np.int32)
+    alive, merged = np.ones(n, bool), np.zeros(n, bool)
+    fresh = np.flatnonzero(~cut[1:]).astype(np.int32)
+    while len(fresh):
+        pair = pieces.pair(symbol[fresh], symbol[after[fresh]])
+        rank[fresh] = np.where(pair >= 0, pieces.rank[pair], NONE)
+        made[fresh] = pieces.made[pair]
+        at = np.flatnonzero(rank != NONE).astype(np.int32)
+        if not len(at):
+            break
+        mine, safe = rank[at], np.ones(len(at), bool)
+        # pairs after this one that could grow to take its second symbol
+        some, reach = np.arange(len(at)), right[after[at]]
+        other = after[at]
+        while len(some):
+            inside = stop[after[other]] <= reach
+            some, other, reach = some[inside], other[inside], reach[inside]
+            low = rank[other] < mine[some]
+            safe[some[low]] = False
+            some, other, reach = some[~low], after[other[~low]], reach[~low]
+        # pairs before it that could grow to take its first symbol; one of the same rank comes earlier
+        some = np.flatnonzero(safe)
+        reach, other, step = left[stop[at[some]]], before[at[some]], 1
+        while len(some):
+            inside = (other < n) & (other >= reach)
+            some, other, reach = some[inside], other[inside], reach[inside]
+            low = (rank[other] < mine[some]) | ((rank[other] == mine[some]) & (step > 1) & ~pieces.calm[made[at[some]]])
+            safe[some[low]] = False
+            some, other, reach, step = some[~low], before[other[~low]], reach[~low], step + 1
+        # of pairs of one rank that overlap every other one, from the left, as far as all before are safe
+        new = np.ones(len(at), bool)
+        new[1:] = (after[at[:-1]] != at[1:]) | (mine[1:] != mine[:-1])
+        first = np.flatnonzero(new)
+        begin = np.repeat(first, np.diff(np.append(first, len(at))))
+        unsafe = np.cumsum(~safe)
+        good = safe & (unsafe == unsafe[begin]) & safe[begin] & ((np.arange(len(at)) - begin) % 2 == 0)
+        at = at[good]
+        gone = after[at]
+        symbol[at], stop[at], after[at] = made[at], stop[gone], after[gone]
+        before[after[gone]] = at
+        before[n] = n
+        alive[gone], merged[at], rank[gone], rank[at] = False, True, NONE, NONE
+        fresh = np.unique(np.concatenate((at, before[at])))
+        fresh = fresh[fresh < n]
+        rank[fresh] = NONE
+        fresh = fresh[stop[fresh] < end[fresh]]
+    return np.flatnonzero(alive), np.flatnonzero(merged & alive)
 
 
 def _units(text: str) -> list[str]:
