@@ -7,9 +7,14 @@ place in a document, and all of them lie on diagonals at most e apart. So q-gram
 overlapping bands of 2 (e + 1) diagonals, and passages that hold enough of a band's are verified, those of neighbouring
 starts at once, by a banded alignment against the text of the band.
 
+Texts go window by window, and a window with many shared q-grams in smaller ones and by ranges of items, so that
+memory follows neither the length of a text nor how much it repeats. Neighbouring windows overlap by a passage and
+its edits. Long items are held in segments for the same reason.
+
 The edit budget of a passage is BUDGET of its length, less where the bound would fall below one q-gram. Items with
 fewer than Q characters left, null ones included, match nothing; null and empty documents contain nothing. Equal
-items each report their match. Repeated documents report as often as they stand. Other columns are ignored or,
+items each report their match. A match says where the first passage found begins, by an alignment from its end backwards,
+and where the last one ends. Very long texts take time in proportion. No documents give no rows. Repeated documents report as often as they stand. Other columns are ignored or,
 in `clean_documents`, kept. The benchmark is taken in blocks of BLOCK_CHARS, each broadcast on its own.
 """
 
@@ -31,6 +36,8 @@ BLOCK_CHARS = 4_000_000
 FILTER_BITS = 22
 #: Bands and passages that are aligned at once.
 BANDS, AT_ONCE = 8, 512
+#: Characters of a text, and starts of an item, that are handled at once; shared q-grams that are gathered at once.
+WINDOW, SEGMENT, HITS = 200_000, 1_024, 400_000
 OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 MATCHES = "doc_id long, item_id long, start long, stop long, edits int, passages int"
 
@@ -60,42 +67,72 @@ class Passages:
     """Benchmark items, all of whose passages count, and an index from the hash of a q-gram to where it stands in them."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, length: int = PASSAGE, budget: float = BUDGET) -> None:
-        self.q, self.item, self.text, edits = q, [], [], []
-        for number, raw in items:
+        self.q, self.item, self.text, edits, sizes = q, [], [], [], []
+        for nth, (number, raw) in enumerate(items):
             text = normalised(raw)
             if len(text) >= q:
                 size = min(length, len(text))
-                self.item.append(number)
-                self.text.append(text)
-                edits.append(max(0, min(int(budget * size), size // q - 1)))
+                for begin in range(0, len(text) - size + 1, SEGMENT):
+                    self.item.append((number, nth, begin))
+                    self.text.append(text[begin : begin + SEGMENT + size - 1])
+                    edits.append(max(0, min(int(budget * size), size // q - 1)))
+                    sizes.append(size)
         self.points = [_points(t) for t in self.text]
         grams = [_qgrams(p, q) for p in self.points]
         self.edits = np.array(edits, np.int64)
-        self.size = np.array([min(length, len(t)) for t in self.text], np.int64)
+        self.size = np.array(sizes, np.int64)
         self.last = np.array([len(t) for t in self.text], np.int64) - self.size
         self.least = self.size + 1 - q * (self.edits + 1)
+        self.overlap = int((self.size + 2 * self.edits).max(initial=0)) + q
         lengths = np.array([len(g) for g in grams], np.int64)
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         first, self.count = runs(flat[order])
         self.gram, self.first = flat[order][first], first
+        # entries by q-gram, then by owner
         self.owner = np.repeat(np.arange(len(grams)), lengths)[order]
         self.place = spans(np.zeros(len(grams), np.int64), lengths)[order]
+        self.key = np.repeat(np.arange(len(first)), self.count) * len(grams) + self.owner
         self.bits = np.zeros(1 << FILTER_BITS, bool)
         self.bits[(self.gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def candidates(self, points: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """Item, first and last start of passages, first and last diagonal, where enough q-grams are shared."""
+    def hits(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of q-grams that items have, and entries of the index for them, a bounded number at once."""
         grams = _qgrams(points, self.q)
         at = np.flatnonzero(self.bits[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         if not len(at) or not len(self.gram):
-            return []
+            return
         slot = np.minimum(np.searchsorted(self.gram, grams[at]), len(self.gram) - 1)
-        hit = self.gram[slot] == grams[at]
-        at, slot = at[hit], slot[hit]
-        entry = spans(self.first[slot], self.count[slot])
+        same = self.gram[slot] == grams[at]
+        at, slot = at[same], slot[same]
+        upto, begin = np.append(0, np.cumsum(self.count[slot])), 0
+        while begin < len(at):
+            # as many places as have so many entries, but no fewer than two overlaps of text
+            stop = max(int(np.searchsorted(upto, upto[begin] + HITS, side="right")) - 1, int(np.searchsorted(at, at[begin] + 2 * self.overlap)))
+            stop = min(stop, len(at))
+            many, owners = int(upto[stop] - upto[begin]), len(self.text)
+            step = max(1, owners * HITS // max(1, many))
+            some, mine = at[begin:stop], slot[begin:stop]
+            for o in range(0, owners, step):
+                if step >= owners:
+                    low, count = self.first[mine], self.count[mine]
+                else:
+                    low = np.searchsorted(self.key, mine * owners + o)
+                    count = np.searchsorted(self.key, mine * owners + min(o + step, owners)) - low
+                if count.any():
+                    yield np.repeat(some, count), spans(low, count)
+            if stop == len(at):
+                return
+            begin = max(begin + 1, int(np.searchsorted(at, at[stop - 1] - self.overlap)))
+
+    def candidates(self, points: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Item, first and last start of passages, first and last diagonal, where enough q-grams are shared."""
+        for at, entry in self.hits(points):
+            yield from self._dense(at, entry)
+
+    def _dense(self, at: np.ndarray, entry: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         owner, place = self.owner[entry], self.place[entry]
-        band = (np.repeat(at, self.count[slot]) - place + _ZERO) // (self.edits[owner] + 1)
+        band = (at - place + _ZERO) // (self.edits[owner] + 1)
         # a diagonal lies in the band that starts at its own multiple of the width and in the one before
         key = np.concatenate((owner << 40 | band, owner << 40 | (band - 1)))
         ordered = np.sort(key)
@@ -133,13 +170,27 @@ class Passages:
         width = (self.edits + 1).tolist()
         return [(item, s, t, b * width[item] - _ZERO, (c + 2) * width[item] - 1 - _ZERO) for item, s, t, b, c in out]
 
-    def matches(self, text: str) -> dict[int, list[int]]:
-        """Start, end, least edits and number of passages of each item that the normalised text holds."""
+    def matches(self, text: str, any_of_them: bool = False) -> dict[int, list[int]]:
+        """Start, end, least edits and number of passages of each item that the normalised text holds.
+
+        any_of_them: the first passages found are enough.
+        """
         found: dict[int, list[int]] = {}
         held: dict[tuple[int, int], set[int]] = {}
+        for begin in range(0, len(text), WINDOW):
+            self._matched(text[begin : begin + WINDOW + self.overlap], begin, found, held, any_of_them)
+            if any_of_them and found:
+                break
+        return found
+
+    def _matched(self, text: str, begin: int, found: dict[int, list[int]], held: dict[tuple[int, int], set[int]], any_of_them: bool) -> None:
         points = _points(text)
         for item, first, last, low, high in self.candidates(points):
             size, most = int(self.size[item]), int(self.edits[item])
+            if any_of_them and found:
+                return
+            number, nth, base = self.item[item]
+            mine = held.setdefault((number, nth), set())
             for s in range(first, last + 1, AT_ONCE):
                 t = min(last, s + AT_ONCE - 1)
                 whole = self.text[item][s : t + size]
@@ -151,16 +202,29 @@ class Passages:
                 good = np.flatnonzero(edits <= most)
                 if not len(good):
                     continue
-                number = self.item[item]
-                mine = held.setdefault((number, item), set())
                 before = len(mine)
-                mine.update((s + good).tolist())
-                span = max(0, int(ends[good].min()) - size), int(ends[good].max()), int(edits[good].min()), len(mine) - before
+                mine.update((base + s + good).tolist())
+                k = good[ends[good].argmin()]
+                start = int(ends[k]) - reach_back(self.points[item][s + k : s + k + size], points[: ends[k]], int(edits[k]))
+                span = begin + start, begin + int(ends[good].max()), int(edits[good].min()), len(mine) - before
                 if (old := found.get(number)) is None:
                     found[number] = list(span)
                 else:
                     old[:] = min(old[0], span[0]), max(old[1], span[1]), min(old[2], span[2]), old[3] + span[3]
-        return found
+
+
+def reach_back(passage: np.ndarray, text: np.ndarray, edits: int) -> int:
+    """How many of the last characters of the text the passage makes with so few edits; the fewest if several do."""
+    if not edits:
+        return len(passage)
+    text = text[::-1][: len(passage) + edits]
+    step = np.arange(len(text) + 1)
+    row = step.copy()
+    for c in passage[::-1]:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (text != c))
+        row = np.minimum.accumulate(new - step) + step
+    return int(row.argmin())
 
 
 def window_edits(item: np.ndarray, size: int, first: int, last: int, text: np.ndarray, low: int, high: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +284,7 @@ def _keep(passages, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in text_groups(batch, text):
-                clean = [not passages.value.matches(normalised(t)) for t in group.column(text).to_pylist()]
+                clean = [not passages.value.matches(normalised(t), any_of_them=True) for t in group.column(text).to_pylist()]
                 yield group.filter(pa.array(clean, pa.bool_()))
 
     return run
