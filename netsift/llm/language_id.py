@@ -1,12 +1,14 @@
 """Language of whole texts by multinomial naive Bayes over hashed character n-grams.
 
 The counts of a bounded sample of labelled rows are gathered by Spark; the matrix of log-probabilities, languages x
-BUCKETS numbers whatever the corpus, is broadcast, and batches of texts are scored with numpy: each n-gram takes its
-row of the matrix and rows are added up by text.
+BUCKETS numbers whatever the corpus, is broadcast. Batches of texts become sparse counts, how often each n-gram bucket
+occurs in each text, and these times the rows of the matrix are added up by text.
 
 A prediction rests on the text alone. Null text and text without a letter (Unicode category L) give `und` with
-score 0. Rows with a null label or null text are not learned from. Ties go to the language first in order.
-Without any labelled row everything is `und`. Repeated rows count as often as they stand.
+score 0. Rows with a null label or null text are not learned from. Ties go to the language first in order. A very long text is
+counted in chunks, so that memory follows neither its length nor the number of languages.
+Without any labelled row everything is `und`. Repeated rows count as often as they stand; repeated ids are thinned
+together. Other columns are ignored. An empty table gives an empty result, and a model of nothing.
 """
 
 from __future__ import annotations
@@ -19,41 +21,70 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import mix, spans, text_groups
+from netsift.llm.common import mix, runs, text_groups
 
 ORDERS = (1, 2, 3)
-BUCKETS = 1 << 15
-#: The sample of labelled rows is thinned by a hash of their id to about so many.
-SAMPLE_ROWS = 20_000
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
+#: The sample of labelled rows is thinned by a hash of their id to about so many, the same number of each label, but
+#: to no fewer than LEAST_ROWS of a label.
+SAMPLE_ROWS, LEAST_ROWS = 20_000, 500
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
-
-
-def _grams(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Lengths of the texts, and for each order the bucket of the n-gram at every position of them end to end."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    found = []
-    for n in ORDERS:
-        value = np.full(max(0, len(points) - n + 1), n, np.uint64)
-        for i in range(n if len(value) else 0):
-            value *= np.uint64(0x100000001B3)
-            value += points[i : i + len(value)]
-        found.append((n, (mix(value) >> np.uint64(49)).astype(np.int32)))
-    return np.array([len(t) for t in texts], np.int64), found
+#: Characters that are counted at once, and numbers of the matrix that are taken at once.
+CHUNK, TAKEN = 500_000, 2_000_000
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Numbers of texts, strings of them of bounded total length, and at how many places of each n-grams may begin."""
+    numbers, strings, places, held = [], [], [], 0
+    for number, text in enumerate(texts):
+        for begin in range(0, len(text), CHUNK):
+            some = text[begin : begin + CHUNK + ORDERS[-1] - 1]
+            if numbers and (held + len(some) > CHUNK or len(numbers) >> (32 - BUCKET_BITS)):
+                yield numbers, strings, places
+                numbers, strings, places, held = [], [], [], 0
+            numbers.append(number)
+            strings.append(some)
+            places.append(min(CHUNK, len(text) - begin))
+            held += len(some)
+    if numbers:
+        yield numbers, strings, places
+
+
+def sparse_counts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Text, bucket and count of the n-grams of the texts, each sorted by text; a long text may come several times."""
+    for numbers, strings, places in _chunks(texts):
+        points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        length = np.array([len(x) for x in strings], np.int64)
+        string = np.repeat(np.arange(len(strings), dtype=np.uint32) << np.uint32(BUCKET_BITS), length)
+        # places from here on to the end of their string, and to where n-grams may begin
+        left = np.repeat(np.cumsum(length), length) - np.arange(len(points))
+        last = np.repeat(length - np.array(places, np.int64), length)
+        keys = []
+        for n in ORDERS:
+            value = np.full(max(0, len(points) - n + 1), n, np.uint64)
+            for i in range(n if len(value) else 0):
+                value *= np.uint64(0x100000001B3)
+                value += points[i : i + len(value)]
+            bucket = (mix(value) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32)
+            keys.append((string[: len(value)] | bucket)[left[: len(value)] >= np.maximum(n, last[: len(value)] + 1)])
+        key = np.sort(np.concatenate(keys))
+        first, count = runs(key)
+        pair = key[first]
+        yield np.array(numbers)[pair >> np.uint32(BUCKET_BITS)], (pair & np.uint32(BUCKETS - 1)).astype(np.int64), count
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         for group in text_groups(batch):
-            labels = np.array(group.column(0).to_pylist(), object)
-            length, found = _grams([t.lower() for t in group.column(1).to_pylist()])
-            begin = np.cumsum(length) - length
-            for label in set(labels):
-                mine = labels == label
-                sums = total.setdefault(label, np.zeros(BUCKETS, np.int64))
-                for n, bucket in found:
-                    sums += np.bincount(bucket[spans(begin[mine], np.maximum(0, length[mine] - n + 1))], minlength=BUCKETS)
+            names, labels = np.unique(np.array(group.column(0).to_pylist(), object), return_inverse=True)
+            for text, bucket, n in sparse_counts([t.lower() for t in group.column(1).to_pylist()]):
+                for k, name in enumerate(names):
+                    mine = labels[text] == k
+                    sums = total.setdefault(name, np.zeros(BUCKETS, np.int64))
+                    sums += np.bincount(bucket[mine], n[mine], BUCKETS).astype(np.int64)
     for label, sums in total.items():
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pydict({"label": pa.array([label] * len(at)), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(sums[at])})
@@ -67,38 +98,39 @@ class Model:
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The most probable language of each text and its probability."""
-        length, found = _grams([t.lower() for t in texts])
-        begin = np.cumsum(length) - length
-        total = np.tile(self.prior, (len(texts), 1))
-        for n, bucket in found:
-            has = np.flatnonzero(length >= n)
-            if len(has):
-                edges = np.empty(2 * len(has), np.int64)
-                edges[0::2], edges[1::2] = begin[has], begin[has] + length[has] - n + 1
-                rows = np.concatenate((self.rows[bucket], np.zeros((1, len(self.languages)), np.float32)))
-                total[has] += np.add.reduceat(rows, edges, axis=0)[0::2]
+        total, step = np.tile(self.prior, (len(texts), 1)), max(1, TAKEN // len(self.languages))
+        for text, bucket, n in sparse_counts([t.lower() for t in texts]):
+            for s in range(0, len(text), step):
+                some = text[s : s + step]
+                first, _ = runs(some)
+                total[some[first]] += np.add.reduceat(self.rows[bucket[s : s + step]] * n[s : s + step, None].astype(np.float32), first, axis=0, dtype=np.float64)
         best = total.argmax(axis=1)
         total -= total.max(axis=1, keepdims=True)
         return [self.languages[i] for i in best], 1 / np.exp(total).sum(axis=1)
 
 
 def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model from about sample_rows labelled rows, or all if there are fewer; None without any."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    count = rows.count()
-    if count > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) < int((1 << 30) * sample_rows / count))
-    counts = rows.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text")).mapInArrow(_counts, "label string, bucket int, n long")
+    """A model from about sample_rows labelled rows, or all if there are fewer; None without any.
+
+    Each label keeps up to an equal share of the sample, or LEAST_ROWS if that is more; the shares of all labelled rows
+    are the prior.
+    """
+    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).withColumn(label, F.col(label).cast("string"))
+    sizes = dict(rows.groupBy(label).count().collect())
+    if not sizes:
+        return None
+    languages, most = sorted(sizes), max(LEAST_ROWS, sample_rows // len(sizes))
+    if any(n > most for n in sizes.values()):
+        whole = 1 << 30
+        share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(whole, whole * most // n))])
+        rows = rows.where(F.pmod(F.xxhash64(doc_id), F.lit(whole)) < F.element_at(share, F.col(label)))
+    counts = rows.select(F.col(label).alias("label"), F.col(text).alias("text")).mapInArrow(_counts, "label string, bucket int, n long")
     table = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     labels, bucket, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("label", "bucket", "n"))
-    languages = sorted(set(labels))
-    if not languages:
-        return None
     matrix = np.ones((BUCKETS, len(languages)))
     matrix[bucket, np.searchsorted(np.array(languages, object), labels)] += n
     logs = np.log(matrix / matrix.sum(axis=0))
-    sizes = rows.groupBy(F.col(label).cast("string").alias("label")).count().collect()
-    prior = np.log(np.array([dict(sizes)[x] for x in languages], float) / sum(x["count"] for x in sizes))
+    prior = np.log(np.array([sizes[x] for x in languages], float) / sum(sizes.values()))
     return Model(languages, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32), prior)
 
 
@@ -140,8 +172,9 @@ def _known(model, text: int, least: float):
     return run
 
 
-def in_known_language(documents: DataFrame, model: Model | None, *, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents, whole rows, that have a letter and whose language is more probable than `least`."""
+def in_known_language(documents: DataFrame, model: Model | None, *, text: str = "text", least: float = 0.0) -> DataFrame:
+    """The documents, whole rows, whose language has at least the probability `least`; at 0 those go that `predict`
+    calls `und`, and no others."""
     sent = None if model is None else documents.sparkSession.sparkContext.broadcast(model)
     return documents.mapInArrow(_known(sent, documents.columns.index(text), least), documents.schema)
 
