@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from netsift.schema import HEADLINE, NARRATION
+
 CASE_ID = r"^FX-\d{8}-\d{6}$"
 
 
@@ -79,32 +81,26 @@ def filled_number(*values: Column) -> Column:
 def headline(predicted: Column, confidence: Column, strongest: Column) -> Column:
     """The sentence on a flow's prediction and its strongest contributor, a struct with feature and direction."""
     percent = F.format_string("%.2f%%", confidence * 100)
-    none = F.concat(F.lit("The model classified this flow as "), predicted, F.lit(" with "), percent, F.lit(" confidence, but no SHAP contributors were available."))
     did = F.when(strongest["direction"] == "supports_prediction", "supported").when(strongest["direction"] == "opposes_prediction", "opposed")
     did = did.when(strongest["direction"] == "neutral", "had a neutral effect on").otherwise("influenced")
-    some = F.concat(
-        F.lit("The model classified this network flow as "), predicted, F.lit(" with "), percent, F.lit(' confidence. The strongest SHAP contributor was "'), strongest["feature"],
-        F.lit('". Its observed value '), did, F.lit(" the predicted class. The table below lists the most influential features for this prediction."),
-    )
-    return F.when(strongest.isNull(), none).otherwise(some)
+    some = F.format_string(HEADLINE["some"], predicted, percent, strongest["feature"], did)
+    return F.when(strongest.isNull(), F.format_string(HEADLINE["none"], predicted, percent)).otherwise(some)
 
 
 def narration(predicted: Column, contributors: Column) -> Column:
     """Up to three supporting and two opposing features in words; contributors by rank."""
     names = lambda keep, n: F.array_join(F.slice(F.transform(F.filter(contributors, keep), lambda x: x["feature"]), 1, n), ", ")
-    start = F.concat(F.lit("The XGBoost classifier predicted '"), predicted, F.lit("'."))
+    start = F.format_string(NARRATION["start"], predicted)
     yes, no = names(lambda x: x["shap_value"] > 0, 3), names(lambda x: x["shap_value"] < 0, 2)
-    parts = F.array(
-        start,
-        F.when(yes != "", F.concat(F.lit("The strongest TreeSHAP features supporting this prediction were "), yes, F.lit("."))),
-        F.when(no != "", F.concat(F.lit("Features that opposed the prediction included "), no, F.lit("."))),
-    )
-    empty = F.concat(start, F.lit(" No TreeSHAP feature contributions were available for natural-language explanation."))
+    parts = F.array(start, F.when(yes != "", F.format_string(NARRATION["yes"], yes)), F.when(no != "", F.format_string(NARRATION["no"], no)))
+    empty = F.concat(start, F.lit(NARRATION["empty"]))
     return F.when(contributors.isNull() | (F.size(contributors) == 0), empty).otherwise(F.array_join(parts, " "))
 
 
 def prompt(predicted: Column, confidence: Column, contributors: Column, n: int = 5) -> Column:
     """A grounded prompt for one flow: its class, confidence and first n contributors. No model is called."""
     line = lambda x: F.concat(F.lit("- "), x["feature"], F.lit(": value "), general_value(x["raw_value"]), F.lit(", contribution "), general_value(x["shap_value"]), F.lit(", "), x["direction"])
-    head = F.concat(F.lit("Explain only from these facts.\nPredicted class: "), predicted, F.lit("\nConfidence: "), F.format_string("%.2f%%", confidence * 100), F.lit("\n"))
-    return F.concat(head, F.array_join(F.transform(F.slice(contributors, 1, n), line), "\n"))
+    sure = F.when(confidence.isNull(), "Not provided").otherwise(F.format_string("%.2f%%", confidence * 100))
+    head = F.concat(F.lit("Explain only from these facts.\nPredicted class: "), F.coalesce(predicted, F.lit("Unknown")), F.lit("\nConfidence: "), sure, F.lit("\n"))
+    lines = F.array_join(F.transform(F.slice(contributors, 1, n), line), "\n")
+    return F.concat(head, F.coalesce(lines, F.lit("")))

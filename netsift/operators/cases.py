@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netsift.functions.text import blank, or_default, priority, priority_rank, triage_endpoint
-from netsift.schema import DECISIONS, RECOMMENDATIONS
+from netsift.schema import DECISIONS, RECOMMENDATIONS, REPORT_STATUS
 
 FLOW = ["case_id", "flow_index"]
 
@@ -57,16 +57,18 @@ def reviews_without_finding(reviews: DataFrame, findings: DataFrame) -> DataFram
     return reviews.join(findings, FLOW, "left_anti")
 
 
-def with_explanations(findings: DataFrame, explained: DataFrame) -> DataFrame:
-    """A left join; of several explanations of a flow one counts, the last by confidence."""
-    last = Window.partitionBy(*FLOW).orderBy(F.desc("confidence"))
-    one = explained.withColumn("nth", F.row_number().over(last)).where("nth = 1").select(*FLOW, "base_value", "contributors")
-    return findings.join(one, FLOW, "left")
+def with_explanations(findings: DataFrame, explained: DataFrame, sequence: str | None = None) -> DataFrame:
+    """A left join. Where a flow may have several explanations, `sequence` names the column that orders them, and the last
+    counts; without it each flow has one."""
+    kept = ("base_value", "contributors")
+    if sequence is not None:
+        explained = explained.groupBy(*FLOW).agg(F.max_by(F.struct(*kept), sequence).alias("one")).select(*FLOW, *[F.col("one")[c].alias(c) for c in kept])
+    return findings.join(explained.select(*FLOW, *kept), FLOW, "left")
 
 
-def look_up(keys: DataFrame, findings: DataFrame, explained: DataFrame) -> DataFrame:
+def look_up(keys: DataFrame, findings: DataFrame, explained: DataFrame, sequence: str | None = None) -> DataFrame:
     """For every key asked for its finding and contributors; found tells whether there is a finding."""
-    have = with_explanations(findings, explained).select(*FLOW, "predicted_class", "confidence", "contributors", F.lit(True).alias("found"))
+    have = with_explanations(findings, explained, sequence).select(*FLOW, "predicted_class", "confidence", "contributors", F.lit(True).alias("found"))
     return keys.select(*FLOW).distinct().join(have, FLOW, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
@@ -160,10 +162,9 @@ def triage_counts(rows: DataFrame) -> DataFrame:
 def report_status(summary: DataFrame, reviews: DataFrame) -> DataFrame:
     n = F.coalesce("total_reviews", F.lit(0))
     left = F.greatest(F.lit(0), F.col("threat_flows") - n)
-    text = F.when(F.col("threat_flows") == 0, "Report loaded successfully. No threat flows were identified.")
-    text = text.when(left == 0, F.concat(F.lit("Report loaded successfully. All "), F.col("threat_flows").cast("string"), F.lit(" detected threat flows have investigator reviews.")))
-    some = F.concat(F.lit("Report loaded successfully. "), n.cast("string"), F.lit(" of "), F.col("threat_flows").cast("string"), F.lit(" detected threat flows have investigator reviews. "), left.cast("string"), F.lit(" remain unreviewed."))
-    return summary.join(review_summary(reviews), "case_id", "left").select("case_id", left.alias("unreviewed"), text.otherwise(some).alias("status"))
+    said = lambda text: F.format_string(text, n, F.col("threat_flows"), left)
+    text = F.when(F.col("threat_flows") == 0, REPORT_STATUS["none"]).when(left == 0, said(REPORT_STATUS["all"])).otherwise(said(REPORT_STATUS["some"]))
+    return summary.join(review_summary(reviews), "case_id", "left").select("case_id", left.alias("unreviewed"), text.alias("status"))
 
 
 def report_rows(findings: DataFrame, reviews: DataFrame) -> DataFrame:

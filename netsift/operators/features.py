@@ -25,42 +25,53 @@ def directed(packets: DataFrame) -> DataFrame:
     """Packets with their flow's key, the direction by the first packet in capture order, and gaps in microseconds."""
     a, _ = endpoints()
     keyed = canonical_key(with_ports(packets)).withColumn("us", F.unix_micros("timestamp")).withColumn("sender", a)
-    first = F.first("sender").over(Window.partitionBy(*KEY).orderBy("packet_number"))
-    port = F.first("destination_port").over(Window.partitionBy(*KEY).orderBy("packet_number"))
-    keyed = keyed.withColumn("fwd", F.col("sender") == first).withColumn("dst_port", port)
+    first = F.first(F.struct("sender", "destination_port")).over(Window.partitionBy(*KEY).orderBy("packet_number"))
+    keyed = keyed.withColumn("first", first).withColumn("fwd", F.col("sender") == F.col("first.sender")).withColumn("dst_port", F.col("first.destination_port"))
     w = Window.partitionBy(*KEY).orderBy("us", "packet_number")
     gap = F.col("us") - F.lag("us").over(w)
     same = lambda d: F.col("us") - F.last(F.when(F.col("fwd") == d, F.col("us")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return keyed.select("*", gap.alias("iat"), F.when(F.col("fwd"), same(True)).alias("fwd_iat"), F.when(~F.col("fwd"), same(False)).alias("bwd_iat"))
 
 
-def activity(packets: DataFrame, active_us: int) -> DataFrame:
-    """Active periods, runs without a gap above the threshold, and idle gaps above it."""
+def marked(packets: DataFrame, active_us: int, bulk_us: int) -> DataFrame:
+    """The last packet of each active period, a run without a gap above the threshold, with its `active` time, and the last one of
+    each run of payload packets of one direction with what is in it: bulk_n, bulk_bytes and bulk_us. All in one order."""
     w = Window.partitionBy(*KEY).orderBy("us", "packet_number")
-    cut = F.coalesce((F.col("iat") > active_us).cast("int"), F.lit(0))
-    runs = packets.withColumn("cut", cut).withColumn("island", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy(*KEY, "island").agg((F.max("us") - F.min("us")).alias("span"), F.max(F.when(F.col("cut") == 1, F.col("iat"))).alias("gap"))
-    return spans.groupBy(*KEY).agg(*_stats(F.when(F.col("span") > 0, F.col("span")), "active"), *_stats(F.col("gap"), "idle"))
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.last(F.when(F.col("iat").isNull() | (F.col("iat") > active_us), F.col("us")), True).over(so_far)
+    after = F.lead("us").over(w) - F.col("us")
+    full, size = F.col("payload_length") > 0, F.when(F.col("payload_length") > 0, F.col("payload_length")).otherwise(0)
+    last = F.last(F.when(full, F.struct("us", "fwd")), True).over(before)
+    rows = packets.select(
+        "*", F.when(after.isNull() | (after > active_us), F.col("us") - opened).alias("active"),
+        last.alias("last"), F.count_if(full).over(so_far).alias("run_n"), F.sum(size).over(so_far).alias("run_bytes"),
+    )
+    new = F.coalesce((F.col("us") - F.col("last.us") > bulk_us) | (F.col("fwd") != F.col("last.fwd")), F.lit(True))
+    rows = rows.withColumn("new", F.when(full, new))
+    begun = F.last(F.when(F.col("new"), F.struct((F.col("run_n") - 1).alias("n"), (F.col("run_bytes") - F.col("payload_length")).alias("bytes"), "us")), True).over(so_far)
+    over = F.expr(f"lead(new) ignore nulls over (partition by {', '.join(KEY)} order by us, packet_number)")
+    rows = rows.select("*", begun.alias("begun"), (full & F.coalesce(over, F.lit(True))).alias("ends"))
+    of = lambda x, y: F.when(F.col("ends"), F.col(x) - F.col(f"begun.{y}"))
+    return rows.select("*", of("run_n", "n").alias("bulk_n"), of("run_bytes", "bytes").alias("bulk_bytes"), of("us", "us").alias("bulk_us"))
 
 
-def bulks(packets: DataFrame, gap_us: int, least: int) -> DataFrame:
-    """Runs of at least so many payload packets of one direction without a gap above the threshold."""
-    w = Window.partitionBy(*KEY).orderBy("us", "packet_number")
-    full = packets.where("payload_length > 0")
-    new = F.coalesce(((F.col("us") - F.lag("us").over(w)) > gap_us) | (F.col("fwd") != F.lag("fwd").over(w)), F.lit(True)).cast("int")
-    runs = full.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    bulk = runs.groupBy(*KEY, "fwd", "island").agg(F.count("*").alias("n"), F.sum("payload_length").alias("b"), (F.max("us") - F.min("us")).alias("us")).where(F.col("n") >= least)
-    out = []
-    for name, mine in (("fwd", F.col("fwd")), ("bwd", ~F.col("fwd"))):
+def _bulks(least: int) -> list:
+    """Averages over runs of at least so many packets, by direction."""
+    per, out = lambda x, n: F.when(n > 0, x / n).otherwise(0.0), []
+    for name, side in (("fwd", F.col("fwd")), ("bwd", ~F.col("fwd"))):
+        mine = side & (F.col("bulk_n") >= least)
         many, total = F.count_if(mine), lambda c, m=mine: F.sum(F.when(m, F.col(c)).otherwise(0))
-        per = lambda x, n: F.when(n > 0, x / n).otherwise(0.0)
-        out += [per(total("b"), many).alias(f"{name}_bytes_bulk_avg"), per(total("n"), many).alias(f"{name}_packet_bulk_avg"), per(total("b"), total("us") / 1e6).alias(f"{name}_bulk_rate_avg")]
-    return bulk.groupBy(*KEY).agg(*out)
+        out += [per(total("bulk_bytes"), many).alias(f"{name}_bytes_bulk_avg"), per(total("bulk_n"), many).alias(f"{name}_packet_bulk_avg"), per(total("bulk_bytes"), total("bulk_us") / 1e6).alias(f"{name}_bulk_rate_avg")]
+    return out
 
 
 def flow_features(packets: DataFrame, *, active_us: int = 5_000_000, subflow_us: int = 1_000_000, bulk_us: int = 1_000_000, bulk_least: int = 4, length: str = "payload_length", span: int = SPAN) -> DataFrame:
-    """case_id, flow_id and the 74 features under their column names, in model order."""
-    p = directed(packets)
+    """case_id, flow_id and the 74 features under their column names, in model order.
+
+    Packets are dealt by flow once and brought into capture order for the direction, then into the order of time for
+    everything else; one aggregate without a further exchange makes the features.
+    """
+    p = marked(directed(packets), active_us, bulk_us)
     size, fwd, bwd = F.col(length), F.col("fwd"), ~F.col("fwd")
     of = lambda side, x: F.when(side, x)
     total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("double")
@@ -76,13 +87,13 @@ def flow_features(packets: DataFrame, *, active_us: int = 5_000_000, subflow_us:
         F.coalesce(F.min_by(F.col("tcp_window"), of(fwd & F.col("tcp_window").isNotNull(), F.col("packet_number"))), F.lit(0)).cast("double").alias("fwd_init_win_bytes"),
         F.coalesce(F.min_by(F.col("tcp_window"), of(bwd & F.col("tcp_window").isNotNull(), F.col("packet_number"))), F.lit(0)).cast("double").alias("bwd_init_win_bytes"),
         F.count_if(F.col("iat") > subflow_us).alias("subflows"),
+        *_stats(F.when(F.col("active") > 0, F.col("active")), "active"), *_stats(F.when(F.col("iat") > active_us, F.col("iat")), "idle"), *_bulks(bulk_least),
     )
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     both, seconds = F.col("total_fwd_packet") + F.col("total_bwd_packets"), F.col("flow_duration") / 1e6
     lengths = F.col("total_length_of_fwd_packet") + F.col("total_length_of_bwd_packet")
     rate = lambda x: F.when(F.col("flow_duration") > 0, x / seconds).otherwise(0.0)
-    out = base.join(activity(p, active_us), list(KEY), "left").join(bulks(p, bulk_us, bulk_least), list(KEY), "left")
-    out = out.withColumns({
+    out = base.withColumns({
         "protocol": F.col("protocol_number").cast("double"), "average_packet_size": lengths / both, "fwd_segment_size_avg": per("total_length_of_fwd_packet", "total_fwd_packet"),
         "bwd_segment_size_avg": per("total_length_of_bwd_packet", "total_bwd_packets"), "flow_bytes_s": rate(lengths), "flow_packets_s": rate(both), "down_up_ratio": per("total_bwd_packets", "total_fwd_packet"),
         "subflow_fwd_bytes": per("total_length_of_fwd_packet", "subflows"), "subflow_fwd_packets": per("total_fwd_packet", "subflows"),

@@ -89,7 +89,7 @@ def margins() -> Column:
     return F.array(*[F.round(reduce(lambda a, b: a + b, [F.lit(weight(c, f)) * _scaled(f) for f in range(len(STAND_IN))], F.lit(bias(c))), 9) for c in range(len(CLASSES))])
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
+def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Columns that are computed once: a generator of one row keeps the optimizer from copying them to every use."""
     made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
     return df.select("*", made)
@@ -97,10 +97,15 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def score(rows: DataFrame) -> DataFrame:
     """predicted_class (the lowest class id on ties), confidence, probabilities by class, is_threat."""
-    names = F.array(*map(F.lit, CLASSES))
-    out = _once(_once(rows, margins=margins()), top=F.array_max("margins"))
-    out = _once(out, e=F.transform("margins", lambda x: F.exp(x - F.col("top"))))
-    out = _once(out, total=F.aggregate("e", F.lit(0.0), lambda s, y: s + y)).withColumn("class_id", F.array_position("margins", F.col("top")).cast("int") - 1)
+    return labelled(rows, margins(), list(CLASSES))
+
+
+def labelled(rows: DataFrame, margins: Column, classes: list[str]) -> DataFrame:
+    """The rows with their margins and what follows from these."""
+    names = F.array(*map(F.lit, classes))
+    out = once(once(rows, margins=margins), top=F.array_max("margins"))
+    out = once(out, e=F.transform("margins", lambda x: F.exp(x - F.col("top"))))
+    out = once(out, total=F.aggregate("e", F.lit(0.0), lambda s, y: s + y)).withColumn("class_id", F.array_position("margins", F.col("top")).cast("int") - 1)
     out = out.withColumn("predicted_class", F.element_at(names, F.col("class_id") + 1)).withColumn("confidence", 1.0 / F.col("total"))
     out = out.withColumn("probabilities", F.map_from_arrays(names, F.transform("e", lambda x: x / F.col("total"))))
     return out.withColumn("is_threat", is_threat(F.col("predicted_class"))).drop("top", "e", "total")

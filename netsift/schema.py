@@ -218,3 +218,21 @@ def weight(c: int, f: int) -> float:
 
 def bias(c: int) -> float:
     return 0.8 if CLASSES[c] == BENIGN else 0.0
+
+
+# fixed values: sentences of reports; %1$d reviews, %2$d threats, %3$d unreviewed
+REPORT_STATUS = {
+    "none": "Report loaded successfully. No threat flows were identified.",
+    "all": "Report loaded successfully. All %2$d detected threat flows have investigator reviews.",
+    "some": "Report loaded successfully. %1$d of %2$d detected threat flows have investigator reviews. %3$d remain unreviewed.",
+}
+# fixed values: sentences on a prediction
+HEADLINE = {
+    "none": "The model classified this flow as %s with %s confidence, but no SHAP contributors were available.",
+    "some": 'The model classified this network flow as %s with %s confidence. The strongest SHAP contributor was "%s". Its observed value %s the predicted class. The table below lists the most influential features for this prediction.',
+}
+# fixed values: sentences of a narration
+NARRATION = {
+    "start": "The XGBoost classifier predicted '%s'.", "yes": "The strongest TreeSHAP features supporting this prediction were %s.", "no": "Features that opposed the prediction included %s.",
+    "empty": " No TreeSHAP feature contributions were available for natural-language explanation.",
+}

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsift.operators.scoring import clean_name
+from netsift.operators.scoring import clean_name, once
 from netsift.schema import PACKETS, REVIEWS
 
 
@@ -27,10 +27,11 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def evidence_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Capture files: name, size, upper-case SHA-256, and whether the extension is allowed."""
+def evidence_catalog(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """Capture files: name, size, upper-case SHA-256, and whether the extension is allowed. by_folder: a file goes by the
+    value of the partition folder that it lies in."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.element_at(F.split(F.element_at(F.split("path", "/"), -2), "="), -1) if by_folder else F.element_at(F.split("path", "/"), -1)
     return files.select(name.alias("file_name"), F.col("length").alias("file_size"), F.upper(F.sha2("content", 256)).alias("sha256"), F.lower(name).rlike(r"\.(pcap|pcapng)$").alias("allowed"))
 
 
@@ -42,8 +43,12 @@ DOCUMENT = (
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Case documents under path/<case>/: the parsed document and whether it could be read. Empty text cannot."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    """Case documents under path/<case>/: the parsed document and whether it could be read. An empty file cannot.
+
+    Spark's file formats leave out files without a byte, so the files come as pairs of name and text.
+    """
+    pairs = spark.sparkContext.wholeTextFiles(f"{path}/*", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = spark.createDataFrame(pairs, "path string, value string")
     doc = F.from_json("value", DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     out = files.select(F.element_at(F.split("path", "/"), -2).alias("case_id"), doc.alias("doc"), (F.trim("value") != "").alias("filled"))
     readable = F.coalesce(F.col("filled") & F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull(), F.lit(False))
@@ -86,26 +91,76 @@ def write_features(features: DataFrame, path: str) -> None:
 FRAMES_AT_ONCE = 10_000
 
 
+FRAMES = "path string, packet_number long, us long, packet_length long, link int, frame binary"
+
+
 def _frame_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "packet_number", "us", "packet_length", "frame"])
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FRAMES.split(", ")])
+
+
+def _classic(data: bytes, order: str) -> Iterator[tuple[int, int, bytes]]:
+    """Microseconds, link type and bytes of the frames of a classic capture file; a cut last record is left out."""
+    magic, link = struct.unpack_from(f"{order}I16xI", data.ljust(24, b"\0"))
+    unit, at = 1000 if magic == 0xA1B23C4D else 1, 24
+    while at + 16 <= len(data):
+        seconds, part, kept, _ = struct.unpack_from(f"{order}IIII", data, at)
+        if at + 16 + kept > len(data):
+            return
+        yield seconds * 1_000_000 + part // unit, link & 0xFFFF, data[at + 16 : at + 16 + kept]
+        at += 16 + kept
+
+
+def _blocks(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """The same of a pcapng file: enhanced and simple packet blocks of all its sections."""
+    at, order, interfaces = 0, "<", []
+    while at + 12 <= len(data):
+        if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
+            order, interfaces = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">", []
+        kind, size = struct.unpack_from(f"{order}II", data, at)
+        if size < 12 or at + size > len(data):
+            return
+        body = data[at + 8 : at + size - 4]
+        if kind == 1:
+            interfaces.append((struct.unpack_from(f"{order}H", body)[0], _ticks(body[8:], order)))
+        elif kind == 6:
+            of, high, low, kept = struct.unpack_from(f"{order}IIII", body)
+            link, second = interfaces[of]
+            yield (high << 32 | low) * 1_000_000 // second, link, body[20 : 20 + kept]
+        elif kind == 3:  # it has no time
+            yield 0, interfaces[0][0], body[4 : 4 + struct.unpack_from(f"{order}I", body)[0]]
+        at += size
+
+
+def _ticks(options: bytes, order: str) -> int:
+    """Ticks a second of an interface."""
+    at = 0
+    while at + 4 <= len(options):
+        code, size = struct.unpack_from(f"{order}HH", options, at)
+        if code == 9:
+            value = options[at + 4]
+            return 1 << (value & 127) if value & 128 else 10**value
+        if code == 0:
+            break
+        at += 4 + -(-size // 4) * 4
+    return 1_000_000
 
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frames of classic capture files, either byte order, micro- or nanoseconds."""
     for batch in batches:
         for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             magic = data[:4]
-            order = "<" if magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1") else ">"
-            if struct.unpack(f"{order}I", magic.ljust(4, b"\0"))[0] not in (0xA1B2C3D4, 0xA1B23C4D):
-                raise ValueError(f"{path} is no classic capture file")
-            unit = 1000 if struct.unpack(f"{order}I", magic)[0] == 0xA1B23C4D else 1
-            at, number, rows = 24, 0, []
-            while at + 16 <= len(data):
-                seconds, part, kept, whole = struct.unpack_from(f"{order}IIII", data, at)
-                number += 1
-                rows.append((path, number, seconds * 1_000_000 + part // unit, whole, data[at + 16 : at + 16 + kept]))
-                at += 16 + kept
+            if magic == b"\x0a\x0d\x0d\x0a":
+                frames = _blocks(data)
+            elif magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1"):
+                frames = _classic(data, "<")
+            elif magic in (b"\xa1\xb2\xc3\xd4", b"\xa1\xb2\x3c\x4d"):
+                frames = _classic(data, ">")
+            else:
+                raise ValueError(f"{path} is no capture file")
+            rows = []
+            for number, (us, link, frame) in enumerate(frames, 1):
+                rows.append((path, number, us, len(frame), link, frame))
                 if len(rows) == FRAMES_AT_ONCE:
                     yield _frame_rows(rows)
                     rows = []
@@ -114,9 +169,9 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of capture files, one task per file; a file is at most what binaryFile reads, 2 GB."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(_frames, "path string, packet_number long, us long, packet_length long, frame binary")
+    """Frames of .pcap and .pcapng files, one task per file; a file is at most what binaryFile reads, 2 GB."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][cC][aA][pP]*").option("recursiveFileLookup", "true").load(path)
+    return files.where(F.lower("path").rlike(r"\.(pcap|pcapng)$")).select("path", "content").mapInArrow(_frames, FRAMES)
 
 
 def _int(frame: str, at: Column | int, n: int) -> Column:
@@ -124,31 +179,78 @@ def _int(frame: str, at: Column | int, n: int) -> Column:
     return F.conv(F.hex(F.substring(F.col(frame), at + 1, F.lit(n))), 16, 10).cast("long")
 
 
+def ipv6_text(groups: Column) -> Column:
+    """The usual short text of eight groups in hexadecimal: the longest run of zeros, the first of several, left out."""
+    dotted = lambda head: F.concat(F.lit(head), F.concat_ws(".", *[F.conv(F.substring(F.lpad(F.element_at(F.split(groups, ":"), 7 + i // 2), 4, "0"), 1 + i % 2 * 2, 2), 16, 10) for i in range(4)]))
+    out = F.when(groups.rlike("^0:0:0:0:0:ffff:"), dotted("::ffff:")).when(groups.rlike("^0:0:0:0:0:0:(?!0:)"), dotted("::"))
+    for run in range(8, 1, -1):
+        zeros = f"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?:$|:)(.*)$"
+        out = out.when(groups.rlike(zeros), F.regexp_replace(groups, zeros, "$1::$2"))
+    return out.otherwise(groups)
+
+
+#: IPv6 headers that may stand before the transport header, and how many are followed.
+EXTENSIONS, MOST_EXTENSIONS = (0, 43, 60, 135, 139, 140), 8
+LINK_ETHERNET, LINK_RAW, LINK_COOKED, LINK_NULL = 1, (12, 101, 228, 229), 113, 0
+
+
+def _network(frame: str, link: Column) -> tuple[Column, Column]:
+    """Where the IP header begins, past VLAN tags, and the IP version; null for what is no IP."""
+    vlan = lambda at: _int(frame, at, 2).isin(0x8100, 0x88A8, 0x9100)
+    tags = F.when(vlan(12) & vlan(16), 8).when(vlan(12), 4).otherwise(0)
+    at = F.when(link == LINK_ETHERNET, tags + 14).when(link.isin(*LINK_RAW), 0).when(link == LINK_COOKED, 16).when(link == LINK_NULL, 4)
+    kind = F.when(link == LINK_ETHERNET, _int(frame, tags + 12, 2)).when(link == LINK_COOKED, _int(frame, 14, 2))
+    version = F.shiftright(_int(frame, at, 1), 4)
+    named = kind.isNull() | ((kind == 0x0800) & (version == 4)) | ((kind == 0x86DD) & (version == 6))
+    return at, F.when(named & version.isin(4, 6), version)
+
+
 def decode_frames(frames: DataFrame, frame: str = "frame") -> DataFrame:
-    """Packet columns of Ethernet frames with IPv4 or IPv6; other frames go, their numbers stay used."""
-    kind = _int(frame, 12, 2)
-    v4 = kind == 0x0800
-    header = (_int(frame, 14, 1) % 16) * 4
-    octets = lambda at: F.concat_ws(".", *[_int(frame, at + i, 1).cast("string") for i in range(4)])
-    groups = lambda at: F.concat_ws(":", *[F.lower(F.conv(F.hex(F.substring(F.col(frame), F.lit(at + 2 * i + 1), F.lit(2))), 16, 16)) for i in range(8)])
-    number = F.when(v4, _int(frame, 23, 1)).otherwise(_int(frame, 20, 1)).cast("int")
-    at = F.when(v4, header + 14).otherwise(F.lit(54))
-    ported = number.isin(6, 17)
-    bits = _int(frame, at + 13, 1)
-    letters = F.concat(*[F.when(bits.bitwiseAND(1 << i) > 0, letter).otherwise("") for i, letter in enumerate("FSRPAUEC")])
-    offset = F.floor(_int(frame, at + 12, 1) / 16) * 4
-    out = frames.where(kind.isin(0x0800, 0x86DD)).select(
-        *[c for c in frames.columns if c != frame], F.when(v4, octets(26)).otherwise(groups(22)).alias("source_ip"), F.when(v4, octets(30)).otherwise(groups(38)).alias("destination_ip"),
-        F.when(number == 6, "TCP").when(number == 17, "UDP").otherwise("OTHER").alias("protocol"), number.alias("protocol_number"), F.when(ported, _int(frame, at, 2)).cast("int").alias("source_port"),
-        F.when(ported, _int(frame, at + 2, 2)).cast("int").alias("destination_port"), F.when(number == 6, letters).otherwise("").alias("tcp_flags"),
-        F.when(number == 6, offset).when(number == 17, 8).otherwise(0).cast("int").alias("header_length"), F.when(number == 6, _int(frame, at + 14, 2)).cast("int").alias("tcp_window"),
+    """Packet columns of frames with IPv4 or IPv6, those of `schema.PACKETS` and the frames' own; other frames go, their
+    numbers stay used. Of fragments only the first has ports; IPv6 extension headers are followed. Without a column
+    `link` frames are Ethernet. The case is the part of the path that is a case id, else the file's folder.
+    """
+    link = F.coalesce("link", F.lit(LINK_ETHERNET)) if "link" in frames.columns else F.lit(LINK_ETHERNET)
+    at, version = _network(frame, link)
+    rows = once(frames, _ip=at, _version=version).where("_version is not null")
+    ip, v4 = F.col("_ip"), F.col("_version") == 4
+    header = (_int(frame, ip, 1) % 16) * 4
+    later = (_int(frame, ip + 6, 2) % 8192) > 0
+    start = F.struct(_int(frame, ip + 6, 1).alias("next"), (ip + 40).cast("long").alias("at"), F.lit(False).alias("later"))
+    follow = lambda x, _: (
+        F.when(x["next"].isin(*EXTENSIONS), F.struct(_int(frame, x["at"], 1).alias("next"), (x["at"] + (_int(frame, x["at"] + 1, 1) + 1) * 8).alias("at"), x["later"].alias("later")))
+        .when((x["next"] == 44) & ~x["later"], F.struct(F.when(_int(frame, x["at"] + 2, 2) < 8, _int(frame, x["at"], 1)).otherwise(F.lit(44)).alias("next"), (x["at"] + 8).alias("at"), (_int(frame, x["at"] + 2, 2) >= 8).alias("later")))
+        .otherwise(x)
+    )
+    six = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_EXTENSIONS)), start, follow)
+    first = _int(frame, ip + 6, 1)
+    four = F.struct(_int(frame, ip + 9, 1).alias("next"), (ip + header).cast("long").alias("at"), later.alias("later"))
+    rows = once(rows, _t=F.when(v4, four).otherwise(six))
+    octets = lambda n: F.concat_ws(".", *[_int(frame, ip + n + i, 1).cast("string") for i in range(4)])
+    digits = lambda n: F.lower(F.hex(F.substring(F.col(frame), ip + n + 1, F.lit(16))))
+    groups = lambda n: F.regexp_replace(F.regexp_replace(digits(n), "(.{4})(?!$)", "$1:"), "(^|:)0{1,3}", "$1")
+    t, after = F.col("_t.at"), F.col("_t.next")
+    ported = after.isin(6, 17) & ~F.col("_t.later") & (F.length(frame) >= t + F.when(after == 6, 20).otherwise(8))
+    tcp, udp = ported & (after == 6), ported & (after == 17)
+    number = F.when(tcp, 6).when(udp, 17).when(v4, after).otherwise(first).cast("int")
+    bits = _int(frame, t + 13, 1)
+    letters = F.concat(*[F.when(bits.bitwiseAND(1 << i) > 0, letter).otherwise("") for i, letter in enumerate("FSRPAUEC")], F.when(_int(frame, t + 12, 1) % 2 > 0, "N").otherwise(""))
+    length = F.when(tcp, F.floor(_int(frame, t + 12, 1) / 16) * 4).when(udp, 8).otherwise(0)
+    stated = F.when(v4, _int(frame, ip + 2, 2)).otherwise(_int(frame, ip + 4, 2) + 40)
+    end = ip + F.when(stated > F.when(v4, 0).otherwise(40), stated).otherwise(F.length(frame) - ip)
+    made = {"case_id", "timestamp", "source_ip"}
+    case = F.coalesce(F.nullif(F.regexp_extract("path", r"/(FX-\d{8}-\d{6})/", 1), F.lit("")), F.element_at(F.split("path", "/"), -2)) if "path" in frames.columns else F.lit(None).cast("string")
+    return rows.select(
+        case.alias("case_id"), *[c for c in frames.columns if c not in (frame, "link", *made)], F.timestamp_micros("us").alias("timestamp"), F.when(v4, octets(12)).otherwise(ipv6_text(groups(8))).alias("source_ip"), F.when(v4, octets(16)).otherwise(ipv6_text(groups(24))).alias("destination_ip"),
+        F.when(tcp, "TCP").when(udp, "UDP").otherwise("OTHER").alias("protocol"), number.alias("protocol_number"), F.when(ported, _int(frame, t, 2)).cast("int").alias("source_port"),
+        F.when(ported, _int(frame, t + 2, 2)).cast("int").alias("destination_port"), F.when(tcp, letters).otherwise("").alias("tcp_flags"), length.cast("int").alias("header_length"),
+        F.greatest(F.lit(0), end - t - length).cast("long").alias("payload_length"), F.when(tcp, _int(frame, t + 14, 2)).cast("int").alias("tcp_window"),
     )
-    return out
 
 
-def audit_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+def audit_files(spark: SparkSession, path: str, manifest: DataFrame, by_folder: bool = False) -> DataFrame:
     """Files against a manifest of file_name, file_size and sha256: ok, missing, size differs or hash differs."""
-    have = evidence_catalog(spark, path).select("file_name", F.col("file_size").alias("size"), F.col("sha256").alias("hash"))
+    have = evidence_catalog(spark, path, by_folder).select("file_name", F.col("file_size").alias("size"), F.col("sha256").alias("hash"))
     state = F.when(F.col("size").isNull(), "missing").when(F.col("size") != F.col("file_size"), "size differs")
     state = state.when(F.col("sha256").isNotNull() & (F.upper("sha256") != F.col("hash")), "hash differs").otherwise("ok")
     return manifest.join(have, "file_name", "left").select("file_name", state.alias("status"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,30 +19,52 @@ def live_totals(packets: DataFrame, window: str = "5 minutes", late: str = "10 m
 
 
 def live_flows(packets: DataFrame, gap: str = "2 hours", late: str = "1 day") -> DataFrame:
-    """Flows that a gap closes. Capture order is unknown here, so the first packet by time gives the direction."""
+    """Flows that a gap closes. Capture order is unknown here, so the first packet by time gives the
+    direction, of those at one time the one with the smallest number."""
     a, _ = endpoints()
     keyed = canonical_key(with_ports(packets)).withColumn("from_low", a == F.col("low")).withWatermark("timestamp", late)
     out = keyed.groupBy("case_id", "low", "high", "protocol_number", F.session_window("timestamp", gap).alias("w")).agg(
         F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("total_packets"), F.sum("packet_length").alias("total_bytes"),
-        F.count_if("from_low").alias("low_packets"), F.min_by("from_low", "timestamp").alias("forward_is_low"),
+        F.count_if("from_low").alias("low_packets"), F.min_by("from_low", F.struct("timestamp", "packet_number")).alias("forward_is_low"),
     )
     forward = F.when(F.col("forward_is_low"), F.col("low_packets")).otherwise(F.col("total_packets") - F.col("low_packets"))
     return out.select("case_id", "low", "high", "protocol_number", "start_time", "end_time", "total_packets", "total_bytes", forward.alias("forward_packets"))
 
 
-def review_feed(reviews: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest good review of each flow as a table.
+def review_feed(reviews: DataFrame, path: str, checkpoint: str, findings: DataFrame | None = None, every: int = 20) -> StreamingQuery:
+    """Keeps the newest good review of each flow as a table; with `findings`, only reviews that refer to one of these.
 
-    A batch is written under its number and read with all before it, so that a batch that runs twice counts once.
+    A batch is written under its number and read with all before it, so that a batch that runs twice counts once. Each
+    `every` batches the table so far is written as one, and readers start from the newest such base.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        good = validate_reviews(batch).where("reason is null").drop("reason")
-        upsert(good).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        good = upsert(validate_reviews(batch).where("reason is null").drop("reason"))
+        if findings is not None:
+            good = good.join(findings.select("case_id", "flow_index").distinct(), ["case_id", "flow_index"], "left_semi")
+        good.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number % every == every - 1:
+            fed_reviews(batch.sparkSession, path, upto=number).write.mode("overwrite").parquet(f"{path}/_bases/base={number}")
 
     return reviews.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def fed_reviews(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The table that a review feed has left: its newest base (before `upto`) and the batches since, newest review per flow."""
+    log, newest = spark.read.parquet(path), None
+    if upto is not None:
+        log = log.where(F.col("batch") <= upto)
+    try:
+        bases = spark.read.parquet(f"{path}/_bases")
+        newest = (bases if upto is None else bases.where(F.col("base") < upto)).agg(F.max("base")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if newest is None:
+        return current_reviews(log.drop("batch"))
+    return current_reviews(bases.where(F.col("base") == newest).drop("base").unionByName(log.where(F.col("batch") > newest).drop("batch")))
+
+
 def current_reviews(log: DataFrame) -> DataFrame:
-    """The table that a review feed has left, newest review per flow."""
+    """The newest review per flow of a log."""
     return upsert(log)
