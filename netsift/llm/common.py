@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import struct
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from netsift.sources.folders import checkpointed, shared_folder
+
+__all__ = ["checkpointed", "joined", "mix", "pack", "parts_for", "runs", "shared_folder", "shuffle_parts", "spans", "text_groups", "unpack"]
+
 #: Texts are handled in groups of about so many characters, so that memory in a Python worker is bounded.
 GROUP_CHARS = 600_000
 
@@ -79,20 +82,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; a local one is set only where it names none."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, kept in the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def parts_for(df: DataFrame, column: str, bytes_per_part: int = 16 << 20) -> int:
     """How many parts of about that much of a string or binary column df has; no fewer than Spark shuffles into."""
     from pyspark.sql import functions as F

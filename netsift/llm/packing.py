@@ -2,8 +2,8 @@
 
 Method: bounded-space online best-fit. A task keeps a fixed number of open bins, found through a bitset keyed by free
 space: the lowest set bit at or above a piece's length is the fullest bin that takes it. When one bin too many is
-open, the fullest closes. Documents come in the order of a hash of their id, in tasks of PER_TASK documents, so that
-the bins left open at the end of a task are few beside those it closed.
+open, the fullest closes. Pieces come in the order of a hash of their document's id, in tasks of about PER_TASK pieces, so that
+the bins left open at the end of a task are few beside those it closed. Long documents make more pieces, hence more tasks.
 
 A document's ids are those of the tokenizer for its whole text, then END. Only documents longer than a sequence are
 cut, into full pieces and a last one. Null text counts as empty: one piece that holds END alone. Repeated rows are
@@ -14,6 +14,7 @@ ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,10 +29,24 @@ from netsift.llm.common import spans, text_groups
 LENGTH, END = 2048, 0
 OPEN_BINS = 256
 PER_TASK = 100_000
+#: By which the pieces of long documents are estimated, for the number of tasks only.
+BYTES_PER_ID = 4
 #: Distinct words whose ids a Python worker remembers, but for those of one batch.
 WORD_CACHE = 400_000
 WORD_END = "</w>"
-# fixed values: how the tokenizer splits lower-cased text, for the characters that OTHER leaves
+# fixed values: the rules of a tokenizer's file under which words can be told apart as WORD does
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+# fixed values: how these rules split lower-cased text, for the characters that OTHER leaves
 WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
 OTHER = re.compile(r"[^\n -;=-~À-ÖØ-öø-ÿ]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -53,15 +68,20 @@ class _Numbered(dict):
 class WordIds:
     """Token ids of texts, by the ids of the words that the tokenizer splits them into.
 
-    The tokenizer works word by word, and the last token of a word, and no other, ends in the word-end mark.
-    Words recur, and each is given to the tokenizer once, many in one text. Texts with characters outside ASCII and
-    the Latin-1 letters, or with a `<`, which may begin a special token, go to the tokenizer as they are.
+    Where the tokenizer's file says what RULES says, it works word by word, and the last token of a word, and no other,
+    ends in the word-end mark. Words recur, and each is given to the tokenizer once, many in one text. Texts with characters
+    outside ASCII and the Latin-1 letters, or with a `<`, which may begin a special token, go to the tokenizer as
+    they are; so do all texts where the file has other rules.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        said = json.loads(self.tokenizer.to_str())
+        self.by_word = all(said[k] == v for k, v in RULES.items()) and said["model"]["end_of_word_suffix"] == WORD_END and all(t["content"].startswith("<") for t in said["added_tokens"])
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -92,7 +112,7 @@ class WordIds:
             self.sizes, self.flat = self.sizes[:0], self.flat[:0]
         get, places, whole = self.known.__getitem__, {}, []
         for i, t in enumerate(texts):
-            if OTHER.search(t):
+            if not self.by_word or OTHER.search(t):
                 whole.append(i)
             else:
                 part = WORD.findall(t.lower())
@@ -185,7 +205,8 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: where it comes from, its checksum, and its place in a sequence."""
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    tasks = max(1, round(rows.count() / per_task))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, round((size["n"] + size["bytes"] / BYTES_PER_ID / length) / per_task))
     pieces = rows.mapInArrow(_pieces(tokenizer, length, end), PIECES)
     dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "start")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(_place(length, open_bins), PLACED)

@@ -3,13 +3,20 @@
 Writing: each page becomes an HTTP response whose body is framed in chunks. Of pages with equal payloads of at
 least `least` bytes the one with the largest id is the response; the others become revisit records that name it. A block
 longer than `segment` bytes is written as a first record and continuation records, linked by WARC-Segment-Origin-ID.
-Archives are plain WARC/1.1 files, gzipped by Spark's text writer, of at most `per_file` records.
+A revisit names the response's address and date (WARC-Refers-To-Target-URI, WARC-Refers-To-Date) and, in a field of ours,
+its page. Archives are plain WARC/1.1 files, gzipped by Spark's text writer, of at most `per_file` records; the first file
+of each task begins with a warcinfo record.
 
 Reading: archives are taken apart by Content-Length alone. A record in one piece is
 checked and decoded where it is read. Continuation records are grouped by the identifier of
 their origin, ordered by segment number, and streamed through one task per group in order; the length must equal
 WARC-Segment-Total-Length, the numbers must have no gap, and the chunked framing is decoded along the way.
 
+Archives of others are read as well. Where a record states no payload digest, or one of another algorithm, none is compared;
+a revisit without a digest has a null one, and one without our fields null bytes, page_id and refers_to. A response that is no
+HTTP message is its own payload. Records of other kinds are passed over. A file that is no WARC archive, a record
+without Content-Length, segments with a gap and a payload that isn't whole or has another SHA-1 than stated are errors.
+
 Null html counts as empty, an empty payload has the digest of nothing. Pages with equal ids and payloads are records
 of their own, responses all if the id is the largest. Pages with a null id are written and come back with a null id;
 equal payloads under null ids alone are all responses. Other columns are ignored. No pages give no archive and no rows.
@@ -49,18 +56,31 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + LINE
 
 
-def page_records(place: str, page: int | None, url: str | None, html: str | None, refers_to: int | None, revisit: bool, segment: int) -> Iterator[bytes]:
+DATE = "2000-01-01T00:00:00Z"
+
+
+def _uri(url: str | None) -> str:
+    return (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def warcinfo(place: str) -> bytes:
+    block = b"software: netsift\r\nformat: WARC File Format 1.1\r\n"
+    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place} warcinfo')}>"
+    return _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", name), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], block)
+
+
+def page_records(place: str, page: int | None, url: str | None, html: str | None, refers_to: int | None, refers_to_url: str | None, revisit: bool, segment: int) -> Iterator[bytes]:
     """The records of one page; its place among all pages makes their identifiers."""
     payload = (html or "").encode("utf-8", "surrogatepass")
-    uri = (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")
+    uri = _uri(url)
     name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place} {page} {uri}')}>"
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Payload-Length: %d\r\nTransfer-Encoding: chunked\r\n\r\n" % len(payload)
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", name), ("WARC-Target-URI", uri), ("WARC-Date", "2000-01-01T00:00:00Z"),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", name), ("WARC-Target-URI", uri), ("WARC-Date", DATE),
         ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Page-ID", "" if page is None else page), ("Content-Type", "application/http; msgtype=response"),
     ]
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-ID", "" if refers_to is None else refers_to)]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", _uri(refers_to_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", "" if refers_to is None else refers_to)]
         yield _record(fields, head)
         return
     block = head + chunked(payload)
@@ -70,7 +90,7 @@ def page_records(place: str, page: int | None, url: str | None, html: str | None
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     yield _record([*fields, ("WARC-Segment-Number", 1)], parts[0])
     for k, part in enumerate(parts[1:], 2):
-        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {k}')}>"), ("WARC-Target-URI", uri), ("WARC-Date", "2000-01-01T00:00:00Z")]
+        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {k}')}>"), ("WARC-Target-URI", uri), ("WARC-Date", DATE)]
         more += [("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k)]
         if k == len(parts):
             more.append(("WARC-Segment-Total-Length", len(block)))
@@ -83,6 +103,8 @@ def _written(segment: int):
 
         task, count = TaskContext.get().partitionId(), 0
         for batch in batches:
+            if not count and batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([warcinfo(str(task))], pa.binary())], names=["record"])
             for row in range(batch.num_rows):
                 count += 1
                 values = [c[row].as_py() for c in batch.columns]
@@ -96,10 +118,10 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
     """Archives of all pages in a folder that any reader of Spark's file systems reaches."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).alias("url"), F.col(html).alias("html"), F.sha1(body).alias("sha1"), F.length(body).alias("size"))
-    first = rows.where(F.col("size") >= least).groupBy("sha1").agg(F.max("page").alias("of"), F.count("*").alias("n"))
+    first = rows.where(F.col("size") >= least).groupBy("sha1").agg(F.max("page").alias("of"), F.max_by("url", "page").alias("of_url"), F.count("*").alias("n"))
     roles = rows.join(first.where("n > 1"), "sha1", "left")
     revisit = F.col("n").isNotNull() & ~F.col("page").eqNullSafe(F.col("of"))
-    roles = roles.select("page", "url", "html", F.when(revisit, F.col("of")).alias("refers_to"), revisit.alias("revisit"))
+    roles = roles.select("page", "url", "html", F.when(revisit, F.col("of")).alias("refers_to"), F.when(revisit, F.col("of_url")).alias("refers_to_url"), revisit.alias("revisit"))
     records = roles.mapInArrow(_written(segment), "record binary")
     # the writer takes the bytes of a string as they are
     text = records.select(F.expr("cast(record as string)").alias("value"))
@@ -155,31 +177,34 @@ def archive_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if not lines[0].startswith("WARC/1."):
             raise ValueError(f"not a WARC record: {lines[0][:60]!r}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
+        if not fields.get("content-length", "").isdigit():
+            raise ValueError(f"a record without a Content-Length: {fields.get('warc-record-id')}")
         yield fields, stream.take(int(fields["content-length"]))
         if stream.take(4) != LINE + LINE:
             raise ValueError("a record is not closed by two line ends")
 
 
-RAW = "origin string, number int, page_id long, kind string, digest string, refers_to long, total long, block binary"
+RAW = "origin string, number int, page_id long, kind string, digest string, refers_to long, http boolean, total long, block binary"
 _NAMES = [x.split()[0] for x in RAW.split(", ")]
-_KINDS = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+_KINDS = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = lambda x: int(x) if x else None
+    number = lambda x: int(x) if x and x.lstrip("-").isdigit() else None
     for batch in batches:
         for data in batch.column(0):
             out, size = [], 0
             for fields, block in archive_records(data.as_py()):
-                if fields["warc-type"] not in ("response", "revisit", "continuation"):
+                kind = fields.get("warc-type")
+                if kind not in ("response", "revisit", "continuation"):
                     continue
+                told = number(fields.get("x-page-id")), kind, fields.get("warc-payload-digest"), number(fields.get("x-refers-to-page-id")), fields.get("content-type", "application/http").startswith("application/http")
+                name = fields.get("warc-segment-origin-id") or fields.get("warc-record-id", "")
                 if "warc-segment-number" not in fields:
-                    page, size_of, found, kind, refers = _Origin.whole(fields["warc-record-id"], number(fields.get("x-page-id")), fields, number(fields.get("x-refers-to-page-id")), block)
-                    out.append((fields["warc-record-id"], 0, page, kind, found, refers, size_of, None))
+                    page, size_of, found, kind, refers = _Origin.whole(name, told, block)
+                    out.append((name, 0, page, kind, found, refers, None, size_of, None))
                     continue
-                origin = fields.get("warc-segment-origin-id") or fields["warc-record-id"]
-                total = number(fields.get("warc-segment-total-length"))
-                out.append((origin, int(fields["warc-segment-number"]), number(fields.get("x-page-id")), fields["warc-type"], fields.get("warc-payload-digest"), number(fields.get("x-refers-to-page-id")), total, block))
+                out.append((name, int(fields["warc-segment-number"]), *told, number(fields.get("warc-segment-total-length")), block))
                 size += len(block)
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=_NAMES)
@@ -191,8 +216,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Payload:
     """Length and digest of an HTTP response's payload that comes in pieces, out of its chunks."""
 
-    def __init__(self) -> None:
-        self.rest, self.state, self.left, self.bytes, self.stated, self.sha = b"", "head", 0, 0, None, hashlib.sha1()
+    def __init__(self, http: bool = True) -> None:
+        self.rest, self.state, self.left, self.bytes, self.stated, self.sha = b"", "head" if http else "plain", 0, 0, None, hashlib.sha1()
         self.chunked = False
 
     def _body(self, part: bytes) -> None:
@@ -208,7 +233,7 @@ class Payload:
                     break
                 fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(LINE)[1:])}
                 self.stated = int(fields[b"x-payload-length"]) if b"x-payload-length" in fields else None
-                self.chunked = fields.get(b"transfer-encoding") == b"chunked"
+                self.chunked = fields.get(b"transfer-encoding", b"").lower() == b"chunked"
                 self.state, data = "size" if self.chunked else "plain", data_after
             elif self.state == "plain":
                 self._body(data)
@@ -251,13 +276,13 @@ class _Origin:
 
     def __init__(self, row: tuple) -> None:
         self.origin, self.next, self.seen, self.total = row[0], max(1, row[1]), 0, None
-        self.page, self.kind, self.stated, self.refers = row[2:6]
-        self.payload = Payload()
+        self.page, self.kind, self.stated, self.refers, http = row[2:7]
+        self.payload = Payload(http)
 
     @classmethod
-    def whole(cls, name: str, page: int | None, fields: dict[str, str], refers: int | None, block: bytes) -> tuple:
+    def whole(cls, name: str, told: tuple, block: bytes) -> tuple:
         """The row of a record in one piece."""
-        record = cls((name, 1, page, fields["warc-type"], fields.get("warc-payload-digest"), refers))
+        record = cls((name, 1, *told))
         record.add(1, len(block), block)
         return record.row()
 
@@ -273,9 +298,10 @@ class _Origin:
         if self.total != self.seen:
             raise ValueError(f"{self.origin}: {self.seen} bytes of {self.total}")
         if self.kind == "revisit":
-            return self.page, self.payload.stated, self.stated.removeprefix("sha1:"), "revisit", self.refers
+            return self.page, self.payload.stated, self.stated.partition(":")[2] or self.stated if self.stated else None, "revisit", self.refers
         found = base64.b32encode(self.payload.sha.digest()).decode()
-        if not self.payload.done() or self.stated != f"sha1:{found}":
+        kind, _, stated = (self.stated or "").partition(":")
+        if not self.payload.done() or (kind.lower() == "sha1" and stated.upper() != found):
             raise ValueError(f"{self.origin}: the payload is not whole")
         return self.page, self.payload.bytes, found, "response", None
 
@@ -292,12 +318,12 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at is not None and row[0] != at.origin:
                 done.append(at.row())
                 at = None
-            if row[7] is None:  # a record in one piece, read already
-                done.append((row[2], row[6], row[4], row[3], row[5]))
+            if row[8] is None:  # a record in one piece, read already
+                done.append((row[2], row[7], row[4], row[3], row[5]))
                 continue
             if at is None:
                 at = _Origin(row)
-            at.add(row[1], row[6], row[7])
+            at.add(row[1], row[7], row[8])
         if done:
             yield rows(done)
     if at is not None:

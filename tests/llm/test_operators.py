@@ -348,3 +348,76 @@ def test_hamming_search_in_split_parts(spark):
         near = sorted((int(((np.array(x) > 0) != (y > 0)).sum()), j) for j, y in enumerate(v))[:7]
         want += [(i, rank, *n) for rank, n in enumerate(near, 1)]
     assert got == sorted(want)
+
+
+def _foreign(kind, block, **fields):
+    head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    sha = lambda data: base64.b32encode(hashlib.sha1(data).digest()).decode()
+    records = [
+        _foreign("warcinfo", b"software: x\r\n", WARC_Record_ID="<i>"), _foreign("request", b"GET / HTTP/1.1\r\n\r\n", WARC_Record_ID="<q>"), _foreign("response", http + b"plain", WARC_Record_ID="<a>"),
+        _foreign("response", http + b"other", WARC_Record_ID="<b>", WARC_Payload_Digest="md5:abc"), _foreign("response", http + b"lower", WARC_Record_ID="<c>", WARC_Payload_Digest="sha1:" + sha(b"lower").lower()),
+        _foreign("revisit", http, WARC_Record_ID="<d>"), _foreign("revisit", b"", WARC_Record_ID="<e>", WARC_Payload_Digest="sha1:XYZ"), _foreign("response", b"dns answer", WARC_Record_ID="<f>", Content_Type="text/dns"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    got = sorted((str(r.payload_bytes), str(r.payload_digest), r.record_type, r.page_id, r.refers_to) for r in warc.read_archives(spark, str(tmp_path)).collect())
+    want = [("5", sha(b), "response", None, None) for b in (b"plain", b"other", b"lower")] + [("10", sha(b"dns answer"), "response", None, None), ("None", "None", "revisit", None, None), ("None", "XYZ", "revisit", None, None)]
+    assert got == sorted(want)
+    for name, bad in (("digest", _foreign("response", http + b"x", WARC_Record_ID="<x>", WARC_Payload_Digest="sha1:" + sha(b"y"))), ("length", b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <y>\r\n\r\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "b.warc.gz").write_bytes(gzip.compress(bad))
+        with pytest.raises(Exception, match="not whole|Content-Length"):
+            warc.read_archives(spark, str(tmp_path / name)).collect()
+
+
+def test_archives_say_what_the_standard_asks(spark):
+    pages = spark.createDataFrame([(1, "http://x/1", "same"), (2, "http://x/2", "same"), (2, "http://x/2", "same")], "page_id long, url string, html string")
+    folder = f"{shared_folder(spark)}/warc-standard"
+    warc.write_archives(pages.coalesce(1), folder)
+    (data,) = (r.content for r in spark.read.format("binaryFile").load(folder).select("content").collect() if r.content)
+    records = [f for f, _ in warc.archive_records(bytes(data))]
+    assert records[0]["warc-type"] == "warcinfo" and len({f["warc-record-id"] for f in records}) == len(records)
+    (revisit,) = (f for f in records if f["warc-type"] == "revisit")
+    assert revisit["warc-refers-to-target-uri"] == "http://x/2" and revisit["warc-refers-to-date"] == revisit["warc-date"]
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(spark, folder).collect()) == [(1, "revisit", 2), (2, "response", None), (2, "response", None)]
+
+
+def test_packing_by_another_tokenizers_rules(spark, tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(WORD)
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Whitespace(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    other.save(str(tmp_path / "other.json"))
+    texts = ["abc123 don't x--y", "12 345", None, ""]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in pack_documents(frame(spark, texts), str(tmp_path / "other.json")).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*other.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_packing_of_repeated_ids_and_few_long_texts(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "d e"), (None, "f"), (None, "f")] + [(k, "word " * 20_000) for k in range(2, 6)]
+    rows = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORD, per_task=5).collect()
+    assert sum(r.doc_id == 1 for r in rows) == 3 and sum(r.doc_id is None for r in rows) == 2
+    assert len({r.sequence_id >> 40 for r in rows}) > 2
+    used = Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048
+
+
+def test_packing_fills_sequences(spark):
+    rnd = random.Random(2)
+    docs = spark.createDataFrame([(i, "a " * rnd.randrange(1, 1200)) for i in range(6000)], "doc_id long, text string")
+    rows = pack_documents(docs, WORD).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in sorted(b)[:k]) == sorted(b)[k][0] for b in bins.values() for k in range(len(b)))
+    assert sum(r.length for r in rows) / (2048 * len(bins)) > 0.96
