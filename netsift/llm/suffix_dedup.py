@@ -5,15 +5,21 @@ its grams is one, the leftmost on ties. All strings with the same trigger positi
 phrases overlap by length - 1 bytes and every string of that length lies in exactly one phrase, at a place
 that its own bytes decide. The dictionary is the set of distinct phrases, the parse the list of their places.
 
-Two equal strings of that length lie in phrases with the same trigger. Hence the order of the corpus' suffixes,
-as far as their first `length` bytes, follows from the dictionary alone, and the parse adds how often and where:
+Two equal strings of that length lie in phrases with the same trigger, at the same distance from it. Hence the order of
+the corpus' suffixes, as far as their first `length` bytes, follows from the dictionary alone, and the parse adds how
+often and where. (What the parse's own suffix array would order are strings that agree beyond `length` bytes; nothing here asks for it.)
 
 1. The parse is dealt by trigger. A phrase that occurs twice is repeated from end to end. One whose trigger
    occurs nowhere else holds nothing repeated. Only phrases that share a trigger, not their bytes, stay open.
-2. Of the open phrases, one place each, the suffixes of at least `length` bytes are brought into order by a
-   64-bit fingerprint of their first `length` bytes; neighbours in that order that agree are repeated strings.
+2. Of the open phrases, one place each, the bytes are dealt by trigger, and a part builds the suffix array of its share of
+   the dictionary by prefix doubling up to `length` bytes; neighbours that agree so far are repeated strings. Bytes
+   are compared, not hashes.
 3. The spans of both steps go back to their documents and are cut out.
 
+A trigger of very many phrases, a line that a third of the documents share in ever different company, is not dealt
+as one: where a map task or a part finds it hot, the strings of its phrases are dealt one by one, by a 64-bit
+fingerprint, and those that agree in it are repeated.
+
 Before either exchange a map task settles what repeats among the places it holds: all but one place of such a string
 go ahead as repeated, and the one that stands for them says so. A passage that a third of the documents share thus
 sends one place for each flush, not for each document, to the part of its trigger or fingerprint.
@@ -38,9 +44,12 @@ from netsift.llm.common import checkpointed, joined, mix, pack, parts_for, runs,
 LENGTH, GRAM = 200, 64
 #: Longer texts are parsed in segments of so many bytes; strings never depend on where a segment ends.
 SEGMENT = 400_000
+#: A trigger with more different phrases in a map task's flush, or in its part, is hot.
+HOT_IN_FLUSH, HOT_IN_PART = 500, 20_000
 POSITION_BITS = np.uint64(20)
 PARSE = "part int, payload binary"
-PLACES = "row long, repeated boolean, lo long, n int"
+PLACES = "row long, kind int, lo long, n int, trigger long"
+REPEATED, OPEN, HOT = 0, 1, 2
 SPANS = "row long, lo long, hi long"
 
 _STEP = 0x9E3779B97F4A7C15
@@ -130,19 +139,51 @@ def _parse_blocks(length: int, gram: int, parts: int):
                     held.append((row[text], lo.astype(np.uint32), count.astype(np.uint16), trigger, phrase))
                     size += len(lo)
                 if size > 200_000:
-                    yield from _dealt(held, 4, 3, parts)
+                    yield from _without_hot(held, parts)
                     held, size = [], 0
-        yield from _dealt(held, 4, 3, parts)
+        yield from _without_hot(held, parts)
 
     return run
 
 
+def _without_hot(held: list[tuple[np.ndarray, ...]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of the places held; those of hot triggers go by row to parts from 2 `parts` on, and one of them,
+    for which the number of strings is 0, tells the trigger's part."""
+    if not held:
+        return
+    row, lo, count, trigger, phrase = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((phrase, trigger))
+    first, n = runs(trigger[order])
+    new = np.ones(len(order), np.int64)
+    new[1:] = (phrase[order][1:] != phrase[order][:-1]) | (trigger[order][1:] != trigger[order][:-1])
+    much = np.add.reduceat(new, first) > HOT_IN_FLUSH
+    hot = np.zeros(len(order), bool)
+    hot[order] = np.repeat(much, n)
+    if hot.any():
+        at = np.flatnonzero(hot)
+        for s in range(0, len(at), 10_000):
+            some = at[s : s + 10_000]
+            yield _block(2 * parts + int(mix(row[some[:1]].view(np.uint64))[0] % np.uint64(parts)), row[some], lo[some], count[some], trigger[some])
+        told = order[first[much]]
+        count = count.copy()
+        count[told] = 0
+        keep = ~hot
+        keep[told] = True
+        row, lo, count, trigger, phrase = (a[keep] for a in (row, lo, count, trigger, phrase))
+    yield from _dealt([(row, lo, count, trigger, phrase)], 4, 3, parts)
+
+
 def _block(part: int, *arrays: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "payload": pa.array([pack(*arrays)], pa.binary())})
 
 
-def _dealt(held: list[tuple[np.ndarray, ...]], string: int, by: int, parts: int, by_row: bool = False) -> Iterator[pa.RecordBatch]:
-    """Packed blocks of the places held, by part; parts from `parts` on hold settled places.
+def _part_of(values: np.ndarray, parts: int) -> np.ndarray:
+    """A trigger is the least hash of many, so that its upper bits are small until they are mixed again."""
+    return (((mix(values) >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int32)
+
+
+def _dealt(held: list[tuple[np.ndarray, ...]], string: int, by: int, parts: int, by_row: bool = False, first_part: int = 0) -> Iterator[pa.RecordBatch]:
+    """Packed blocks of the places held, by part from `first_part` on; the next `parts` parts hold settled places.
 
     Of the places whose array at `string` agrees one goes on, with an array more: 2 if it stands for several, else 1.
     A hash, the array at `by`, names its part. The others are settled. by_row: a row's number stands once in a block.
@@ -156,10 +197,9 @@ def _dealt(held: list[tuple[np.ndarray, ...]], string: int, by: int, parts: int,
     times[order[first]] = np.minimum(n, 2)
     settled = [a[times == 0] for a in arrays]
     if len(settled[0]):
-        yield _block(parts + int(mix(settled[0][:1].view(np.uint64))[0] % np.uint64(parts)), *settled)
+        yield _block(first_part + parts + int(mix(settled[0][:1].view(np.uint64))[0] % np.uint64(parts)), *settled)
     arrays = [a[times > 0] for a in (*arrays, times)]
-    # a trigger is the least hash of many, so that its upper bits are small until they are mixed again
-    part = (((mix(arrays[by]) >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int32)
+    part = first_part + _part_of(arrays[by], parts)
     order = np.argsort(part, kind="stable")
     arrays, part = [a[order] for a in arrays], part[order]
     for s, n in zip(*runs(part), strict=True):
@@ -171,67 +211,119 @@ def _dealt(held: list[tuple[np.ndarray, ...]], string: int, by: int, parts: int,
 
 
 def _sorted_places(parts: int):
-    """Repeated phrases, every place; open ones, a place for each distinct phrase."""
+    """Repeated phrases, every place; open ones and those of hot triggers, a place for each distinct phrase."""
 
     def apply(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() >= parts:
-            row, lo, count = joined(table.column("payload").to_pylist())[:3]
-            repeats = len(row)
+        kind_of_block = key[0].as_py() // parts
+        if kind_of_block == 2:
+            row, lo, count, trigger = joined(table.column("payload").to_pylist())
+            kind = np.full(len(row), HOT, np.int32)
+        elif kind_of_block == 1:
+            row, lo, count, trigger = joined(table.column("payload").to_pylist())[:4]
+            row, lo, count, trigger = (a[count > 0] for a in (row, lo, count, trigger))
+            kind = np.full(len(row), REPEATED, np.int32)
         else:
             row, lo, count, trigger, phrase, times = joined(table.column("payload").to_pylist())
+            told = np.unique(trigger[count == 0])
+            row, lo, count, trigger, phrase, times = (a[count > 0] for a in (row, lo, count, trigger, phrase, times))
             order = np.lexsort((lo, row, phrase, trigger))
             row, lo, count, trigger, phrase, times = (a[order] for a in (row, lo, count, trigger, phrase, times))
-            s, n = runs(trigger)
-            same_trigger = np.repeat(np.add.reduceat(times, s, dtype=np.int64), n)
             new = np.ones(len(row), bool)
             new[1:] = (phrase[1:] != phrase[:-1]) | (trigger[1:] != trigger[:-1])
-            s = np.flatnonzero(new)
-            places = np.repeat(np.add.reduceat(times, s, dtype=np.int64), np.diff(np.append(s, len(row))))
-            repeated = places >= 2
-            opened = new & (same_trigger > places)
-            row, lo, count = (np.concatenate((a[repeated], a[opened])) for a in (row, lo, count))
-            repeats = int(repeated.sum())
-        return pa.table({
-            "row": pa.array(row), "repeated": pa.array(np.arange(len(row)) < repeats),
-            "lo": pa.array(lo.astype(np.int64)), "n": pa.array(count.astype(np.int32)),
-        })
+            s, n = runs(trigger)
+            if len(s):
+                same_trigger = np.repeat(np.add.reduceat(times, s, dtype=np.int64), n)
+                hot = np.repeat(np.add.reduceat(new, s, dtype=np.int64) > HOT_IN_PART, n) | np.isin(trigger, told)
+                s = np.flatnonzero(new)
+                places = np.repeat(np.add.reduceat(times, s, dtype=np.int64), np.diff(np.append(s, len(row))))
+                repeated, opened = places >= 2, new & ((same_trigger > places) | hot)
+                kind = np.concatenate((np.full(int(repeated.sum()), REPEATED), np.where(hot[opened], HOT, OPEN))).astype(np.int32)
+                row, lo, count, trigger = (np.concatenate((a[repeated], a[opened])) for a in (row, lo, count, trigger))
+            else:
+                kind = np.zeros(0, np.int32)
+        return pa.table({"row": pa.array(row), "kind": pa.array(kind), "lo": pa.array(lo.astype(np.int64)), "n": pa.array(count.astype(np.int32)), "trigger": pa.array(trigger.view(np.int64))})
 
     return apply
 
 
-def _suffix_blocks(length: int, parts: int):
-    """Fingerprints of the first `length` bytes of the suffixes of open phrases, dealt by fingerprint."""
+def _dictionary_blocks(length: int, parts: int):
+    """The bytes of open phrases, dealt by trigger, and fingerprints of the strings of hot ones, dealt by fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: list[tuple[bytes, int, int, int, int]] = []
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        size = strings = 0
         for batch in batches:
             for group in text_groups(batch, limit=SEGMENT):
-                texts, cut, rows, places, counts = _encoded(group.column(1)), [], [], [], []
-                total = 0
-                for row, text, phrases in zip(group.column(0).to_pylist(), texts, group.column(2).to_pylist(), strict=True):
-                    for phrase in phrases:
-                        lo, n = phrase["lo"], phrase["n"]
-                        cut.append(text[lo : lo + n + length - 1])
-                        rows.append(row)
-                        places.append(lo)
-                        counts.append(n)
-                        total += n + length - 1
-                        if total > SEGMENT:
-                            held.append(_fingerprints(cut, rows, places, counts, length))
-                            size += len(held[-1][0])
-                            cut, rows, places, counts, total = [], [], [], [], 0
-                if cut:
-                    held.append(_fingerprints(cut, rows, places, counts, length))
-                    size += len(held[-1][0])
-                if size > 400_000:
-                    yield from _dealt(held, 2, 2, parts, by_row=True)
-                    held, size = [], 0
-        yield from _dealt(held, 2, 2, parts, by_row=True)
+                for row, text, phrases in zip(group.column(0).to_pylist(), _encoded(group.column(1)), group.column(2).to_pylist(), strict=True):
+                    hot = [p for p in phrases if p["kind"] == HOT]
+                    for s in range(0, len(hot), 1_000):
+                        some = hot[s : s + 1_000]
+                        held.append(_fingerprints([text[p["lo"] : p["lo"] + p["n"] + length - 1] for p in some], [row] * len(some), [p["lo"] for p in some], [p["n"] for p in some], length))
+                        strings += len(held[-1][0])
+                        if strings > 400_000:
+                            yield from _dealt(held, 2, 2, parts, by_row=True, first_part=parts)
+                            held, strings = [], 0
+                    for p in phrases:
+                        if p["kind"] == OPEN:
+                            opened.append((text[p["lo"] : p["lo"] + p["n"] + length - 1], row, p["lo"], p["n"], p["trigger"]))
+                            size += p["n"] + length - 1
+                            if size > 8 * SEGMENT:
+                                yield from _by_trigger(opened, parts)
+                                opened, size = [], 0
+        yield from _by_trigger(opened, parts)
+        yield from _dealt(held, 2, 2, parts, by_row=True, first_part=parts)
 
     return run
 
 
+def _by_trigger(opened: list[tuple[bytes, int, int, int, int]], parts: int) -> Iterator[pa.RecordBatch]:
+    if not opened:
+        return
+    trigger = np.array([x[4] for x in opened], np.int64).view(np.uint64)
+    part = _part_of(trigger, parts)
+    order = np.argsort(part, kind="stable")
+    for s, n in zip(*runs(part[order]), strict=True):
+        mine = [opened[i] for i in order[s : s + n]]
+        numbers = [np.array([x[k] for x in mine], kind) for k, kind in ((1, np.int64), (2, np.uint32), (3, np.uint16))]
+        yield _block(int(part[order[s]]), *numbers, np.frombuffer(b"".join(x[0] for x in mine), np.uint8))
+
+
+def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places `at` in the order of the `length` bytes that begin there, and where a string differs from the one before.
+
+    Prefix doubling: strings of 8 bytes are ranked, then pairs of ranks 8, 16, ... bytes apart, and of ranks that few enough
+    bytes apart overlap at last; a place whose rank no other has is settled. Ranks of strings that run over the end of a
+    phrase are worth nothing, and no place in `at` looks at them.
+    """
+    n = len(data)
+    if not len(at):
+        return at, np.zeros(0, bool)
+    word, width = np.zeros(n, np.uint64), min(8, length)
+    for k in range(width):
+        word[: n - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
+    order = np.argsort(word)
+    first, size = runs(word[order])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(first, size)
+    while width < length:
+        step = min(width, length - width)
+        shared = order[np.repeat(size > 1, size)]
+        shared = shared[shared + step < n]
+        key = rank[shared] << np.int64(32) | rank[shared + step]
+        by = np.argsort(key)
+        order, key, width = shared[by], key[by], width + step
+        first, size = runs(key)
+        # within its group of equal ranks a place goes behind those that are less
+        group, _ = runs(key >> np.int64(32))
+        rank[order] += np.repeat(first - group[np.searchsorted(group, first, side="right") - 1], size)
+    by = np.argsort(rank[at], kind="stable")
+    ranked = rank[at][by]
+    new = np.ones(len(at), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    return at[by], new
+
+
 def _fingerprints(cut: list[bytes], rows: list[int], places: list[int], counts: list[int], length: int) -> tuple[np.ndarray, ...]:
     rolling = Rolling(np.frombuffer(b"".join(cut), np.uint8))
     n = np.array(counts, np.int64)
@@ -241,17 +333,30 @@ def _fingerprints(cut: list[bytes], rows: list[int], places: list[int], counts:
     return np.repeat(np.array(rows, np.int64), n), position.astype(np.uint32), rolling.of(spans(base, n), length)
 
 
-def _equal_suffixes(parts: int, back: int):
+def _equal_suffixes(parts: int, back: int, length: int):
     def apply(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() >= parts:
-            row, place = joined(table.column("payload").to_pylist())[:2]
-        else:
-            row, count, place, suffix, times = joined(table.column("payload").to_pylist())
+        kind = key[0].as_py() // parts
+        arrays = joined(table.column("payload").to_pylist())
+        if kind == 2:
+            row, place = arrays[:2]
+        elif kind == 1:
+            row, count, place, suffix, times = arrays
             row = np.repeat(row, count)
             order = np.argsort(suffix, kind="stable")
             s, n = runs(suffix[order])
             found = order[np.repeat(np.add.reduceat(times[order], s, dtype=np.int64), n) >= 2]
             row, place = row[found], place[found]
+        else:
+            row, lo, n, data = arrays
+            n = n.astype(np.int64)
+            size = n + length - 1
+            base = np.cumsum(size) - size
+            at, new = suffix_order(data, spans(base, n), length)
+            s = np.flatnonzero(new)
+            many = np.repeat(np.diff(np.append(s, len(at))), np.diff(np.append(s, len(at))))
+            at = np.sort(at[many > 1])
+            phrase = np.searchsorted(base, at, side="right") - 1
+            row, place = row[phrase], (lo[phrase] + (at - base[phrase])).astype(np.uint32)
         part = (row.view(np.uint64) % np.uint64(back)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         row, place, part = row[order], place[order], part[order]
@@ -311,13 +416,14 @@ def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     of the same rows uses again.
     """
     parts = parts_for(rows, "text")
+    by_part = lambda df: df.repartition(parts, "part").groupBy("part")
     blocks = rows.select("row", "text").mapInArrow(_parse_blocks(length, gram, parts), PARSE)
-    places = checkpointed(blocks.groupBy("part").applyInArrow(_sorted_places(parts), PLACES))
-    opened = places.where("not repeated").groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("phrases"))
-    suffixes = rows.join(opened, "row").select("row", "text", "phrases", "carried").mapInArrow(_suffix_blocks(length, parts), PARSE)
-    equal = suffixes.groupBy("part").applyInArrow(_equal_suffixes(parts, parts), PARSE)
-    spans_of = equal.groupBy("part").applyInArrow(_suffix_spans(length), SPANS)
-    whole = places.where("repeated").select("row", "lo", (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("hi"))
+    places = checkpointed(by_part(blocks).applyInArrow(_sorted_places(parts), PLACES))
+    opened = places.where(F.col("kind") != REPEATED).groupBy("row").agg(F.collect_list(F.struct("lo", "n", "kind", "trigger")).alias("phrases"))
+    dictionary = rows.join(opened, "row").select("row", "text", "phrases", "carried").mapInArrow(_dictionary_blocks(length, parts), PARSE)
+    equal = by_part(dictionary).applyInArrow(_equal_suffixes(parts, parts, length), PARSE)
+    spans_of = by_part(equal).applyInArrow(_suffix_spans(length), SPANS)
+    whole = places.where(F.col("kind") == REPEATED).select("row", "lo", (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("hi"))
     return whole.unionByName(spans_of)
 
 

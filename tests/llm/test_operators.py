@@ -421,3 +421,73 @@ def test_packing_fills_sequences(spark):
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
     assert all(sum(n for _, n in sorted(b)[:k]) == sorted(b)[k][0] for b in bins.values() for k in range(len(b)))
     assert sum(r.length for r in rows) / (2048 * len(bins)) > 0.96
+
+
+@pytest.mark.parametrize("hot_in_flush,hot_in_part", [(3, 20_000), (500, 2), (1, 1)])
+def test_repeated_strings_around_hot_triggers(spark, monkeypatch, hot_in_flush, hot_in_part):
+    """A line shorter than the strings, in ever different company, and some whole copies of that."""
+    from netsift.llm import suffix_dedup
+
+    rnd = random.Random(14)
+    line = "this line stands in very many texts and is the reason for it "
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    around = [text(60) + line + text(60) for _ in range(40)]
+    texts = around + [text(30) + around[3] + text(30), around[5][10:] + text(50), around[5], text(20) + around[7][:-9]]
+    data = [t.encode() for t in texts]
+    for length, gram in ((100, 30),):
+        blocks = []
+        with monkeypatch.context() as m:
+            m.setattr(suffix_dedup, "HOT_IN_FLUSH", hot_in_flush)
+            m.setattr(suffix_dedup, "HOT_IN_PART", hot_in_part)
+            import pyarrow as pa
+
+            parts = 3
+            batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["row", "text"])
+            halves = [batch.slice(0, 20), batch.slice(20)]
+
+            def grouped(batches):
+                out = {}
+                for b in batches:
+                    for part, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                        out.setdefault(part, []).append(payload)
+                return [((pa.scalar(k),), pa.table({"part": [k] * len(v), "payload": pa.array(v, pa.binary())})) for k, v in out.items()]
+
+            blocks = [b for half in halves for b in suffix_dedup._parse_blocks(length, gram, parts)(iter([half]))]
+            places = pa.concat_tables([suffix_dedup._sorted_places(parts)(k, t) for k, t in grouped(blocks)]).to_pylist()
+            assert any(p["kind"] == suffix_dedup.HOT for p in places)
+            mark = [bytearray(len(d)) for d in data]
+            opened = {}
+            for p in places:
+                if p["kind"] == suffix_dedup.REPEATED:
+                    mark[p["row"]][p["lo"] : p["lo"] + p["n"] + length - 1] = b"\1" * (p["n"] + length - 1)
+                else:
+                    opened.setdefault(p["row"], []).append(p)
+            kind = pa.list_(pa.struct([("lo", pa.int64()), ("n", pa.int32()), ("kind", pa.int32()), ("trigger", pa.int64())]))
+            rows = [(r, texts[r], [{k: p[k] for k in ("lo", "n", "kind", "trigger")} for p in ps]) for r, ps in opened.items()]
+            batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], kind)], names=["row", "text", "phrases"])
+            equal = [suffix_dedup._equal_suffixes(parts, 2, length)(k, t) for k, t in grouped(suffix_dedup._dictionary_blocks(length, parts)(iter([batch])))]
+            for table in equal:
+                for r in suffix_dedup._suffix_spans(length)(table).to_pylist() if table.num_rows else ():
+                    mark[r["row"]][r["lo"] : r["hi"]] = b"\1" * (r["hi"] - r["lo"])
+        want = repeats_by_force(texts, length)
+        assert [(len(d), sum(m)) for d, m in zip(data, mark)] == [want[i][:2] for i in range(len(texts))]
+
+
+def test_repeats_of_repeated_rows_and_ids(spark):
+    text = "".join(random.Random(4).choice("abcdef ") for _ in range(300))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text[50:]), (2, text[:199]), (2, None), (2, "other")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(docs).collect())
+    assert got == [(0, 250, 250, 1), (1, 300, 300, 1), (1, 300, 300, 1), (2, 0, 0, 0), (2, 5, 0, 0), (2, 199, 0, 0)]
+
+
+def test_suffix_order():
+    from netsift.llm.suffix_dedup import suffix_order
+
+    rng = np.random.default_rng(1)
+    for length in (200, 40, 13, 8, 5):
+        for letters in (2, 26):
+            data = rng.integers(97, 97 + letters, 1200).astype(np.uint8)
+            data[500:800], data[900:1100] = data[:300], 97
+            got, new = suffix_order(data, np.arange(len(data) - length + 1), length)
+            strings = [data.tobytes()[i : i + length] for i in got]
+            assert strings == sorted(strings) and all((a != b) == n for a, b, n in zip(strings, strings[1:], new[1:]))
