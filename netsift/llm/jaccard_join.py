@@ -7,15 +7,15 @@ a leader takes over the leader's component, so that of a group of near copies on
 are computed, and afterwards only pairs from different components are left to verify.
 
 1. Documents with equal shingle sets form one class; only classes are joined.
-2. Every shingle meets its like in one packed shuffle (`repeats`). A class keeps the shingles that another class
-   has too. One with fewer than 75 % of these has no partner.
+2. Every shingle meets its like in one packed shuffle (`repeats`), hot ones in the map tasks already. A class keeps the
+   shingles that another class has too. One with fewer than 75 % of these has no partner.
 3. What is left is ordered by rarity; the first shingles, as many as the prefix bound asks for, form the index.
 4. First pass: in each index list the weightiest class leads, the one whose shingles most classes share; a class is
    verified against the weightiest of its leaders. Second pass: lists that still hold several components give pairs
    of these, then of their members, as far as bounds on size and position allow, and the pairs are verified.
 5. Links between classes give components, and every document gets the smallest doc_id of its component.
 
-Shingles are compared by 64-bit fingerprints, classes by a 64-bit fingerprint of the sorted set and its size.
+Shingles are compared by all 64 bits of a fingerprint, classes by a 64-bit fingerprint of the sorted set and its size.
 
 Nulls, empty texts and texts without words give an empty set, linked with nothing: component_id is the document's
 own id. Repeated doc_ids stay as rows of their own. A null doc_id has a null component unless a link
@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsift.llm.common import checkpointed, joined, mix, parts_for, spans, text_groups
-from netsift.llm.repeats import BLOCKS, Blocks, shared_tokens
+from netsift.llm.repeats import BLOCKS, Blocks, notes, shared_tokens
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
-#: Distinct words whose fingerprints a Python worker remembers.
-WORD_CACHE = 400_000
+#: Distinct words whose fingerprints, and classes whose shingles have gone ahead, a Python worker remembers.
+WORD_CACHE, CLASS_CACHE = 400_000, 2_000_000
 
 
 class _Fingerprints(dict):
@@ -76,30 +76,23 @@ def class_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), len(tokens))
 
 
-def _documents(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Fingerprints()
-        for batch in batches:
-            for group in text_groups(batch):
-                sets = shingle_sets(group.column(1).to_pylist(), words, seen)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": group.column(0),
-                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "class": pa.array(np.array([class_of(s) for s in sets], np.uint64).view(np.int64)),
-                })
-
-    return run
-
-
 def _blocks(words: int, parts: int):
+    """Blocks of the classes' shingles, and as notes the rows: id, whether it is null, number of shingles and class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, blocks, classes = _Fingerprints(), Blocks(parts), set()
         for batch in batches:
             for group in text_groups(batch):
-                for tokens in shingle_sets(group.column(1).to_pylist(), words, seen):
-                    if len(tokens) and (name := class_of(tokens)) not in classes:
+                sets = shingle_sets(group.column(1).to_pylist(), words, seen)
+                names = [class_of(s) for s in sets]
+                ids = group.column(0)
+                blocks.note(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), np.array([len(s) for s in sets], np.int64), np.array(names, np.uint64).view(np.int64))
+                for name, tokens in zip(names, sets, strict=True):
+                    if len(tokens) and name not in classes:
                         classes.add(name)
                         blocks.add(name, len(tokens), tokens)
+                if len(classes) > CLASS_CACHE:
+                    classes.clear()
                 if blocks.full():
                     yield from blocks.flush()
         yield from blocks.flush()
@@ -107,6 +100,15 @@ def _blocks(words: int, parts: int):
     return run
 
 
+ROWS = "doc_id long, n_shingles long, class long"
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, null, n, name in notes(batch.column(0).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=null.astype(bool)), pa.array(n), pa.array(name)], names=["doc_id", "n_shingles", "class"])
+
+
 def least_overlap(n, numerator: int, denominator: int):
     """The smallest overlap that a set of n needs with any partner: ceil(n * threshold)."""
     return -(-n * numerator // denominator)
@@ -124,14 +126,19 @@ def _candidates(numerator: int, denominator: int):
         n = np.zeros(len(names), np.int64)
         n[who] = sizes
         need = least_overlap(n, numerator, denominator)
-        have = np.bincount(who, counts, len(names)).astype(np.int64)
-        good = have >= need
         owner = np.repeat(who, counts)
+        order = np.lexsort((token, df, owner))
+        owner, token, df = owner[order], token[order], df[order]
+        # a hot token may come from its part and from a task that settled it
+        new = np.ones(len(token), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
+        owner, token, df = owner[new], token[new], df[new]
+        have = np.bincount(owner, minlength=len(names))
+        good = have >= need
         keep = good[owner]
         owner, token, df = owner[keep], token[keep], df[keep]
         weight = np.bincount(owner, df, len(names))[good]
-        order = np.lexsort((token, df, owner))
-        token, have, n, need = token[order], have[good], n[good], need[good]
+        have, n, need = have[good], n[good], need[good]
         # shingles of one class only come first in rarity and use up the prefix
         prefix = np.maximum(0, (n - need + 1) - (n - have))
         offsets = np.append(0, np.cumsum(have)).astype(np.int32)
@@ -144,10 +151,12 @@ def _candidates(numerator: int, denominator: int):
     return apply
 
 
-def candidate_classes(docs: DataFrame, words: int, numerator: int, denominator: int, parts: int) -> DataFrame:
+def candidate_classes(docs: DataFrame, words: int, numerator: int, denominator: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """The classes that may have partners, and all rows with the class of their set; shingles are made once."""
     blocks = docs.mapInArrow(_blocks(words, parts), BLOCKS)
-    shared = blocks.groupBy("part").applyInArrow(shared_tokens(parts, parts), BLOCKS)
-    return shared.groupBy("part").applyInArrow(_candidates(numerator, denominator), CLASSES)
+    shared = checkpointed(blocks.repartition(parts, "part").groupBy("part").applyInArrow(shared_tokens(parts, parts), BLOCKS))
+    tokens = shared.where("part >= 0").repartition(parts, "part").groupBy("part")
+    return tokens.applyInArrow(_candidates(numerator, denominator), CLASSES), shared.where("part < 0").select("payload").mapInArrow(_rows, ROWS)
 
 
 def _entries(classes: DataFrame) -> DataFrame:
@@ -234,13 +243,13 @@ def near_duplicate_components(
     documents: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every document; two link at a similarity of numerator / denominator."""
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    classes = checkpointed(candidate_classes(docs, words, numerator, denominator, parts_for(docs, "text")))
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    classes, rows = candidate_classes(docs, words, numerator, denominator, parts_for(docs, "text"))
+    classes = checkpointed(classes)
     entries = _entries(classes)
     links = checkpointed(star_links(entries, classes, numerator, denominator))
     pairs = cross_pairs(entries, components(links), numerator, denominator)
     component = checkpointed(components(links.union(_verified(pairs, classes, numerator, denominator))))
-    rows = checkpointed(docs.mapInArrow(_documents(words), "doc_id long, n_shingles long, class long"))
     rows = rows.join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
     first = checkpointed(rows.groupBy("component").agg(F.min("doc_id").alias("first")))
     named = rows.join(first, "component")

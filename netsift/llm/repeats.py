@@ -1,8 +1,14 @@
 """Which 64-bit tokens of a corpus occur under more than one owner, found with one packed shuffle.
 
-Every owner (a document class, a phrase) brings an array of tokens. A token goes to the part that its upper
+Every owner (a document class) brings an array of tokens. A token goes to the part that its upper
 bits name, in blocks of packed arrays instead of rows, so that a token costs little more than its own bytes. A
 part sorts what it gets; tokens that only one owner has end there. The others go back to their owners.
+
+A token that very many owners of one map task share, a line of boilerplate, would gather them all in its part. Such a
+token is settled in the map task: its owners go ahead in blocks that are dealt by owner, and its part is only told.
+It counts as FREQUENT under every owner, those of other tasks included, so that all order it alike.
+
+Rows that belong to no token may travel along as `notes`; they come out as they went in.
 """
 
 from __future__ import annotations
@@ -12,15 +18,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from netsift.llm.common import pack, runs, spans
+from netsift.llm.common import joined, mix, pack, runs, unpack
 
-#: Tokens that a map task holds before it hands its blocks on.
-FLUSH_TOKENS = 1_000_000
+#: Tokens that a map task holds before it hands its blocks on, and owners of one token among them from which it is hot.
+FLUSH_TOKENS, HOT_IN_FLUSH = 1_000_000, 500
+#: The number of owners that is stored for a token with so many or more, and for hot ones.
+FREQUENT = 65_535
 BLOCKS = "part int, payload binary"
 
 
+def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in rows], pa.int32()), "payload": pa.array([x for _, x in rows], pa.binary())})
+
+
 class Blocks:
-    """Gathers (owner, weight, tokens) in a map task and hands out one packed block for each part."""
+    """Gathers (owner, weight, tokens) in a map task and hands out one packed block for each part.
+
+    Parts from `parts` on hold settled tokens, those from 2 `parts` on notes.
+    """
 
     def __init__(self, parts: int) -> None:
         self.parts = parts
@@ -28,6 +43,7 @@ class Blocks:
 
     def clear(self) -> None:
         self.owners, self.sizes, self.counts, self.tokens, self.held = [], [], [], [], 0
+        self.notes: list[tuple[np.ndarray, ...]] = []
 
     def add(self, owner: int, size: int, tokens: np.ndarray) -> None:
         self.owners.append(owner)
@@ -36,58 +52,97 @@ class Blocks:
         self.tokens.append(tokens)
         self.held += len(tokens)
 
+    def note(self, *arrays: np.ndarray) -> None:
+        self.notes.append(arrays)
+
     def full(self) -> bool:
         return self.held >= FLUSH_TOKENS
 
     def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.notes:
+            arrays = [np.concatenate(x) for x in zip(*self.notes, strict=True)]
+            for s in range(0, len(arrays[0]), 50_000):
+                some = [a[s : s + 50_000] for a in arrays]
+                yield _batch([(2 * self.parts + int(mix(some[0][:1].view(np.uint64))[0] % np.uint64(self.parts)), pack(*some))])
         if not self.owners:
+            self.clear()
             return
         tokens = np.concatenate(self.tokens)
         owner = np.repeat(np.arange(len(self.owners), dtype=np.uint32), self.counts)
-        part = part_of(tokens, self.parts)
-        order = np.argsort(part, kind="stable")
-        tokens, owner, part = tokens[order], owner[order], part[order]
         owners, sizes = np.array(self.owners, np.uint64), np.array(self.sizes, np.uint32)
         self.clear()
-        at, length = runs(part)
-        for s, n in zip(at, length, strict=True):
-            o, t = owner[s : s + n], tokens[s : s + n]
-            first, count = runs(o)
-            block = pack(owners[o[first]], sizes[o[first]], count.astype(np.uint32), t.astype(np.uint32), (t >> np.uint64(32)).astype(np.uint16))
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part[s]], pa.int32()), "payload": pa.array([block], pa.binary())})
+        order = np.argsort(tokens)
+        tokens, owner = tokens[order], owner[order]
+        at, length = runs(tokens)
+        hot = np.repeat(length > HOT_IN_FLUSH, length)
+        told = tokens[at[length > HOT_IN_FLUSH]]
+        if len(told):
+            o, t = owner[hot], tokens[hot]
+            for part, some in _dealt(((mix(owners[o]) >> np.uint64(40)) % np.uint64(self.parts)).astype(np.int32) + self.parts):
+                yield _batch([(part, self._block(owners, sizes, o[some], t[some], t[:0]))])
+            tokens, owner = tokens[~hot], owner[~hot]
+        tell = dict(_dealt(part_of(told, self.parts)))
+        seen = set()
+        for part, some in _dealt(part_of(tokens, self.parts)):
+            seen.add(part)
+            yield _batch([(part, self._block(owners, sizes, owner[some], tokens[some], told[tell.get(part, slice(0, 0))]))])
+        for part in tell.keys() - seen:
+            yield _batch([(part, self._block(owners, sizes, owner[:0], tokens[:0], told[tell[part]]))])
+
+    @staticmethod
+    def _block(owners: np.ndarray, sizes: np.ndarray, owner: np.ndarray, tokens: np.ndarray, told: np.ndarray) -> bytes:
+        order = np.argsort(owner, kind="stable")
+        owner, tokens = owner[order], tokens[order]
+        first, count = runs(owner)
+        return pack(owners[owner[first]], sizes[owner[first]], count.astype(np.uint32), tokens, told)
+
+
+def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part and the places that name it."""
+    order = np.argsort(part, kind="stable")
+    for s, n in zip(*runs(part[order]), strict=True):
+        yield int(part[order[s]]), order[s : s + n]
 
 
 def part_of(tokens: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each token, from its upper 24 bits; the lower 48 tell tokens of a part from each other."""
+    """The part of each token, from its upper 24 bits."""
     return (((tokens >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int32)
 
 
 def shared_tokens(parts: int, back: int):
-    """A function for applyInArrow by part: blocks of owners with those tokens that two owners or more have.
+    """A function for applyInArrow by part: blocks of owners with those tokens that two owners or more have, each with
+    the number of its owners; and the notes.
 
-    An owner may come from several map tasks; it counts once. Blocks go to `back` parts by owner.
+    An owner may come from several map tasks; it counts once. Blocks go to `back` parts by owner, notes to part -1.
     """
 
     def apply(key: tuple, table: pa.Table) -> pa.Table:
-        from netsift.llm.common import joined
-
-        part = int(key[0].as_py())
-        owners, sizes, counts, low, high = joined(table.column("payload").to_pylist())
-        names, first = np.unique(owners, return_index=True)
-        kept = np.zeros(len(owners), bool)
-        kept[first] = True
-        starts = np.cumsum(counts) - counts
-        at = spans(starts[kept], counts[kept].astype(np.int64))
-        names, sizes, counts = owners[kept], sizes[kept], counts[kept]
-        token = (high[at].astype(np.uint64) << np.uint64(32)) | low[at]
-        who = np.repeat(np.arange(len(names), dtype=np.uint32), counts)
-        order = np.argsort(token, kind="stable")
-        token, who = token[order], who[order]
-        s, n = runs(token)
-        df = np.repeat(n, n)
-        keep = df >= 2
-        token, who, df = token[keep], who[keep], np.minimum(df[keep], 65535).astype(np.uint16)
-        token |= np.uint64(part % 65536) << np.uint64(48)
+        payloads = table.column("payload").to_pylist()
+        if key[0].as_py() >= 2 * parts:
+            return pa.table({"part": pa.array([-1] * len(payloads), pa.int32()), "payload": pa.array(payloads, pa.binary())})
+        owners, sizes, counts, token, told = joined(payloads)
+        names, first, who = np.unique(owners, return_index=True, return_inverse=True)
+        sizes = sizes[first]
+        if key[0].as_py() >= parts:
+            # the tokens of an owner that several tasks settled stand once
+            who = np.repeat(who, counts)
+            pair = np.lexsort((token, who))
+            token, who = token[pair], who[pair]
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (who[1:] != who[:-1])
+            token, who = token[new], who[new]
+            df = np.full(len(token), FREQUENT, np.uint16)
+        else:
+            order = np.lexsort((np.repeat(who, counts), token))
+            token, who = token[order], np.repeat(who, counts)[order]
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (who[1:] != who[:-1])
+            token, who = token[new], who[new]
+            s, n = runs(token)
+            hot = np.isin(token[s], told)
+            df = np.repeat(np.where(hot, FREQUENT, np.minimum(n, FREQUENT)), n).astype(np.uint16)
+            keep = df >= 2
+            token, who, df = token[keep], who[keep], df[keep]
         to = (names % np.uint64(back)).astype(np.int32)[who]
         order = np.lexsort((who, to))
         token, who, df, to = token[order], who[order], df[order], to[order]
@@ -100,3 +155,10 @@ def shared_tokens(parts: int, back: int):
         return pa.table({"part": pa.array(out_part, pa.int32()), "payload": pa.array(out, pa.binary())})
 
     return apply
+
+
+def notes(payloads: list[bytes]) -> list[list[np.ndarray]]:
+    """The arrays of each payload of notes."""
+    return [unpack(x) for x in payloads]
+
+

@@ -491,3 +491,51 @@ def test_suffix_order():
             got, new = suffix_order(data, np.arange(len(data) - length + 1), length)
             strings = [data.tobytes()[i : i + length] for i in got]
             assert strings == sorted(strings) and all((a != b) == n for a, b, n in zip(strings, strings[1:], new[1:]))
+
+
+@pytest.mark.parametrize("hot", [2, 5, 10**6])
+def test_shared_tokens_with_hot_ones(monkeypatch, hot):
+    """Each class gets the tokens that another one has, each with the same number under all of them."""
+    import pyarrow as pa
+
+    from netsift.llm import jaccard_join, repeats
+    from netsift.llm.common import mix, unpack
+
+    monkeypatch.setattr(repeats, "HOT_IN_FLUSH", hot)
+    rng, parts = np.random.default_rng(3), 3
+    sets = {int(k): np.unique(np.concatenate((mix(np.arange(rng.integers(1, 12), dtype=np.uint64)), mix(rng.integers(0, 400, 30).astype(np.uint64))))) for k in rng.integers(1, 2**62, 40)}
+    blocks = []
+    for task in (list(sets)[:25], list(sets)[15:]):
+        made = repeats.Blocks(parts)
+        for k, name in enumerate(task):
+            made.add(name, len(sets[name]), sets[name])
+            made.note(np.array([k]), np.array([0], np.uint8), np.array([len(sets[name])]), np.array([name]))
+            if k % 9 == 8:
+                blocks += made.flush()
+        blocks += made.flush()
+    by = {}
+    for b in blocks:
+        for part, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            by.setdefault(part, []).append(payload)
+    back, told = {}, []
+    for part, payloads in by.items():
+        out = repeats.shared_tokens(parts, 2)((pa.scalar(part),), pa.table({"part": pa.array([part] * len(payloads), pa.int32()), "payload": pa.array(payloads, pa.binary())}))
+        for to, payload in zip(out.column("part").to_pylist(), out.column("payload").to_pylist()):
+            if to < 0:
+                told.append(len(unpack(payload)[0]))
+            else:
+                back.setdefault(to, []).append(payload)
+    assert sum(told) == 25 + 25
+    got, numbers = {}, {}
+    for payloads in back.values():
+        for payload in payloads:
+            names, _, counts, token, df = unpack(payload)
+            for name, t, d in zip(np.repeat(names, counts).tolist(), token.tolist(), df.tolist()):
+                got.setdefault(name, set()).add(t)
+                assert numbers.setdefault(t, d) == d
+    seen = Counter(t for s in sets.values() for t in s.tolist())
+    assert got == {name: want for name, s in sets.items() if (want := {t for t in s.tolist() if seen[t] > 1})}
+    for payloads in back.values():
+        rows = jaccard_join._candidates(1, 10)(pa.table({"payload": pa.array(payloads, pa.binary())})).to_pylist()
+        for r in rows:
+            assert len(r["tokens"]) == len(got[r["class"]]) and set(np.array(r["tokens"], np.int64).view(np.uint64).tolist()) == got[r["class"]]
