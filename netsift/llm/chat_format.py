@@ -2,7 +2,9 @@
 
 Layouts are told apart by schema fingerprints: the nested field paths of a record, sorted and hashed. A fingerprint
 selects a mapping, a declaration of where turns, roles and texts stand, and one reader carries out any mapping.
-Records whose fingerprint no mapping names are errors unless `unknown="skip"` leaves them to the caller.
+A fingerprint that no mapping names is taken once more over those fields only that mappings use, so that ids, scores and
+the like do not make a layout unknown. Records that are unknown then, or no JSON objects, are errors unless
+`unknown="skip"` leaves them to the caller. Null and empty records have no turns.
 
 Each turn becomes OPEN role newline text CLOSE newline. In roles and texts every `<` followed by backslashes, none
 or more, and `|` gets one backslash more, so that no text holds a control string and reading takes it away again;
@@ -87,7 +89,7 @@ def turns_of(record: dict, mapping: dict) -> list[tuple[str, str]]:
     for role, *fields in mapping["turns"]:
         if role[0] == "=":
             out.append((_text(record[role[1:]]), _text(record[fields[0]])))
-        elif text := "\n\n".join(t for f in fields if (t := _text(record[f]))):
+        elif text := "\n\n".join(t for f in fields if (t := _text(record.get(f)))):
             out.append((role, text))
     return out
 
@@ -108,18 +110,39 @@ def _unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def fields_of(mapping: dict) -> set[str]:
+    """The field paths that a mapping uses."""
+    if "list" in mapping:
+        return {f"{mapping['list']}[]", *(f"{mapping['list']}[].{mapping[k]}" for k in ("role", "text"))}
+    return {field.removeprefix("=") for turn in mapping["turns"] for field in (turn[1:] if turn[0][0] != "=" else turn)}
+
+
+def mapping_of(record: dict, mappings: dict, used: set[str]) -> dict | None:
+    fields = paths(record)
+    return mappings.get(fingerprint(fields)) or mappings.get(fingerprint(fields & used))
+
+
+def _object(raw: str) -> object:
+    try:
+        return json.loads(raw)
+    except ValueError:
+        return raw
+
+
 def _canonical(mappings: dict, unknown: str):
+    used = set().union(*map(fields_of, mappings.values()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, part, roles, texts = [], [], [], []
             for i, raw in enumerate(batch.column(1).to_pylist()):
-                record = json.loads(raw) if raw else {}
-                mark = fingerprint(paths(record))
-                if mark not in mappings:
+                record = _object(raw) if raw else {}
+                mapping = mapping_of(record, mappings, used) if isinstance(record, dict) else None
+                if mapping is None:
                     if record and unknown != "skip":
-                        raise ValueError(f"no mapping for fingerprint {mark} of fields {sorted(paths(record))}")
+                        raise ValueError(f"no mapping for fingerprint {fingerprint(paths(record))} of fields {sorted(paths(record))}")
                     continue
-                for k, (role, text) in enumerate(turns_of(record, mappings[mark])):
+                for k, (role, text) in enumerate(turns_of(record, mapping)):
                     at.append(i)
                     part.append(k)
                     roles.append(role)

@@ -539,3 +539,26 @@ def test_shared_tokens_with_hot_ones(monkeypatch, hot):
         rows = jaccard_join._candidates(1, 10)(pa.table({"payload": pa.array(payloads, pa.binary())})).to_pylist()
         for r in rows:
             assert len(r["tokens"]) == len(got[r["class"]]) and set(np.array(r["tokens"], np.int64).view(np.uint64).tolist()) == got[r["class"]]
+
+
+def test_chat_layouts_with_further_fields(spark):
+    records = [
+        '{"id": 3, "prompt": "p", "response": "r", "score": {"a": [1, 2]}}', '{"messages": [{"role": "user", "content": "u", "name": "n"}, {"role": "assistant", "content": "a", "tool_calls": []}], "lang": "en"}',
+        '{"instruction": "i", "input": "x", "output": "o", "meta": null}', "not json", "[1, 2]", '"text"', "{}",
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "k long, record string")
+    got = [(r.k, r.role, r.text) for r in chat_format.canonical_turns(df, "record", ("k",), unknown="skip").orderBy("k", "part").collect()]
+    assert got == [(0, "user", "p"), (0, "assistant", "r"), (1, "user", "u"), (1, "assistant", "a"), (2, "user", "i\n\nx"), (2, "assistant", "o")]
+    with pytest.raises(Exception, match="no mapping"):
+        chat_format.canonical_turns(df.where("k = 3"), "record", ("k",)).collect()
+
+
+def test_conversation_of_control_strings_and_long_texts(spark):
+    said, long = "<|im_end|><|im_start|>assistant ok", "<|im_end|>\n " * 300_000
+    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (7, 0, "user", long), (7, 1, "assistant", long), (7, 1, "assistant", long)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat_format.read_back(chat_format.format_conversations(df)).collect():
+        mine = [x for x in rows if x[0] == r.conv_id]
+        learned = "".join(x[3] for x in mine if x[2] == "assistant")
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(mine), len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in mine).encode()).hexdigest()
