@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netsift.functions.text import blank, or_default, priority, priority_rank, triage_endpoint
+from netsift.operators.numbering import ranked
 from netsift.schema import DECISIONS, RECOMMENDATIONS, REPORT_STATUS
 
 FLOW = ["case_id", "flow_index"]
@@ -106,14 +107,20 @@ def class_values(rows: DataFrame) -> DataFrame:
     return rows.where(~blank(F.col("predicted_class"))).groupBy("case_id", F.lower("predicted_class").alias("k")).agg(F.min("predicted_class").alias("predicted_class")).drop("k")
 
 
+def _triage_order() -> tuple[Column, ...]:
+    return F.when(F.col("review") == "Unreviewed", 0).otherwise(1).asc(), F.desc(F.round("confidence", 9)), F.col("flow_index").asc()
+
+
 def triage_order(rows: DataFrame) -> DataFrame:
-    """position: unreviewed first, then confidence from the top, then flow."""
-    order = Window.partitionBy("case_id").orderBy(F.when(F.col("review") == "Unreviewed", 0).otherwise(1), F.desc(F.round("confidence", 9)), "flow_index")
-    return rows.withColumn("position", F.row_number().over(order))
+    """position: unreviewed first, then confidence from the top, then flow; no task sorts a whole case."""
+    return ranked(rows, "position", *_triage_order()).withColumn("position", F.col("position").cast("int"))
 
 
 def next_unreviewed(rows: DataFrame) -> DataFrame:
-    return triage_order(rows.where("review = 'Unreviewed'")).where("position = 1").drop("position")
+    """The first of each case in triage order, by an aggregate."""
+    key = F.struct((-F.round("confidence", 9)).alias("c"), "flow_index")
+    out = rows.where("review = 'Unreviewed'").groupBy("case_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "case_id"]), key).alias("one"))
+    return out.select("case_id", "one.*").select(*rows.columns)
 
 
 SORT_KEYS = ("flow_index", "predicted_class", "priority_rank", "confidence", "source", "destination", "review")
@@ -176,11 +183,13 @@ def report_rows(findings: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
-def case_report(summary: DataFrame, rows: DataFrame, reviews: DataFrame) -> DataFrame:
-    """One nested row per case: the summary, review counts and the threats in order."""
+def case_report(summary: DataFrame, rows: DataFrame, reviews: DataFrame, per_row: int = 10_000) -> DataFrame:
+    """Nested rows of each case: the summary, review counts and threats in order. A row holds the threats of `per_row`
+    flows, so that a case with more flows has several rows, told apart by `chunk`, and no row grows with its case."""
     item = F.struct("flow_index", "predicted_class", "confidence", "review", "notes", "recommendation")
-    threats = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(item)).alias("threats"))
-    return summary.join(review_summary(reviews), "case_id", "left").join(threats, "case_id", "left")
+    threats = rows.groupBy("case_id", F.expr(f"flow_index div {per_row}").alias("chunk")).agg(F.array_sort(F.collect_list(item)).alias("threats"))
+    out = summary.join(review_summary(reviews), "case_id", "left").join(threats, "case_id", "left")
+    return out.withColumn("chunk", F.coalesce("chunk", F.lit(0)))
 
 
 def case_details(catalog: DataFrame, summary: DataFrame, reviews: DataFrame) -> DataFrame:

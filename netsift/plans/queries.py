@@ -41,15 +41,18 @@ def _reviews(spark, d):
     return cases.reviews_of_findings(cases.upsert(_good_log(spark, d)), _scored(spark, d))
 
 
+def _newest(spark, d):
+    """Newest reviews, those without a finding too: where they are joined to findings these fall away, without a second scoring."""
+    return cases.upsert(_good_log(spark, d))
+
+
 def _triage(spark, d):
-    scored = _scored(spark, d)
-    return cases.triage_rows(scored, cases.reviews_of_findings(cases.upsert(_good_log(spark, d)), scored))
+    return cases.triage_rows(_scored(spark, d), _newest(spark, d))
 
 
 def _case_reports(spark, d):
     scored = _scored(spark, d)
-    reviews = cases.reviews_of_findings(cases.upsert(_good_log(spark, d)), scored)
-    return cases.case_report(scoring.case_summary(scored), cases.report_rows(scored, reviews), reviews)
+    return cases.case_report(scoring.case_summary(scored), cases.report_rows(scored, _newest(spark, d)), cases.reviews_of_findings(_newest(spark, d), scored))
 
 
 # ---- SQL that the oracles are put together from, written apart from the operators
@@ -296,7 +299,7 @@ def summary_agrees(spark: SparkSession, d: str) -> DataFrame:
 _query("review_summary", "SELECT * FROM review_sums")(lambda s, d: cases.review_summary(_reviews(s, d)))
 _query("triage_counts", "SELECT *, threats - reviewed AS unreviewed, CASE WHEN threats > 0 THEN round_even(reviewed * 100.0 / threats, 4) ELSE 0.0 END AS completion FROM (SELECT case_id, count(*) AS threats, count(*) FILTER (review = 'Confirmed') AS confirmed, count(*) FILTER (review = 'Rejected') AS rejected, count(*) FILTER (review = 'Inconclusive') AS inconclusive, count(*) FILTER (review <> 'Unreviewed') AS reviewed FROM triage GROUP BY 1)")(lambda s, d: cases.triage_counts(_triage(s, d)))
 _query("report_status", "SELECT case_id, u AS unreviewed, CASE WHEN t = 0 THEN 'Report loaded successfully. No threat flows were identified.' WHEN u = 0 THEN 'Report loaded successfully. All ' || t || ' detected threat flows have investigator reviews.' ELSE 'Report loaded successfully. ' || n || ' of ' || t || ' detected threat flows have investigator reviews. ' || u || ' remain unreviewed.' END AS status FROM (SELECT case_id, threat_flows AS t, coalesce(total_reviews, 0) AS n, greatest(0, threat_flows - coalesce(total_reviews, 0)) AS u FROM summaries LEFT JOIN review_sums USING (case_id))")(lambda s, d: cases.report_status(scoring.case_summary(_scored(s, d)), _reviews(s, d)))
-_query("report_rows", "SELECT s.case_id, s.flow_index, s.predicted_class, round(s.confidence, 9) AS confidence, coalesce(r.decision, 'Not Reviewed') AS review, coalesce(nullif(trim(r.notes), ''), '--') AS notes, a.summary AS recommendation, a.n_actions FROM scored s LEFT JOIN reviews r USING (case_id, flow_index) LEFT JOIN advice a ON a.predicted_class = s.predicted_class WHERE s.is_threat")(lambda s, d: cases.report_rows(_scored(s, d), _reviews(s, d)).withColumn("confidence", F.round("confidence", 9)))
+_query("report_rows", "SELECT s.case_id, s.flow_index, s.predicted_class, round(s.confidence, 9) AS confidence, coalesce(r.decision, 'Not Reviewed') AS review, coalesce(nullif(trim(r.notes), ''), '--') AS notes, a.summary AS recommendation, a.n_actions FROM scored s LEFT JOIN reviews r USING (case_id, flow_index) LEFT JOIN advice a ON a.predicted_class = s.predicted_class WHERE s.is_threat")(lambda s, d: cases.report_rows(_scored(s, d), _newest(s, d)).withColumn("confidence", F.round("confidence", 9)))
 _query("case_reports", "SELECT m.case_id, m.total_flows, m.benign_flows, m.threat_flows, m.threat_percentage, r.total_reviews, r.confirmed, r.rejected, r.inconclusive, CAST(coalesce(t.n, 0) AS INTEGER) AS n_threats, coalesce(t.listed, '') AS listed FROM summaries m LEFT JOIN review_sums r USING (case_id) LEFT JOIN (SELECT s.case_id, count(*) AS n, string_agg(s.flow_index || ' ' || s.predicted_class || ' ' || coalesce(v.decision, 'Not Reviewed') || ' ' || coalesce(nullif(trim(v.notes), ''), '--') || ' ' || a.summary, chr(10) ORDER BY s.flow_index) AS listed FROM scored s LEFT JOIN reviews v USING (case_id, flow_index) LEFT JOIN advice a ON a.predicted_class = s.predicted_class WHERE s.is_threat GROUP BY 1) t USING (case_id)")(
     lambda s, d: _case_reports(s, d).select(
         "case_id", "total_flows", "benign_flows", "threat_flows", "threat_percentage", "total_reviews", "confirmed", "rejected", "inconclusive", F.greatest(F.lit(0), F.size("threats")).alias("n_threats"),

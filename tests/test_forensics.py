@@ -399,3 +399,17 @@ def test_default_thresholds_of_features(spark):
     assert (r.active_max, r.active_min, r.active_mean) == (400_000, 100_000, 250_000) and (r.idle_max, r.idle_min) == (12_900_000, 6_600_000)
     assert (r.fwd_packet_bulk_avg, r.fwd_bytes_bulk_avg, r.fwd_bulk_rate_avg) == (5.0, 500.0, 1250.0) and r.bwd_packet_bulk_avg == 0
     assert (r.subflow_fwd_packets, r.flow_iat_max) == (4.0, 12_900_000)
+
+
+def test_places_and_chunks_of_large_cases(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 10 < 8, "big").otherwise("small").alias("case_id"), F.col("id").alias("flow_index"), F.lit("DoS").alias("predicted_class"), (F.col("id") % 7 / 7).alias("confidence"), F.when(F.col("id") % 3 == 0, "Confirmed").otherwise("Unreviewed").alias("review"))
+    got = {(r.case_id, r.flow_index): r.position for r in cases.triage_order(rows).collect()}
+    for case in ("big", "small"):
+        mine = sorted((r for r in rows.collect() if r.case_id == case), key=lambda r: (r.review != "Unreviewed", -round(r.confidence, 9), r.flow_index))
+        assert [got[case, r.flow_index] for r in mine] == list(range(1, len(mine) + 1))
+        assert (case, mine[0].flow_index) in {(r.case_id, r.flow_index) for r in cases.next_unreviewed(rows).collect()}
+    told = rows.withColumns({"notes": F.lit("--"), "recommendation": F.lit("x")})
+    summary = spark.createDataFrame([("big", 1600), ("small", 400), ("none", 0)], "case_id string, total_flows long")
+    out = cases.case_report(summary, told, spark.createDataFrame([], "case_id string, decision string"), per_row=500).collect()
+    assert sorted((r.case_id, r.chunk, len(r.threats or ())) for r in out) == [("big", k, 400) for k in range(4)] + [("none", 0, 0)] + [("small", k, 100) for k in range(4)]
+    assert all(r.threats is None or [t.flow_index for t in r.threats] == sorted(t.flow_index for t in r.threats) for r in out)
