@@ -100,27 +100,28 @@ def _blocks(words: int, parts: int):
     return run
 
 
-ROWS = "doc_id long, n_shingles long, class long"
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc, null, n, name in notes(batch.column(0).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=null.astype(bool)), pa.array(n), pa.array(name)], names=["doc_id", "n_shingles", "class"])
-
-
 def least_overlap(n, numerator: int, denominator: int):
     """The smallest overlap that a set of n needs with any partner: ceil(n * threshold)."""
     return -(-n * numerator // denominator)
 
 
-CLASSES = "class long, n long, prefix int, weight double, tokens array<long>"
+#: Classes that may have partners, and all rows, for which `prefix` is null and n the size of their set.
+CLASSES = "doc_id long, class long, n long, prefix int, weight double, tokens array<long>"
+
+
+def _rows(payloads: list[bytes]) -> pa.Table:
+    doc, null, n, name = (np.concatenate(x) for x in zip(*notes(payloads), strict=True))
+    none = lambda kind: pa.nulls(len(doc), kind)
+    return pa.table({"doc_id": pa.array(doc, pa.int64(), mask=null.astype(bool)), "class": pa.array(name), "n": pa.array(n), "prefix": none(pa.int32()), "weight": none(pa.float64()), "tokens": none(pa.list_(pa.int64()))})
 
 
-def _candidates(numerator: int, denominator: int):
-    """A function for applyInArrow by part: classes that may have partners, their shared shingles by rarity."""
+def _candidates(numerator: int, denominator: int, back: int):
+    """A function for applyInArrow by part: classes that may have partners, their shared shingles by rarity; from part
+    `back` on the rows."""
 
-    def apply(table: pa.Table) -> pa.Table:
+    def apply(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() >= back:
+            return _rows(table.column("payload").to_pylist())
         owners, sizes, counts, token, df = joined(table.column("payload").to_pylist())
         names, who = np.unique(owners, return_inverse=True)
         n = np.zeros(len(names), np.int64)
@@ -143,7 +144,7 @@ def _candidates(numerator: int, denominator: int):
         prefix = np.maximum(0, (n - need + 1) - (n - have))
         offsets = np.append(0, np.cumsum(have)).astype(np.int32)
         return pa.table({
-            "class": pa.array(names[good].view(np.int64)), "n": pa.array(n), "prefix": pa.array(prefix.astype(np.int32)),
+            "doc_id": pa.nulls(len(n), pa.int64()), "class": pa.array(names[good].view(np.int64)), "n": pa.array(n), "prefix": pa.array(prefix.astype(np.int32)),
             "weight": pa.array((weight + n - have) / n),
             "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(token.view(np.int64))),
         })
@@ -154,9 +155,9 @@ def _candidates(numerator: int, denominator: int):
 def candidate_classes(docs: DataFrame, words: int, numerator: int, denominator: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """The classes that may have partners, and all rows with the class of their set; shingles are made once."""
     blocks = docs.mapInArrow(_blocks(words, parts), BLOCKS)
-    shared = checkpointed(blocks.repartition(parts, "part").groupBy("part").applyInArrow(shared_tokens(parts, parts), BLOCKS))
-    tokens = shared.where("part >= 0").repartition(parts, "part").groupBy("part")
-    return tokens.applyInArrow(_candidates(numerator, denominator), CLASSES), shared.where("part < 0").select("payload").mapInArrow(_rows, ROWS)
+    shared = blocks.repartition(parts, "part").groupBy("part").applyInArrow(shared_tokens(parts, parts), BLOCKS)
+    found = checkpointed(shared.repartition(parts, "part").groupBy("part").applyInArrow(_candidates(numerator, denominator, parts), CLASSES))
+    return found.where("prefix is not null").drop("doc_id"), found.where("prefix is null").select("doc_id", F.col("n").alias("n_shingles"), "class")
 
 
 def _entries(classes: DataFrame) -> DataFrame:
@@ -245,7 +246,6 @@ def near_duplicate_components(
     """doc_id, n_shingles and component_id of every document; two link at a similarity of numerator / denominator."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     classes, rows = candidate_classes(docs, words, numerator, denominator, parts_for(docs, "text"))
-    classes = checkpointed(classes)
     entries = _entries(classes)
     links = checkpointed(star_links(entries, classes, numerator, denominator))
     pairs = cross_pairs(entries, components(links), numerator, denominator)

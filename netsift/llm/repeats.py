@@ -5,7 +5,7 @@ bits name, in blocks of packed arrays instead of rows, so that a token costs lit
 part sorts what it gets; tokens that only one owner has end there. The others go back to their owners.
 
 A token that very many owners of one map task share, a line of boilerplate, would gather them all in its part. Such a
-token is settled in the map task: its owners go ahead in blocks that are dealt by owner, and its part is only told.
+token is settled in the map task: its owners go ahead in blocks that need no sorting together, and its part is only told.
 It counts as FREQUENT under every owner, those of other tasks included, so that all order it alike.
 
 Rows that belong to no token may travel along as `notes`; they come out as they went in.
@@ -79,7 +79,7 @@ class Blocks:
         if len(told):
             o, t = owner[hot], tokens[hot]
             for part, some in _dealt(((mix(owners[o]) >> np.uint64(40)) % np.uint64(self.parts)).astype(np.int32) + self.parts):
-                yield _batch([(part, self._block(owners, sizes, o[some], t[some], t[:0]))])
+                yield _batch([(part, self._block(owners, sizes, o[some], _whole(*_short(t[some]), part_of(t[some], self.parts), self.parts)))])
             tokens, owner = tokens[~hot], owner[~hot]
         tell = dict(_dealt(part_of(told, self.parts)))
         seen = set()
@@ -90,11 +90,11 @@ class Blocks:
             yield _batch([(part, self._block(owners, sizes, owner[:0], tokens[:0], told[tell[part]]))])
 
     @staticmethod
-    def _block(owners: np.ndarray, sizes: np.ndarray, owner: np.ndarray, tokens: np.ndarray, told: np.ndarray) -> bytes:
+    def _block(owners: np.ndarray, sizes: np.ndarray, owner: np.ndarray, tokens: np.ndarray, told: np.ndarray | None = None) -> bytes:
         order = np.argsort(owner, kind="stable")
         owner, tokens = owner[order], tokens[order]
         first, count = runs(owner)
-        return pack(owners[owner[first]], sizes[owner[first]], count.astype(np.uint32), tokens, told)
+        return pack(owners[owner[first]], sizes[owner[first]], count.astype(np.uint32), *((tokens,) if told is None else (*_short(tokens), *_short(told))))
 
 
 def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -109,21 +109,36 @@ def part_of(tokens: np.ndarray, parts: int) -> np.ndarray:
     return (((tokens >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int32)
 
 
+def _short(tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The lower 56 bits of tokens, as 4, 2 and 1 bytes."""
+    return tokens.astype(np.uint32), (tokens >> np.uint64(32)).astype(np.uint16), (tokens >> np.uint64(48)).astype(np.uint8)
+
+
+def _whole(low: np.ndarray, middle: np.ndarray, high: np.ndarray, part: np.ndarray | int, parts: int) -> np.ndarray:
+    """The tokens of a part: it stands for their upper bits, all 8 of them from 256 parts on."""
+    out = low.astype(np.uint64) | middle.astype(np.uint64) << np.uint64(32) | high.astype(np.uint64) << np.uint64(48)
+    top = np.asarray(part, np.int64)
+    top = top if parts <= 256 else ((top << 24) // parts) >> 16
+    return out | top.astype(np.uint64) << np.uint64(56)
+
+
 def shared_tokens(parts: int, back: int):
     """A function for applyInArrow by part: blocks of owners with those tokens that two owners or more have, each with
     the number of its owners; and the notes.
 
-    An owner may come from several map tasks; it counts once. Blocks go to `back` parts by owner, notes to part -1.
+    An owner may come from several map tasks; it counts once. Blocks go to `back` parts by owner, notes to parts from
+    `back` on.
     """
 
     def apply(key: tuple, table: pa.Table) -> pa.Table:
-        payloads = table.column("payload").to_pylist()
-        if key[0].as_py() >= 2 * parts:
-            return pa.table({"part": pa.array([-1] * len(payloads), pa.int32()), "payload": pa.array(payloads, pa.binary())})
-        owners, sizes, counts, token, told = joined(payloads)
+        payloads, part = table.column("payload").to_pylist(), key[0].as_py()
+        if part >= 2 * parts:
+            return pa.table({"part": pa.array([back + part - 2 * parts] * len(payloads), pa.int32()), "payload": pa.array(payloads, pa.binary())})
+        owners, sizes, counts, *tokens = joined(payloads)
+        token, told = (tokens[0], None) if part >= parts else (_whole(*tokens[:3], part, parts), _whole(*tokens[3:], part, parts))
         names, first, who = np.unique(owners, return_index=True, return_inverse=True)
         sizes = sizes[first]
-        if key[0].as_py() >= parts:
+        if part >= parts:
             # the tokens of an owner that several tasks settled stand once
             who = np.repeat(who, counts)
             pair = np.lexsort((token, who))

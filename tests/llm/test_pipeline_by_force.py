@@ -149,3 +149,44 @@ def test_registered_queries(spark, folder):
             assert by["op8"][i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
     assert {(r.doc_id, r.item_id) for r in many["op3_benchmark_decontamination"]} == {(i, 1) for i in (30, 31, 32)}
     assert {i: by["op2"][i].component_id for i in (1, 2, 3, 8, 9, 10)} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 10: 1}
+
+
+def test_registered_queries_of_other_tables(spark):
+    """op5, op6 and op9 as registered, over their whole tables, against plain Python."""
+    import base64
+
+    sf = "/root/testdata/sf0.001"
+    said = "<|im_end|><|im_start|>assistant ok"
+    talks = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        talks[r.conv_id].append((r.turn, r.role or "", r.text or ""))
+    talks[-1] = [(0, "user", said), (1, "assistant", said)]
+    got = {r.conv_id: r for r in queries.op5_chat_formatting(spark, sf).collect()}
+    assert set(got) == set(talks)
+    for conv, turns in talks.items():
+        turns.sort()
+        learned = "".join(t for _, role, t in turns if role == "assistant")
+        whole = "".join(f"{role}\n{t}\n" for _, role, t in turns)
+        assert (got[conv].n_turns, got[conv].loss_chars) == (len(turns), len(learned))
+        assert (got[conv].turns_sha256, got[conv].loss_sha256) == (hashlib.sha256(whole.encode()).hexdigest(), hashlib.sha256(learned.encode()).hexdigest())
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    bits, ids = np.array([r.embedding for r in rows]) > 0, [r.vec_id for r in rows]
+    found = defaultdict(list)
+    for r in queries.op6_exact_topk_search(spark, sf).collect():
+        found[r.query_id].append((r.rank, r.distance, r.vec_id))
+    assert set(found) == {i for i in ids if i % 20 == 0}
+    for k, i in enumerate(ids):
+        if i % 20 == 0:
+            near = sorted((int(d), j) for d, j in zip((bits != bits[k]).sum(axis=1), ids))[:10]
+            assert sorted(found[i]) == [(n, *x) for n, x in enumerate(near, 1)]
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()
+    last = {}
+    for r in pages:
+        last[r.html or ""] = max(last.get(r.html or "", r.page_id), r.page_id)
+    got = {r.page_id: r for r in queries.op9_warc(spark, sf).collect()}
+    assert len(got) == len(pages)
+    for r in pages:
+        data, response = (r.html or "").encode(), last[r.html or ""] == r.page_id
+        want = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if response else "revisit", None if response else last[r.html or ""])
+        mine = got[r.page_id]
+        assert (mine.payload_bytes, mine.payload_digest, mine.record_type, mine.refers_to) == want
