@@ -245,8 +245,11 @@ def window_edits(item: np.ndarray, size: int, first: int, last: int, text: np.nd
     for i in range(size):
         new = row + (shifted[i : i + lanes] != item[first + i : first + i + n])
         np.minimum(new[:-1], row[1:] + 2, out=new[:-1])
-        for k in range(1, lanes):
-            np.minimum(new[k], new[k - 1], out=new[k])
+        # the least of all lanes up to each, in steps that double
+        reach = 1
+        while reach < lanes:
+            np.minimum(new[reach:], new[:-reach].copy(), out=new[reach:])
+            reach *= 2
         row = new
         if i % 16 == 15 and (row + step).min() > most:
             break
