@@ -1,8 +1,8 @@
 """Exact nearest neighbours of vectors under the Hamming distance of their binary codes.
 
 Method: incremental multi-index hashing. Codes are cut into m segments of about log2(n) bits, n being the number of
-different codes, and every segment has an index from its value to codes. All queries look up their own values first,
-then the values at distance 1, 2, and so on. After radius r every code within m (r + 1) - 1 of a query has been met,
+different codes, and every segment has an index from its value to codes. All queries look up their own values and those at
+distance 1 first, then the values at distance 2, 3, and so on. After radius r every code within m (r + 1) - 1 of a query has been met,
 so a query is over once its kth verified distance is at most that; only the others go on to the next radius. At the
 radius of a whole segment everything is covered, so each query ends by what its radius covers.
 
@@ -43,6 +43,8 @@ LENGTH = 4
 PER_PART = 16_384
 #: Values that a task looks up at once.
 AT_ONCE = 1 << 20
+#: The radius up to which the first round goes; a round for radius 0 alone would cost more than it spares.
+FIRST_RADIUS = 1
 
 
 class Layout(NamedTuple):
@@ -205,7 +207,7 @@ class Part:
 FOUND = "ask binary, distance int, first long, found binary"
 
 
-def _searched(layouts: dict[int, Layout], radius: int, k: int):
+def _searched(layouts: dict[int, Layout], radii: range, k: int):
     def apply(key: tuple, index: pa.Table, queries: pa.Table) -> pa.Table:
         bits, segment = (x.as_py() for x in key[:2])
         ask = found = distance = np.zeros(0, np.int64)
@@ -213,7 +215,8 @@ def _searched(layouts: dict[int, Layout], radius: int, k: int):
             # classes of null ids first, as everywhere
             index = index.take(pc.sort_indices(index, sort_keys=[("first", "ascending"), ("code", "ascending")], null_placement="at_start"))
             part = Part(_matrix(index.column("code")), layouts[bits], segment)
-            ask, found, distance = part.search(_matrix(queries.column("ask")), queries.column("bound").to_numpy(), radius, k)
+            codes, bounds = _matrix(queries.column("ask")), queries.column("bound").to_numpy()
+            ask, found, distance = _nearest(*(np.concatenate(x) for x in zip(*(part.search(codes, bounds, r, k) for r in radii), strict=True)), k)
         return pa.table({
             "ask": queries.column("ask").take(pa.array(ask)), "distance": pa.array(distance.astype(np.int32)),
             "first": index.column("first").take(pa.array(found)), "found": index.column("code").take(pa.array(found)),
@@ -242,12 +245,12 @@ def nearest_codes(classes: DataFrame, asks: DataFrame, k: int, *, per_part: int
     cut = asks.sparkSession.createDataFrame([(b, x.segments, x.width) for b, x in layouts.items()], "bits int, segments int, width int")
     nothing = F.array().cast("array<struct<distance: int, first: bigint, found: binary>>")
     state = asks.join(F.broadcast(cut), "bits").select("bits", "segments", "width", F.col("code").alias("ask"), nothing.alias("near"))
-    over, radius = [], 0
+    over, done, radius = [], -1, FIRST_RADIUS
     kth = F.when(F.size("near") >= k, F.element_at("near", F.least(F.lit(k), F.greatest(F.size("near"), F.lit(1))))["distance"])
     while True:
         sent = state.select("bits", "ask", F.coalesce(kth, "bits").alias("bound")).mapInArrow(_sent(layouts, radius), "bits int, segment int, upper long, ask binary, bound int")
         sent = sent.join(salts, key, "left").select(*key, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "ask", "bound")
-        found = index.groupBy(*key, "salt").cogroup(sent.groupBy(*key, "salt")).applyInArrow(_searched(layouts, radius, k), FOUND)
+        found = index.groupBy(*key, "salt").cogroup(sent.groupBy(*key, "salt")).applyInArrow(_searched(layouts, range(done + 1, radius + 1), k), FOUND)
         order = Window.partitionBy("ask").orderBy("distance", "first", "found")
         found = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
         new = found.groupBy("ask").agg(F.collect_list(F.struct("distance", "first", "found")).alias("new"))
@@ -259,7 +262,7 @@ def nearest_codes(classes: DataFrame, asks: DataFrame, k: int, *, per_part: int
         state = state.where("not over").drop("over")
         if state.isEmpty():
             break
-        radius += 1
+        done, radius = radius, radius + 1
     out = over[0]
     for more in over[1:]:
         out = out.unionByName(more)
