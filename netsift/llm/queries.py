@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netsift.llm import oracles
 from netsift.llm.chat_format import CLOSE, OPEN, format_conversations, read_back
 from netsift.llm.common import shared_folder
 from netsift.llm.decontamination import benchmark_matches
@@ -73,4 +74,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_license_scans, op5_chat_formatting, op6_exact_topk_search, op7_suffix_array_dedup, op8_language_id, op9_warc, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {"op4_license_scans": LICENSES_SQL}
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": oracles.NEAR_DUPLICATES, "op4_license_scans": LICENSES_SQL, "op5_chat_formatting": oracles.CHAT, "op6_exact_topk_search": oracles.HAMMING,
+    "op7_suffix_array_dedup": oracles.REPEATS, "op9_warc": oracles.ARCHIVES,
+}

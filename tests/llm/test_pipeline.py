@@ -40,7 +40,8 @@ def test_one_id_with_different_texts(spark):
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     cur = con.execute(queries.ORACLES[name])
     at = [[d[0] for d in cur.description].index(c) for c in got.columns]
