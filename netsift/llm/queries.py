@@ -12,7 +12,9 @@ from netsift.llm import oracles
 from netsift.llm.chat_format import CLOSE, OPEN, format_conversations, read_back
 from netsift.llm.common import shared_folder
 from netsift.llm.decontamination import benchmark_matches
+from netsift.llm.fill_middle import fill_in_middle, restored
 from netsift.llm.hamming_search import nearest
+from netsift.llm.importance import resample
 from netsift.llm.jaccard_join import near_duplicate_components
 from netsift.llm.language_id import identify_languages
 from netsift.llm.licenses import ORACLE as LICENSES_SQL
@@ -73,8 +75,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_license_scans, op5_chat_formatting, op6_exact_topk_search, op7_suffix_array_dedup, op8_language_id, op9_warc, op10_best_fit_packing)}
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda x: F.sha2(x, 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_license_scans, op5_chat_formatting, op6_exact_topk_search, op7_suffix_array_dedup, op8_language_id, op9_warc, op10_best_fit_packing, op12_importance_resampling, op13_fill_in_middle)}
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": oracles.NEAR_DUPLICATES, "op4_license_scans": LICENSES_SQL, "op5_chat_formatting": oracles.CHAT, "op6_exact_topk_search": oracles.HAMMING,
-    "op7_suffix_array_dedup": oracles.REPEATS, "op9_warc": oracles.ARCHIVES,
+    "op7_suffix_array_dedup": oracles.REPEATS, "op9_warc": oracles.ARCHIVES, "op12_importance_resampling": oracles.RESAMPLED, "op13_fill_in_middle": oracles.MIDDLES,
 }
