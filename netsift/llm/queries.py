@@ -20,6 +20,7 @@ from netsift.llm.language_id import identify_languages
 from netsift.llm.licenses import ORACLE as LICENSES_SQL
 from netsift.llm.licenses import scan_licenses
 from netsift.llm.packing import pack_documents
+from netsift.llm.personal_data import digests, personal_data
 from netsift.llm.suffix_dedup import remove_repeats
 from netsift.llm.token_counts import count_tokens
 from netsift.llm.warc import read_archives, write_archives
@@ -75,6 +76,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
@@ -85,7 +90,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_license_scans, op5_chat_formatting, op6_exact_topk_search, op7_suffix_array_dedup, op8_language_id, op9_warc, op10_best_fit_packing, op12_importance_resampling, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_license_scans, op5_chat_formatting, op6_exact_topk_search, op7_suffix_array_dedup, op8_language_id, op9_warc, op10_best_fit_packing, op11_personal_data, op12_importance_resampling, op13_fill_in_middle)}
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": oracles.NEAR_DUPLICATES, "op4_license_scans": LICENSES_SQL, "op5_chat_formatting": oracles.CHAT, "op6_exact_topk_search": oracles.HAMMING,
     "op7_suffix_array_dedup": oracles.REPEATS, "op9_warc": oracles.ARCHIVES, "op12_importance_resampling": oracles.RESAMPLED, "op13_fill_in_middle": oracles.MIDDLES,
