@@ -8,6 +8,9 @@ pieces standing there could reach it: only merges of lower rank come before its
 lower, none can take away one of its two symbols. So an unbroken text of a million characters takes few rounds, and a
 round touches only places that can still merge. What survives are the tokens; a symbol without a piece counts its UTF-8 bytes.
 
+Pieces of one repeated symbol that all have the last rank (here those of blanks) merge strictly from the left, one after the other: long
+after the begin of a run each piece takes as many symbols as the one before, so all but a bounded part of a long run is counted by division.
+
 Ranks come from the model file through its library; no text goes through the library's encoder. The model's
 conventions hold: a blank before the text, blanks written as U+2581, nothing trimmed or normalised, strings of
 control pieces inside a text are plain text. A very long text is counted group by group of units; one unbroken unit needs
@@ -29,8 +32,8 @@ from netsift.llm.common import runs, text_groups
 
 LIMIT = 4096
 BLANK = "\u2581"
-#: Distinct units whose counts a Python worker remembers; units that are merged in one array, by characters.
-UNIT_CACHE, ARRAY_CHARS = 400_000, 1_000_000
+#: Distinct units whose counts a Python worker remembers, and their characters; units that are merged in one array, by characters.
+UNIT_CACHE, CACHE_CHARS, ARRAY_CHARS = 400_000, 16_000_000, 1_000_000
 PIECE_BITS = 22
 NONE = np.iinfo(np.int32).max
 ODD = re.compile(r"\n|[ \u2581]+[^ \u2581\n]*|[^ \u2581\n]+")
@@ -96,6 +99,42 @@ class Pieces:
             points = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32).reshape(len(some), size)
             self.maybe[self._spot(next(x for n, x in self._grams(points.ravel()) if n == size)[::size])] = True
 
+        self.periods = self._periods()
+
+    def _periods(self) -> list[tuple[re.Pattern, int, int]]:
+        """For each symbol whose pieces merge from the left only: a pattern of its long runs, how much of a run is to be
+        merged in any case, and how many symbols each further token takes."""
+        names, only = list(self.symbol), {}
+        for made, rank in zip(self.made.tolist(), self.rank.tolist(), strict=True):
+            if len(set(names[made])) == 1:
+                only.setdefault(names[made][0], []).append((rank, len(names[made])))
+        out, last, self.periods = [], int(self.rank.max()), []
+        for sign, found in only.items():
+            most = max(n for _, n in found)
+            if any(rank < last for rank, _ in found) or most < 3:
+                continue
+            # every piece has the same rank, so a run is the same from some place on whatever stands before or after it
+            counts = merge_counts([sign * n for n in range(2 * most, 5 * most + 1)], self)
+            for step in range(1, most + 1):
+                if (counts[step:] - counts[:-step] == 1).all():
+                    out.append((re.compile(f"{re.escape(sign)}{{{5 * most},}}"), 4 * most, step))
+                    break
+        return out
+
+    def shortened(self, unit: str) -> tuple[str, int]:
+        """A unit whose long runs are cut to what must be merged, and the tokens that this leaves out."""
+        less = 0
+        for runs_of, keep, step in self.periods:
+
+            def cut(run: re.Match, keep: int = keep, step: int = step) -> str:
+                nonlocal less
+                out = (len(run[0]) - keep) // step
+                less += out
+                return run[0][: len(run[0]) - out * step]
+
+            unit = runs_of.sub(cut, unit)
+        return unit, less
+
     def _grams(self, points: np.ndarray):
         """For each length from 2 the hashes of the strings of that length."""
         value = points.astype(np.uint64)
@@ -132,6 +171,9 @@ class Pieces:
 
 def merge_counts(units: list[str], pieces: Pieces) -> np.ndarray:
     """How many tokens each unit has."""
+    less = np.zeros(len(units), np.int64)
+    if pieces.periods:
+        units, less = zip(*map(pieces.shortened, units), strict=True)
     points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, units), np.int64, len(units))
     unit = np.repeat(np.arange(len(units), dtype=np.int32), size)
@@ -140,7 +182,7 @@ def merge_counts(units: list[str], pieces: Pieces) -> np.ndarray:
     cost = np.where(known < 0, width, np.where(pieces.bytes[known] > 0, pieces.bytes[known], 1))
     alive, merged = _merged(points, known, unit, pieces)
     cost[merged] = 1
-    return np.bincount(unit[alive], cost[alive], len(units)).astype(np.int64)
+    return np.bincount(unit[alive], cost[alive], len(units)).astype(np.int64) + np.array(less, np.int64)
 
 
 def _merged(points: np.ndarray, known: np.ndarray, unit: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +264,7 @@ class Counter:
     """
 
     def __init__(self, pieces: Pieces) -> None:
-        self.pieces, self.known = pieces, {}
+        self.pieces, self.known, self.chars = pieces, {}, 0
 
     def count(self, texts: list[str]) -> np.ndarray:
         plain = [i for i, t in enumerate(texts) if "\0" not in t and self.pieces.newline_is_alone]
@@ -232,9 +274,11 @@ class Counter:
             out[odd] = merge_counts([BLANK + texts[i].replace(" ", BLANK) for i in odd], self.pieces)
         units = [_units(texts[i]) for i in plain]
         fresh = list({u for part in units for u in part}.difference(self.known))
-        if len(self.known) + len(fresh) > UNIT_CACHE:
+        if len(self.known) + len(fresh) > UNIT_CACHE or self.chars > CACHE_CHARS:
             self.known.clear()
+            self.chars = 0
             fresh = list({u for part in units for u in part})
+        self.chars += sum(map(len, fresh))
         at = 0
         while at < len(fresh):
             stop, size = at, 0

@@ -1,6 +1,7 @@
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from netsift.llm import queries
 
@@ -37,10 +38,26 @@ def test_one_id_with_different_texts(spark):
     assert sorted((r.doc_id, r.text) for r in left.collect() if not r.text) == [(6, None), (6, None), (7, ""), (7, "")]
 
 
+EXTRA = ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "found", "carried", "row", "count", "component_id", "id", "first", "n_shingles", "lang_pred", "score", "item_id", "sequence_id", "piece", "_row_of_id_and_text", "_Row_Of_Id_And_Text_")
+
+
+def test_extra_columns_named_like_those_of_stages_pass_through(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    more = docs.withColumns({name: F.concat(F.lit(f"{name}:"), "doc_id") for name in EXTRA})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, SF)
+        assert out.columns == more.columns, name
+        plain = stage(spark, docs, SF)
+        rows = sorted(map(str, out.select(*docs.columns, *[f"`{c}`" for c in EXTRA]).collect()))
+        assert rows == sorted(map(str, plain.withColumns({c: F.concat(F.lit(f"{c}:"), "doc_id") for c in EXTRA}).collect())), name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, more, SF).count() == last(spark, docs, SF).count()
+
+
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations", "embeddings", "pages"):
+    for table in ("documents", "conversations", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     cur = con.execute(queries.ORACLES[name])
