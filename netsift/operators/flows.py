@@ -7,26 +7,30 @@ from pyspark.sql import functions as F
 
 from netsift.operators.numbering import SPAN, numbered
 from netsift.operators.traffic import canonical_key, endpoints, flag, with_ports
+from netsift.sources.folders import checkpointed
 
 FLAGS = {"S": "syn_count", "A": "ack_count", "F": "fin_count", "R": "rst_count", "P": "psh_count"}
 
 
-def build_flows(packets: DataFrame, *, span: int = SPAN) -> DataFrame:
-    """One partial and one final hash aggregate, as all its buffers have a fixed width; a flow's direction is that of its first packet in capture order.
-
-    Counts are kept for the lower endpoint as the sender and turned to forward and backward afterwards. Endpoints
-    that are equal make every packet a forward one. Durations are exact microseconds. Flows are numbered by their first
-    packet, in buckets of `span` packets.
-    """
+def aggregated(packets: DataFrame) -> DataFrame:
+    """One partial and one final hash aggregate, as all its buffers have a fixed width; counts are kept for the lower endpoint as the sender."""
     a, _ = endpoints()
     keyed = canonical_key(with_ports(packets)).withColumn("from_low", a == F.col("low"))
     label = F.when(F.col("protocol") == "TCP", 0).when(F.col("protocol") == "UDP", 1).otherwise(2)
     size = F.col("packet_length")
-    grouped = keyed.groupBy("case_id", "low", "high", "protocol_number").agg(
+    return keyed.groupBy("case_id", "low", "high", "protocol_number").agg(
         F.min_by("from_low", "packet_number").alias("first_low"), F.min_by(label, "packet_number").alias("label"), F.min("packet_number").alias("first_packet"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"),
         F.count("*").alias("total_packets"), F.sum(size).alias("total_bytes"), F.count_if("from_low").alias("low_packets"), F.sum(F.when(F.col("from_low"), size).otherwise(0)).alias("low_bytes"),
         F.avg(size).alias("packet_length_mean"), F.min(size).alias("packet_length_min"), F.max(size).alias("packet_length_max"), *[F.sum(flag(k)).alias(v) for k, v in FLAGS.items()],
     )
+
+
+def build_flows(packets: DataFrame, *, span: int = SPAN) -> DataFrame:
+    """Flows, directed as their first packet in capture order is. Endpoints that are equal make every packet a forward one; durations are exact
+    microseconds. Packets are read once: their aggregate, a row for each flow, is kept in the shared folder, and flows are numbered
+    from it by their first packet, in buckets of `span` packets.
+    """
+    grouped = checkpointed(aggregated(packets))
     forward = lambda x: F.when(F.col("first_low"), F.col(f"low_{x}")).otherwise(F.col(f"total_{x}") - F.col(f"low_{x}"))
     source = lambda x: F.when(F.col("first_low"), F.col(f"low.{x}")).otherwise(F.col(f"high.{x}")).alias(f"source_{x}")
     destination = lambda x: F.when(F.col("first_low"), F.col(f"high.{x}")).otherwise(F.col(f"low.{x}")).alias(f"destination_{x}")
