@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from netsift.operators.scoring import clean_name, once
 from netsift.schema import PACKETS, REVIEWS
+from netsift.sources.ranges import HEAD, RANGE_BYTES, RECORD, SECTION, Records, opened, ranges_of, reachable, stream_blocks
 
 
 def read_packets(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
@@ -87,8 +89,8 @@ def write_features(features: DataFrame, path: str) -> None:
     features.write.mode("overwrite").option("header", True).partitionBy("case_id").csv(path)
 
 
-#: Frames of a capture file that go on in one batch.
-FRAMES_AT_ONCE = 10_000
+#: Frames of a capture file that go on in one batch, and their bytes.
+FRAMES_AT_ONCE, BYTES_AT_ONCE = 10_000, 16 << 20
 
 
 FRAMES = "path string, packet_number long, us long, packet_length long, link int, frame binary"
@@ -99,29 +101,13 @@ def _frame_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FRAMES.split(", ")])
 
 
-def _classic(data: bytes, order: str) -> Iterator[tuple[int, int, bytes]]:
-    """Microseconds, link type and bytes of the frames of a classic capture file; a cut last record is left out."""
-    magic, link = struct.unpack_from(f"{order}I16xI", data.ljust(24, b"\0"))
-    unit, at = 1000 if magic == 0xA1B23C4D else 1, 24
-    while at + 16 <= len(data):
-        seconds, part, kept, _ = struct.unpack_from(f"{order}IIII", data, at)
-        if at + 16 + kept > len(data):
-            return
-        yield seconds * 1_000_000 + part // unit, link & 0xFFFF, data[at + 16 : at + 16 + kept]
-        at += 16 + kept
-
-
-def _blocks(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """The same of a pcapng file: enhanced and simple packet blocks of all its sections."""
-    at, order, interfaces = 0, "<", []
-    while at + 12 <= len(data):
-        if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
-            order, interfaces = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">", []
-        kind, size = struct.unpack_from(f"{order}II", data, at)
-        if size < 12 or at + size > len(data):
-            return
-        body = data[at + 8 : at + size - 4]
-        if kind == 1:
+def _numbered_blocks(blocks: Iterator[tuple[int, str, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+    """Microseconds, link type and bytes of the frames of a file in sections: enhanced and simple packet blocks."""
+    interfaces: list[tuple[int, int]] = []
+    for kind, order, body in blocks:
+        if kind == 0:
+            interfaces = []
+        elif kind == 1:
             interfaces.append((struct.unpack_from(f"{order}H", body)[0], _ticks(body[8:], order)))
         elif kind == 6:
             of, high, low, kept = struct.unpack_from(f"{order}IIII", body)
@@ -129,7 +115,6 @@ def _blocks(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             yield (high << 32 | low) * 1_000_000 // second, link, body[20 : 20 + kept]
         elif kind == 3:  # it has no time
             yield 0, interfaces[0][0], body[4 : 4 + struct.unpack_from(f"{order}I", body)[0]]
-        at += size
 
 
 def _ticks(options: bytes, order: str) -> int:
@@ -146,32 +131,48 @@ def _ticks(options: bytes, order: str) -> int:
     return 1_000_000
 
 
+def _of_range(file, r: dict) -> Iterator[tuple[int, int, bytes]]:
+    """The same of a range of records, or of a whole file in sections."""
+    records = Records(file, r["length"])
+    if records.section and not r.get("nth"):
+        yield from _numbered_blocks(stream_blocks(file, r["length"]))
+    for at, seconds, part, kept in records.follow(r["start"], r["stop"]) if records.order else ():
+        yield seconds * 1_000_000 + part // records.unit, records.link, records.bytes(at, RECORD + kept)[RECORD:]
+
+
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            magic = data[:4]
-            if magic == b"\x0a\x0d\x0d\x0a":
-                frames = _blocks(data)
-            elif magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1"):
-                frames = _classic(data, "<")
-            elif magic in (b"\xa1\xb2\xc3\xd4", b"\xa1\xb2\x3c\x4d"):
-                frames = _classic(data, ">")
-            else:
-                raise ValueError(f"{path} is no capture file")
-            rows = []
-            for number, (us, link, frame) in enumerate(frames, 1):
-                rows.append((path, number, us, len(frame), link, frame))
-                if len(rows) == FRAMES_AT_ONCE:
+        for r in batch.to_pylist():
+            whole = r.get("content")
+            with opened(r["path"]) if whole is None else io.BytesIO(whole) as file:
+                if whole is not None:
+                    r |= {"length": len(whole), "start": HEAD, "stop": len(whole), "first": 0}
+                    if not Records(file, len(whole)).order and whole[:4] != SECTION:
+                        raise ValueError(f"{r['path']} is no capture file")
+                rows, size = [], 0
+                for number, (us, link, frame) in enumerate(_of_range(file, r), r["first"] + 1):
+                    rows.append((r["path"], number, us, len(frame), link, frame))
+                    size += len(frame)
+                    if len(rows) == FRAMES_AT_ONCE or size > BYTES_AT_ONCE:
+                        yield _frame_rows(rows)
+                        rows, size = [], 0
+                if rows:
                     yield _frame_rows(rows)
-                    rows = []
-            if rows:
-                yield _frame_rows(rows)
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of .pcap and .pcapng files, one task per file; a file is at most what binaryFile reads, 2 GB."""
+def read_captures(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Frames of .pcap and .pcapng files of any size. Ranges of a .pcap file are read by tasks of their own, see `ranges`.
+
+    Files in a store that only Spark reads come whole, one task and at most 2 GB each.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][cC][aA][pP]*").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.lower("path").rlike(r"\.(pcap|pcapng)$")).select("path", "content").mapInArrow(_frames, FRAMES)
+    files = files.where(F.lower("path").rlike(r"\.(pcap|pcapng)$"))
+    one = files.select("path").first()
+    if one is None or not reachable(one["path"]):
+        return files.select("path", "content").mapInArrow(_frames, FRAMES)
+    found = ranges_of(files.select("path", "length"), range_bytes)
+    parts = max(1, min(found.count(), 64 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return found.repartition(parts, "path", "nth").mapInArrow(_frames, FRAMES)
 
 
 def _int(frame: str, at: Column | int, n: int) -> Column:
