@@ -46,6 +46,8 @@ LENGTH, GRAM = 200, 64
 SEGMENT = 400_000
 #: A trigger with more different phrases in a map task's flush, or in its part, is hot.
 HOT_IN_FLUSH, HOT_IN_PART = 500, 20_000
+#: Bytes of phrases that one suffix array orders, whole triggers each.
+ARRAY_BYTES = 1_000_000
 POSITION_BITS = np.uint64(20)
 PARSE = "part int, payload binary"
 PLACES = "row long, kind int, lo long, n int, trigger long"
@@ -285,7 +287,7 @@ def _by_trigger(opened: list[tuple[bytes, int, int, int, int]], parts: int) -> I
     order = np.argsort(part, kind="stable")
     for s, n in zip(*runs(part[order]), strict=True):
         mine = [opened[i] for i in order[s : s + n]]
-        numbers = [np.array([x[k] for x in mine], kind) for k, kind in ((1, np.int64), (2, np.uint32), (3, np.uint16))]
+        numbers = [np.array([x[k] for x in mine], kind) for k, kind in ((1, np.int64), (2, np.uint32), (3, np.uint16), (4, np.int64))]
         yield _block(int(part[order[s]]), *numbers, np.frombuffer(b"".join(x[0] for x in mine), np.uint8))
 
 
@@ -333,6 +335,32 @@ def _fingerprints(cut: list[bytes], rows: list[int], places: list[int], counts:
     return np.repeat(np.array(rows, np.int64), n), position.astype(np.uint32), rolling.of(spans(base, n), length)
 
 
+def _shared(row: np.ndarray, lo: np.ndarray, n: np.ndarray, trigger: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and places of strings that stand in several places of the phrases, by suffix arrays of the phrases of some
+    triggers each: equal strings share their trigger, so one array over all would say the same and take more memory."""
+    n = n.astype(np.int64)
+    size = n + length - 1
+    base = np.cumsum(size) - size
+    order = np.argsort(trigger, kind="stable")
+    first, _ = runs(trigger[order])
+    ends = np.cumsum(size[order])
+    stops = ends[np.append(first[1:], len(order)) - 1]
+    yield row[:0], lo[:0]
+    k = 0
+    while k < len(first):
+        begin = ends[first[k]] - size[order[first[k]]]
+        stop = max(k + 1, int(np.searchsorted(stops, begin + ARRAY_BYTES, side="right")))
+        mine = order[first[k] : first[stop] if stop < len(first) else len(order)]
+        k = stop
+        own = np.cumsum(size[mine]) - size[mine]
+        at, new = suffix_order(data[spans(base[mine], size[mine])], spans(own, n[mine]), length)
+        s = np.flatnonzero(new)
+        many = np.repeat(np.diff(np.append(s, len(at))), np.diff(np.append(s, len(at))))
+        at = np.sort(at[many > 1])
+        phrase = np.searchsorted(own, at, side="right") - 1
+        yield row[mine[phrase]], (lo[mine[phrase]] + (at - own[phrase])).astype(np.uint32)
+
+
 def _equal_suffixes(parts: int, back: int, length: int):
     def apply(key: tuple, table: pa.Table) -> pa.Table:
         kind = key[0].as_py() // parts
@@ -347,16 +375,8 @@ def _equal_suffixes(parts: int, back: int, length: int):
             found = order[np.repeat(np.add.reduceat(times[order], s, dtype=np.int64), n) >= 2]
             row, place = row[found], place[found]
         else:
-            row, lo, n, data = arrays
-            n = n.astype(np.int64)
-            size = n + length - 1
-            base = np.cumsum(size) - size
-            at, new = suffix_order(data, spans(base, n), length)
-            s = np.flatnonzero(new)
-            many = np.repeat(np.diff(np.append(s, len(at))), np.diff(np.append(s, len(at))))
-            at = np.sort(at[many > 1])
-            phrase = np.searchsorted(base, at, side="right") - 1
-            row, place = row[phrase], (lo[phrase] + (at - base[phrase])).astype(np.uint32)
+            found = list(_shared(*arrays, length))
+            row, place = (np.concatenate(x) for x in zip(*found, strict=True))
         part = (row.view(np.uint64) % np.uint64(back)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         row, place, part = row[order], place[order], part[order]
