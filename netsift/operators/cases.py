@@ -44,9 +44,9 @@ def stamp(reviews: DataFrame) -> DataFrame:
 
 
 def upsert(log: DataFrame, sequence: str = "event_id") -> DataFrame:
-    """The newest review of each flow."""
-    order = Window.partitionBy(*FLOW).orderBy(F.desc("review_timestamp"), F.desc(sequence))
-    return log.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    """The newest review of each flow, by partial aggregates: of a flow with many reviews a row for each task is exchanged."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in log.columns])
+    return log.groupBy(*FLOW).agg(F.max_by(whole, F.struct(F.col("review_timestamp"), F.col(sequence))).alias("newest")).select("newest.*")
 
 
 def reviews_of_findings(reviews: DataFrame, findings: DataFrame) -> DataFrame:
@@ -212,3 +212,10 @@ def case_catalog(cases: DataFrame, documents: DataFrame, reviews: DataFrame) ->
     out = cases.join(documents, "case_id", "left").join(review_summary(reviews).select("case_id", "total_reviews"), "case_id", "left")
     out = out.withColumn("status", state).withColumn("total_reviews", F.coalesce("total_reviews", F.lit(0)))
     return out.withColumn("openable", F.col("has_document").isNotNull() & (F.lower("status") == "analyzed")).orderBy(F.desc("case_id"))
+
+
+def sort_positions(rows: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """rows with their position in each case in the order of `sort_rows`, numbered by ranges: no task sorts a whole case."""
+    if key not in SORT_KEYS:
+        raise ValueError(f"sort by one of {', '.join(SORT_KEYS)}")
+    return ranked(rows, "position", F.desc(key) if descending else F.asc(key), F.col("flow_index").asc()).withColumn("position", F.col("position").cast("int"))

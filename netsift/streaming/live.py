@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from netsift.operators.cases import upsert, validate_reviews
-from netsift.operators.traffic import canonical_key, endpoints, with_ports
+from netsift.operators.flows import aggregates, keyed_packets, shaped
 
 
 def live_totals(packets: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -19,16 +19,13 @@ def live_totals(packets: DataFrame, window: str = "5 minutes", late: str = "10 m
 
 
 def live_flows(packets: DataFrame, gap: str = "2 hours", late: str = "1 day") -> DataFrame:
-    """Flows that a gap closes. Capture order is unknown here, so the first packet by time gives the
-    direction, of those at one time the one with the smallest number."""
-    a, _ = endpoints()
-    keyed = canonical_key(with_ports(packets)).withColumn("from_low", a == F.col("low")).withWatermark("timestamp", late)
-    out = keyed.groupBy("case_id", "low", "high", "protocol_number", F.session_window("timestamp", gap).alias("w")).agg(
-        F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("total_packets"), F.sum("packet_length").alias("total_bytes"),
-        F.count_if("from_low").alias("low_packets"), F.min_by("from_low", F.struct("timestamp", "packet_number")).alias("forward_is_low"),
-    )
-    forward = F.when(F.col("forward_is_low"), F.col("low_packets")).otherwise(F.col("total_packets") - F.col("low_packets"))
-    return out.select("case_id", "low", "high", "protocol_number", "start_time", "end_time", "total_packets", "total_bytes", forward.alias("forward_packets"))
+    """Flows that a gap closes, with all columns of `build_flows`; instead of a number, which needs all earlier flows, first_packet.
+
+    The state of an open session is what a batch aggregate holds of a flow, so sessions that a late packet joins are merged,
+    and direction and label are those of the first packet in capture order among the packets of the session.
+    """
+    keyed = keyed_packets(packets).withWatermark("timestamp", late)
+    return shaped(keyed.groupBy("case_id", "low", "high", "protocol_number", F.session_window("timestamp", gap)).agg(*aggregates()), "first_packet")
 
 
 def review_feed(reviews: DataFrame, path: str, checkpoint: str, findings: DataFrame | None = None, every: int = 20) -> StreamingQuery:
