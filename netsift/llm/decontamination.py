@@ -7,6 +7,10 @@ place in a document, and all of them lie on diagonals at most e apart. So q-gram
 overlapping bands of 2 (e + 1) diagonals, and passages that hold enough of a band's are verified, those of neighbouring
 starts at once, by a banded alignment against the text of the band.
 
+A passage that repeats within its item is indexed once and counts as often as it stands there. Where all passages of a
+stretch are known to be held as they are, only candidates that could move the match's begin or end are verified, the outermost
+first, so that text and item that both repeat take time in proportion to the text.
+
 Texts go window by window, and a window with many shared q-grams in smaller ones and by ranges of items, so that
 memory follows neither the length of a text nor how much it repeats. Neighbouring windows overlap by a passage and
 its edits. Long items are held in segments for the same reason.
@@ -63,18 +67,59 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _windows(points: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all strings of that size, put together from those of powers of two."""
+    n, out, have, step = len(points), None, 0, 1
+    value = points.astype(np.uint64) + np.uint64(1)
+    while True:
+        if size & step:
+            out = value if out is None else out[: n - have - step + 1] * np.uint64(pow(int(_STEP), step, 1 << 64)) + value[have : n - step + 1]
+            have += step
+        if have == size:
+            return mix(out)
+        value = value[: n - 2 * step + 1] * np.uint64(pow(int(_STEP), step, 1 << 64)) + value[step : n - step + 1]
+        step *= 2
+
+
+def _distinct(text: str, points: np.ndarray, size: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Stretches of starts (first, one past the last) that together have every different passage, and for how many starts each
+    start counts. Only stretches of repeated passages that are longer than a passage are left out."""
+    n = len(points) - size + 1
+    value = _windows(points, size)
+    order = np.argsort(value, kind="stable")
+    s, length = runs(value[order])
+    named = np.empty(n, np.int64)
+    named[order] = np.repeat(order[s], length)
+    again = np.flatnonzero(named != np.arange(n))
+    if len(again) <= size:
+        return [(0, n)], np.ones(n, np.int64)
+    again = again[[text[i : i + size] == text[k : k + size] for i, k in zip(again.tolist(), named[again].tolist(), strict=True)]]
+    left_out = np.zeros(n, bool)
+    new = np.flatnonzero(np.append(True, np.diff(again) > 1)) if len(again) else again
+    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(again)], strict=True):
+        if b - a > size:
+            left_out[again[a:b]] = True
+    weight = (~left_out).astype(np.int64)
+    np.add.at(weight, named[left_out], 1)
+    kept = np.flatnonzero(~left_out)
+    new = np.flatnonzero(np.append(True, np.diff(kept) > 1))
+    return [(int(kept[a]), int(kept[b - 1]) + 1) for a, b in zip(new.tolist(), [*new[1:].tolist(), len(kept)], strict=True)], weight
+
+
 class Passages:
     """Benchmark items, all of whose passages count, and an index from the hash of a q-gram to where it stands in them."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, length: int = PASSAGE, budget: float = BUDGET) -> None:
         self.q, self.item, self.text, edits, sizes = q, [], [], [], []
+        self.weight: dict[int, np.ndarray] = {}
         for nth, (number, raw) in enumerate(items):
             text = normalised(raw)
             if len(text) >= q:
                 size = min(length, len(text))
-                for begin in range(0, len(text) - size + 1, SEGMENT):
+                stretches, self.weight[nth] = _distinct(text, _points(text), size)
+                for begin, end in ((b, min(b + SEGMENT, last)) for first, last in stretches for b in range(first, last, SEGMENT)):
                     self.item.append((number, nth, begin))
-                    self.text.append(text[begin : begin + SEGMENT + size - 1])
+                    self.text.append(text[begin : end + size - 1])
                     edits.append(max(0, min(int(budget * size), size // q - 1)))
                     sizes.append(size)
         self.points = [_points(t) for t in self.text]
@@ -128,22 +173,29 @@ class Passages:
     def candidates(self, points: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """Item, first and last start of passages, first and last diagonal, where enough q-grams are shared."""
         for at, entry in self.hits(points):
-            yield from self._dense(at, entry)
+            found = self._dense(at, entry)
+            # the outermost of each stretch first
+            starts = [*(i for i, x in enumerate(found) if not i or x[0] != found[i - 1][0]), len(found)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                yield from (found[a], *found[b - 1 : max(a, b - 2) : -1], *found[a + 1 : b - 1])
 
     def _dense(self, at: np.ndarray, entry: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         owner, place = self.owner[entry], self.place[entry]
         band = (at - place + _ZERO) // (self.edits[owner] + 1)
+        # owner, band and place in one number, so that one sort brings them into order
+        least_band, least_owner = int(band.min()) - 1, int(owner.min())
+        low, middle = int(place.max()).bit_length(), int(band.max() - least_band).bit_length()
+        packed = ((owner - least_owner) << middle | (band - least_band)) << low | place
         # a diagonal lies in the band that starts at its own multiple of the width and in the one before
-        key = np.concatenate((owner << 40 | band, owner << 40 | (band - 1)))
-        ordered = np.sort(key)
-        first, n = runs(ordered)
-        good = ordered[first][n >= self.least[ordered[first] >> 40]]
-        if not len(good):
+        packed = np.sort(np.concatenate((packed, packed - (1 << low))))
+        first, n = runs(packed >> low)
+        key = packed[first] >> low
+        owner = (key >> middle) + least_owner
+        good = n >= self.least[owner]
+        if not good.any():
             return []
-        kept = np.isin(key, good)
-        key, place = key[kept], np.concatenate((place, place))[kept]
-        order = np.lexsort((place, key))
-        key, place = key[order], place[order]
+        key = np.repeat((owner << 40 | ((key & ((1 << middle) - 1)) + least_band))[good], n[good])
+        place = packed[np.repeat(good, n)] & ((1 << low) - 1)
         # from each q-gram to the one that makes them enough: the passages that hold both
         owner = key >> 40
         end = np.arange(len(key)) + self.least[owner] - 1
@@ -191,22 +243,28 @@ class Passages:
                 return
             number, nth, base = self.item[item]
             mine = held.setdefault((number, nth), set())
+            old = found.get(number)
+            if old and old[2] == 0 and begin + first + low - most >= old[0] and begin + last + size + high + most <= old[1] and mine.issuperset(range(base + first, base + last + 1)):
+                continue  # it can tell nothing new
             for s in range(first, last + 1, AT_ONCE):
                 t = min(last, s + AT_ONCE - 1)
                 whole = self.text[item][s : t + size]
-                at = text.find(whole, max(0, s + low - most), max(0, s + high + most + len(whole)))
+                where, later = (max(0, s + low - most), max(0, s + high + most + len(whole))), 0
+                at = text.find(whole, *where)
                 if at >= 0:
+                    later = text.rfind(whole, *where) - at
                     edits, ends = np.zeros(t - s + 1, np.int64), at + size + np.arange(t - s + 1)
                 else:
                     edits, ends = window_edits(self.points[item], size, s, t, points, low, high, most)
                 good = np.flatnonzero(edits <= most)
                 if not len(good):
                     continue
-                before = len(mine)
-                mine.update((base + s + good).tolist())
+                fresh = [x for x in (base + s + good).tolist() if x not in mine]
+                mine.update(fresh)
+                many = int(self.weight[nth][fresh].sum()) if fresh else 0
                 k = good[ends[good].argmin()]
                 start = int(ends[k]) - reach_back(self.points[item][s + k : s + k + size], points[: ends[k]], int(edits[k]))
-                span = begin + start, begin + int(ends[good].max()), int(edits[good].min()), len(mine) - before
+                span = begin + start, begin + int(ends[good].max()) + later, int(edits[good].min()), many
                 if (old := found.get(number)) is None:
                     found[number] = list(span)
                 else:
@@ -270,15 +328,14 @@ def aligned(passage: str, text: str, low: int, high: int, most: int) -> tuple[in
 
 def _find(passages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(),) * 4 + (pa.int32(),) * 2
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(doc, item, *span) for item, span in sorted(passages.value.matches(normalised(text)).items())]
-            if rows:
-                kinds = (pa.int64(),) * 4 + (pa.int32(),) * 2
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "start", "stop", "edits", "passages"]
-                )
+            for group in text_groups(batch):
+                rows = []
+                for doc, text in zip(group.column(0).to_pylist(), group.column(1).to_pylist(), strict=True):
+                    rows += [(doc, item, *span) for item, span in sorted(passages.value.matches(normalised(text)).items())]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "start", "stop", "edits", "passages"])
 
     return run
 

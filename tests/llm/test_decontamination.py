@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -76,3 +77,23 @@ def test_rows_that_repeat_and_columns_that_clash(spark):
     clean = D.clean_documents(docs, bench)
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4]
     assert D.clean_documents(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["ab ", "a ", "abc abd abc abe ", "the same sentence over and over again, with a comma "])
+def test_time_follows_the_text_where_both_repeat(unit):
+    item, text = D.normalised(unit * (12_000 // len(unit))), D.normalised(unit * (400_000 // len(unit)))
+    began = time.process_time()
+    got = D.Passages([(1, item)]).matches(text)
+    assert time.process_time() - began < 12  # 3 s where nothing else runs; hours if each repeat met each
+    start, stop, edits, passages = got[1]
+    assert (start, edits, passages) == (0, 0, len(item) - D.PASSAGE + 1) and len(text) - 20 < stop <= len(text)
+
+
+def test_repeated_passages_count_as_often_as_they_stand():
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randrange(1, 7)))
+    one, two = (" ".join(word() for _ in range(60)) for _ in range(2))
+    items = [(1, f"{one} {two} {one}"), (2, "xy " * 150 + two + " xy" * 120), (3, f"{two} {two}")]
+    for text in (one, two, D.normalised(f"zz {one[:150]} q {two[20:190]}"), D.normalised("xy " * 90), D.normalised("xy " * 60 + two[:70])):
+        got = {i: (m[2], m[3]) for i, m in D.Passages(items).matches(text).items()}
+        assert got == _by_force(items, text)
