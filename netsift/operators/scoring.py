@@ -173,9 +173,15 @@ def explanations(top: DataFrame) -> DataFrame:
     return top.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("contributors"))
 
 
-def features_by_flow(explained: DataFrame) -> DataFrame:
+#: Flows whose contributors one row of `features_by_flow` holds at most.
+FLOWS_PER_ROW = 10_000
+
+
+def features_by_flow(explained: DataFrame, per_row: int = FLOWS_PER_ROW) -> DataFrame:
+    """case_id, chunk and the contributors of up to `per_row` flows as a map by flow index; a large case has many chunks."""
     entry = F.struct(F.col("flow_index").cast("string"), F.col("contributors"))
-    return explained.groupBy("case_id").agg(F.map_from_entries(F.collect_list(entry)).alias("top_features_per_flow"))
+    chunk = F.expr(f"flow_index div {per_row}").alias("chunk")
+    return explained.groupBy("case_id", chunk).agg(F.map_from_entries(F.collect_list(entry)).alias("top_features_per_flow"))
 
 
 def additivity(contributed: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -29,12 +31,47 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files under a path, those without a byte too, which Spark's file formats leave out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
+    parts = min(len(found), 64 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.createDataFrame([(unquote(x),) for x in found], "path string").repartition(max(1, parts), "path")
+
+
+#: Bytes of a file that are hashed at once.
+HASHED_AT_ONCE = 4 << 20
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths, sizes, digests = batch.column(0).to_pylist(), [], []
+        for path in paths:
+            size, digest = 0, hashlib.sha256()
+            with opened(path) as file:
+                while data := file.read(HASHED_AT_ONCE):
+                    size += len(data)
+                    digest.update(data)
+            sizes.append(size)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["path", "length", "sha256"])
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and sha256 of every file under a path. Files are hashed as they are read, a few megabytes at once, whatever their size;
+    in a store that only Spark reads they come whole, at most 2 GB each, and those without a byte are left out."""
+    files = listed_files(spark, path)
+    one = files.first()
+    if one is None or reachable(one["path"]):
+        return files.mapInArrow(_digests, "path string, length long, sha256 string")
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return whole.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def evidence_catalog(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
     """Capture files: name, size, upper-case SHA-256, and whether the extension is allowed. by_folder: a file goes by the
     value of the partition folder that it lies in."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split(F.element_at(F.split("path", "/"), -2), "="), -1) if by_folder else F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file_name"), F.col("length").alias("file_size"), F.upper(F.sha2("content", 256)).alias("sha256"), F.lower(name).rlike(r"\.(pcap|pcapng)$").alias("allowed"))
+    return file_digests(spark, path).select(name.alias("file_name"), F.col("length").alias("file_size"), F.upper("sha256").alias("sha256"), F.lower(name).rlike(r"\.(pcap|pcapng)$").alias("allowed"))
 
 
 DOCUMENT = (
@@ -45,12 +82,10 @@ DOCUMENT = (
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Case documents under path/<case>/: the parsed document and whether it could be read. An empty file cannot.
-
-    Spark's file formats leave out files without a byte, so the files come as pairs of name and text.
-    """
-    pairs = spark.sparkContext.wholeTextFiles(f"{path}/*", int(spark.conf.get("spark.sql.shuffle.partitions")))
-    files = spark.createDataFrame(pairs, "path string, value string")
+    """Case documents under path/<case>/: the parsed document and whether it could be read. An empty file cannot."""
+    texts = spark.read.text(f"{path}/*", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    plain = F.regexp_replace("path", "^file:/*", "/")
+    files = listed_files(spark, f"{path}/*").withColumn("path", plain).join(texts.withColumn("path", F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))), "path", "left").withColumn("value", F.coalesce("value", F.lit("")))
     doc = F.from_json("value", DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     out = files.select(F.element_at(F.split("path", "/"), -2).alias("case_id"), doc.alias("doc"), (F.trim("value") != "").alias("filled"))
     readable = F.coalesce(F.col("filled") & F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull(), F.lit(False))

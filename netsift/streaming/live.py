@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from netsift.operators.cases import upsert, validate_reviews
 from netsift.operators.flows import aggregates, keyed_packets, shaped
+from netsift.sources.folders import remove
 
 
 def live_totals(packets: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -32,7 +33,8 @@ def review_feed(reviews: DataFrame, path: str, checkpoint: str, findings: DataFr
     """Keeps the newest good review of each flow as a table; with `findings`, only reviews that refer to one of these.
 
     A batch is written under its number and read with all before it, so that a batch that runs twice counts once. Each
-    `every` batches the table so far is written as one, and readers start from the newest such base.
+    `every` batches a base is written: the whole state of the cases that these batches touched, and of no others. What a base has
+    taken in goes with the next one, and so does a base of which no case is left.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -41,25 +43,51 @@ def review_feed(reviews: DataFrame, path: str, checkpoint: str, findings: DataFr
             good = good.join(findings.select("case_id", "flow_index").distinct(), ["case_id", "flow_index"], "left_semi")
         good.write.mode("overwrite").parquet(f"{path}/batch={number}")
         if number % every == every - 1:
-            fed_reviews(batch.sparkSession, path, upto=number).write.mode("overwrite").parquet(f"{path}/_bases/base={number}")
+            write_base(batch.sparkSession, path, number, every)
 
     return reviews.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def fed_reviews(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    """The table that a review feed has left: its newest base (before `upto`) and the batches since, newest review per flow."""
-    log, newest = spark.read.parquet(path), None
-    if upto is not None:
-        log = log.where(F.col("batch") <= upto)
+def _bases(spark: SparkSession, path: str, upto: int | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """All rows of bases (before `upto`), and for each case its newest base; None if there is no base."""
     try:
         bases = spark.read.parquet(f"{path}/_bases")
-        newest = (bases if upto is None else bases.where(F.col("base") < upto)).agg(F.max("base")).first()[0]
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    if newest is None:
+        return None
+    bases = bases if upto is None else bases.where(F.col("base") < upto)
+    return bases, bases.groupBy("case_id").agg(F.max("base").alias("base"))
+
+
+def write_base(spark: SparkSession, path: str, number: int, every: int) -> None:
+    """The state of the cases touched since the base before `number`, as base `number`; then what nothing needs any more is removed."""
+    before = _bases(spark, path, upto=number)
+    taken = -1 if before is None else before[0].agg(F.max("base")).first()[0]
+    taken = -1 if taken is None else taken
+    fresh = spark.read.parquet(path).where((F.col("batch") > taken) & (F.col("batch") <= number)).drop("batch")
+    if before is not None:
+        touched = fresh.select("case_id").distinct()
+        fresh = fresh.unionByName(before[0].join(before[1].join(touched, "case_id", "left_semi"), ["case_id", "base"], "left_semi").drop("base"))
+    current_reviews(fresh).write.mode("overwrite").parquet(f"{path}/_bases/base={number}")
+    for old in range(max(0, taken - every + 1), taken + 1):
+        remove(spark, f"{path}/batch={old}")
+    rows, newest = _bases(spark, path)
+    wanted = {r[0] for r in newest.select("base").distinct().collect()} | {number}
+    for (old,) in rows.select("base").distinct().collect():
+        if old not in wanted:
+            remove(spark, f"{path}/_bases/base={old}")
+
+
+def fed_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """The table that a review feed has left: each case from its newest base, and the batches since the newest of all, newest review per flow."""
+    log, found = spark.read.parquet(path), _bases(spark, path)
+    if found is None:
         return current_reviews(log.drop("batch"))
-    return current_reviews(bases.where(F.col("base") == newest).drop("base").unionByName(log.where(F.col("batch") > newest).drop("batch")))
+    bases, newest = found
+    last = bases.agg(F.max("base")).first()[0]
+    held = bases.join(newest, ["case_id", "base"], "left_semi").drop("base")
+    return current_reviews(held.unionByName(log.where(F.col("batch") > last).drop("batch")))
 
 
 def current_reviews(log: DataFrame) -> DataFrame:

@@ -134,3 +134,39 @@ def test_against_sql(spark, name):
     at = [[d[0] for d in cur.description].index(c) for c in got.columns]
     assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(tuple(r[i] for i in at)) for r in cur.fetchall())
     assert not set(files.QUERIES) & set(queries.QUERIES)
+
+
+def test_bases_hold_only_touched_cases_and_old_batches_go(spark, tmp_path):
+    log = "case_id string, flow_index long, decision string, notes string, review_timestamp timestamp, event_id long"
+    out, want = str(tmp_path / "out"), []
+    for k in range(9):
+        rows = [(f"FX-2024010{1 + (k // 2) % 3}-000000", f, ("Confirmed", "Rejected")[(k + f) % 2], f"{k}", None, 10 * k + f) for f in range(3)]
+        want += rows
+        spark.createDataFrame(rows, log).withColumn("review_timestamp", F.timestamp_seconds(F.col("event_id"))).coalesce(1).write.parquet(str(tmp_path / "log" / str(k)))
+        live.review_feed(spark.readStream.schema(log).option("recursiveFileLookup", "true").parquet(str(tmp_path / "log")), out, str(tmp_path / "cp"), every=2).awaitTermination()
+        newest = {(r[0], r[1]): r[5] for r in sorted(want, key=lambda r: r[5])}
+        assert {(r.case_id, r.flow_index): r.event_id for r in live.fed_reviews(spark, out).collect()} == newest
+    bases = {r.base: r.n for r in spark.read.parquet(f"{out}/_bases").groupBy("base").agg(F.count_distinct("case_id").alias("n")).collect()}
+    assert bases == {3: 1, 5: 1, 7: 1}  # base 1 held a case that base 7 has again
+    assert sorted(x for x in os.listdir(out) if x.startswith("batch=")) == ["batch=6", "batch=7", "batch=8"]
+
+
+def test_evidence_is_hashed_as_it_is_read(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from netsift.sources import captures
+
+    big = os.urandom(9_000_001)
+    (tmp_path / "a b+c.pcap").write_bytes(big)
+    (tmp_path / "empty.PCAPNG").write_bytes(b"")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "x.txt").write_bytes(b"x")
+    got = {r.file_name: (r.file_size, r.sha256, r.allowed) for r in captures.evidence_catalog(spark, str(tmp_path)).collect()}
+    digest = lambda x: hashlib.sha256(x).hexdigest().upper()
+    assert got == {"a b+c.pcap": (len(big), digest(big), True), "empty.PCAPNG": (0, digest(b""), True), "x.txt": (1, digest(b"x"), False)}
+
+
+def test_contributors_of_a_case_come_in_chunks(spark):
+    rows = spark.range(25).select(F.lit("a").alias("case_id"), F.col("id").alias("flow_index"), F.array(F.struct(F.lit("f").alias("feature"))).alias("contributors"))
+    got = scoring.features_by_flow(rows, per_row=10).collect()
+    assert sorted((r.chunk, len(r.top_features_per_flow)) for r in got) == [(0, 10), (1, 10), (2, 5)]
