@@ -13,7 +13,7 @@ from netsift.operators.features import flow_features
 from netsift.schema import CLASSES, COLUMNS, RECOMMENDATIONS, STAND_IN, bias, snake, weight
 from netsift.sources import captures
 from netsift.sources.fixtures import DUCKDB, PACKETS_SQL, REVIEWS_SQL, fill, packets, review_log
-from netsift.sources.folders import new_folder
+from netsift.sources.folders import checkpointed, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,7 +51,7 @@ def _triage(spark, d):
 
 
 def _case_reports(spark, d):
-    scored = _scored(spark, d)
+    scored = checkpointed(_scored(spark, d))  # used by the summary, the rows and the reviews
     return cases.case_report(scoring.case_summary(scored), cases.report_rows(scored, _newest(spark, d)), cases.reviews_of_findings(_newest(spark, d), scored))
 
 
@@ -364,7 +364,8 @@ def stand_in_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def _features(spark, d):
-    return flow_features(packets(spark, d), active_us=HOURS, subflow_us=HOURS, bulk_us=HOURS, bulk_least=3)
+    """Features kept once: the scaler is fitted to them before they are scored."""
+    return checkpointed(flow_features(packets(spark, d), active_us=HOURS, subflow_us=HOURS, bulk_us=HOURS, bulk_least=3))
 
 
 def _scored_features(spark, d):
