@@ -12,10 +12,11 @@ checked and decoded where it is read. Continuation records are grouped by the id
 their origin, ordered by segment number, and streamed through one task per group in order; the length must equal
 WARC-Segment-Total-Length, the numbers must have no gap, and the chunked framing is decoded along the way.
 
-Archives of others are read as well. Where a record states no payload digest, or one of another algorithm, none is compared;
+Archives of others are read as well, gzipped (a member for the file or for each record) or not. Where a record states no payload digest, or one of another algorithm, none is compared;
 a revisit without a digest has a null one, and one without our fields null bytes, page_id and refers_to. A response that is no
-HTTP message is its own payload. Records of other kinds are passed over. A file that is no WARC archive, a record
-without Content-Length, segments with a gap and a payload that isn't whole or has another SHA-1 than stated are errors.
+HTTP message is its own payload. Records of other kinds are passed over. A record whose segment number is no number from 1 on, or that has
+segments and no id to find them by, counts as one in one piece. A file that is no WARC archive, a record
+without Content-Length, segments with a gap and a payload that isn't whole or has another SHA-1 than stated are errors, which name the file or the record.
 
 Null html counts as empty, an empty payload has the digest of nothing. Pages with equal ids and payloads are records
 of their own, responses all if the id is the largest. Pages with a null id are written and come back with a null id;
@@ -129,13 +130,21 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
 
 
 class _Stream:
-    """Bytes of a gzipped archive, as far as they are asked for."""
+    """Bytes of an archive, gzipped or not, as far as they are asked for."""
 
     def __init__(self, data: bytes) -> None:
+        self.plain = not data.startswith(b"\x1f\x8b")
         self.data, self.at, self.gone, self.out, self.open = data, 0, 0, bytearray(), zlib.decompressobj(31)
 
     def fill(self, n: int) -> bool:
         while len(self.out) < n:
+            if self.plain:
+                step = self.data[self.at : self.at + max(n - len(self.out), 1 << 18)]
+                self.at += len(step)
+                self.out += step
+                if not step:
+                    return False
+                continue
             if self.open.eof:
                 rest = self.open.unused_data or self.data[self.at :]
                 if not rest.strip(b"\0"):
@@ -170,7 +179,7 @@ class _Stream:
 
 
 def archive_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers, by lower-case names, and block of each record of a gzipped archive."""
+    """Headers, by lower-case names, and block of each record of an archive."""
     stream = _Stream(data)
     while (head := stream.until(LINE + LINE)) is not None:
         lines = head.decode("utf-8", "replace").split("\r\n")
@@ -189,22 +198,30 @@ _NAMES = [x.split()[0] for x in RAW.split(", ")]
 _KINDS = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
 
 
+def _named(path: str, data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    try:
+        yield from archive_records(data)
+    except (ValueError, zlib.error) as error:
+        raise ValueError(f"{path}: {error}") from error
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = lambda x: int(x) if x and x.lstrip("-").isdigit() else None
     for batch in batches:
-        for data in batch.column(0):
+        for path, data in zip(batch.column(0), batch.column(1), strict=True):
             out, size = [], 0
-            for fields, block in archive_records(data.as_py()):
+            for fields, block in _named(path.as_py(), data.as_py()):
                 kind = fields.get("warc-type")
                 if kind not in ("response", "revisit", "continuation"):
                     continue
                 told = number(fields.get("x-page-id")), kind, fields.get("warc-payload-digest"), number(fields.get("x-refers-to-page-id")), fields.get("content-type", "application/http").startswith("application/http")
                 name = fields.get("warc-segment-origin-id") or fields.get("warc-record-id", "")
-                if "warc-segment-number" not in fields:
+                nth = number(fields.get("warc-segment-number"))
+                if not name or nth is None or not 0 < nth < 1 << 31:
                     page, size_of, found, kind, refers = _Origin.whole(name, told, block)
                     out.append((name, 0, page, kind, found, refers, None, size_of, None))
                     continue
-                out.append((name, int(fields["warc-segment-number"]), *told, number(fields.get("warc-segment-total-length")), block))
+                out.append((name, nth, *told, number(fields.get("warc-segment-total-length")), block))
                 size += len(block)
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=_NAMES)
@@ -332,7 +349,7 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record in a folder of archives."""
-    files = spark.read.format("binaryFile").load(folder).select("content")
+    files = spark.read.format("binaryFile").load(folder).select("path", "content")
     segments = files.mapInArrow(_segments, RAW)
     dealt = segments.repartition(shuffle_parts(spark), "origin").sortWithinPartitions("origin", "number")
     return dealt.mapInArrow(_assembled, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

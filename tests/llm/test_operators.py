@@ -567,3 +567,22 @@ def test_conversation_of_control_strings_and_long_texts(spark):
         learned = "".join(x[3] for x in mine if x[2] == "assistant")
         assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(mine), len(learned), hashlib.sha256(learned.encode()).hexdigest())
         assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in mine).encode()).hexdigest()
+
+
+def test_archives_that_are_not_gzipped_and_odd_segments(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    sha = lambda data: base64.b32encode(hashlib.sha1(data).digest()).decode()
+    records = [
+        _foreign("response", http + b"plain", WARC_Record_ID="<a>"), _foreign("response", http + b"odd", WARC_Record_ID="<b>", WARC_Segment_Number="x"), _foreign("response", http + b"zero", WARC_Record_ID="<c>", WARC_Segment_Number="0"),
+        _foreign("response", http + b"nameless", WARC_Segment_Number="1"), _foreign("response", http + b"first", WARC_Record_ID="<d>", WARC_Segment_Number="1"),
+        _foreign("continuation", b" and second", WARC_Record_ID="<e>", WARC_Segment_Origin_ID="<d>", WARC_Segment_Number="2", WARC_Segment_Total_Length=str(len(http) + 16)), _foreign("response", http + b"z" * 600_000, WARC_Record_ID="<g>"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    got = sorted(r.payload_digest for r in warc.read_archives(spark, str(tmp_path)).collect())
+    assert got == sorted(map(sha, (b"plain", b"odd", b"zero", b"nameless", b"first and second", b"z" * 600_000)))
+    (tmp_path / "bad").mkdir()
+    for bad in (b"no archive at all" * 9, b"\x1f\x8bnot really gzip", b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nshort"):
+        (tmp_path / "bad" / "named.warc").write_bytes(bad)
+        with pytest.raises(Exception, match="named.warc"):
+            warc.read_archives(spark, str(tmp_path / "bad")).collect()
