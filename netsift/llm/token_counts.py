@@ -171,10 +171,11 @@ class Pieces:
 
 def merge_counts(units: list[str], pieces: Pieces) -> np.ndarray:
     """How many tokens each unit has."""
-    less = np.zeros(len(units), np.int64)
-    if pieces.periods:
+    less, whole = np.zeros(len(units), np.int64), "".join(units)
+    if any(p.search(whole) for p, _, _ in pieces.periods):
         units, less = zip(*map(pieces.shortened, units), strict=True)
-    points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        whole = "".join(units)
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, units), np.int64, len(units))
     unit = np.repeat(np.arange(len(units), dtype=np.int32), size)
     known = np.where(points < len(pieces.char), pieces.char[np.minimum(points, len(pieces.char) - 1)], -1)
@@ -200,7 +201,7 @@ def _merged(points: np.ndarray, known: np.ndarray, unit: np.ndarray, pieces: Pie
     after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     after[n], before[0] = n, n
     rank, made = np.full(n + 1, NONE, np.int32), np.zeros(n + 1, np.int32)
-    alive, merged = np.ones(n, bool), np.zeros(n, bool)
+    alive, merged, touched = np.ones(n, bool), np.zeros(n, bool), np.zeros(n + 1, bool)
     fresh = np.flatnonzero(~cut[1:]).astype(np.int32)
     while len(fresh):
         pair = pieces.pair(symbol[fresh], symbol[after[fresh]])
@@ -241,8 +242,9 @@ def _merged(points: np.ndarray, known: np.ndarray, unit: np.ndarray, pieces: Pie
         before[after[gone]] = at
         before[n] = n
         alive[gone], merged[at], rank[gone], rank[at] = False, True, NONE, NONE
-        fresh = np.unique(np.concatenate((at, before[at])))
-        fresh = fresh[fresh < n]
+        touched[at] = touched[before[at]] = True
+        fresh = np.flatnonzero(touched[:n]).astype(np.int32)
+        touched[fresh] = touched[n] = False
         rank[fresh] = NONE
         fresh = fresh[stop[fresh] < end[fresh]]
     return np.flatnonzero(alive), np.flatnonzero(merged & alive)
