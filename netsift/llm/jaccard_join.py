@@ -127,9 +127,10 @@ def _candidates(numerator: int, denominator: int, back: int):
         n = np.zeros(len(names), np.int64)
         n[who] = sizes
         need = least_overlap(n, numerator, denominator)
-        owner = np.repeat(who, counts)
+        owner = np.repeat(who.astype(np.int32), counts)
         order = np.lexsort((token, df, owner))
         owner, token, df = owner[order], token[order], df[order]
+        del order
         # a hot token may come from its part and from a task that settled it
         new = np.ones(len(token), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])

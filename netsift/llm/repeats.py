@@ -135,12 +135,13 @@ def shared_tokens(parts: int, back: int):
         if part >= 2 * parts:
             return pa.table({"part": pa.array([back + part - 2 * parts] * len(payloads), pa.int32()), "payload": pa.array(payloads, pa.binary())})
         owners, sizes, counts, *tokens = joined(payloads)
+        del payloads
         token, told = (tokens[0], None) if part >= parts else (_whole(*tokens[:3], part, parts), _whole(*tokens[3:], part, parts))
+        del tokens
         names, first, who = np.unique(owners, return_index=True, return_inverse=True)
-        sizes = sizes[first]
+        sizes, who = sizes[first], np.repeat(who.astype(np.int32), counts)
         if part >= parts:
             # the tokens of an owner that several tasks settled stand once
-            who = np.repeat(who, counts)
             pair = np.lexsort((token, who))
             token, who = token[pair], who[pair]
             new = np.ones(len(token), bool)
@@ -148,8 +149,9 @@ def shared_tokens(parts: int, back: int):
             token, who = token[new], who[new]
             df = np.full(len(token), FREQUENT, np.uint16)
         else:
-            order = np.lexsort((np.repeat(who, counts), token))
-            token, who = token[order], np.repeat(who, counts)[order]
+            order = np.lexsort((who, token))
+            token, who = token[order], who[order]
+            del order
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (who[1:] != who[:-1])
             token, who = token[new], who[new]
