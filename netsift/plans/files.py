@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsift.functions import text as T
-from netsift.operators import cases, checks, scoring
+from netsift.operators import cases, checks, model, scoring
 from netsift.operators.numbering import ranked
 from netsift.plans import queries as plain
-from netsift.schema import STAND_IN
+from netsift.schema import COLUMNS, STAND_IN
 from netsift.sources import captures, store
 from netsift.sources.fixtures import packets
 from netsift.sources.folders import checkpointed, new_folder
@@ -134,3 +134,13 @@ GROUP BY {_SESSION}, session)""",
 def session_flows(spark: SparkSession, d: str) -> DataFrame:
     """The live flows over a finished table: what two hours without a packet close."""
     return live.live_flows(packets(spark, d)).select("case_id", "first_packet", "source_ip", "source_port", "destination_ip", "destination_port", "protocol", F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"), *_LIVE)
+
+
+_PARTS = " UNION ALL ".join(f"SELECT case_id, flow_index, '{c}' AS feature, round(((class_id * 7 + {f} * 13 + class_id * {f} * 3) % 11 - 5) / 100.0 * z{f}, 5) + 0.0 AS shap_value FROM named" for f, c in enumerate(COLUMNS))
+
+
+@_query("contribution_rows", f"{plain._MODEL_SQL} SELECT case_id, flow_index, feature, shap_value FROM ({_PARTS})")
+def contribution_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What each of the 74 features adds to the margin of each flow's class, feature by feature."""
+    scored, bundle = plain._scored_features(spark, d)
+    return model.feature_contributions(scored, bundle).select("case_id", "flow_index", "feature", (F.round("shap_value", 5) + 0.0).alias("shap_value"))
