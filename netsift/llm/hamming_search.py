@@ -9,9 +9,10 @@ radius of a whole segment everything is covered, so each query ends by what its
 A code holds the signs of a vector's components (1 for a positive one). Equal codes form one class, named by the
 code itself: it is searched for and found once, with its k smallest ids, enough for any answer.
 
-On Spark: a segment's index is dealt by the upper bits of its values into parts of about PER_PART codes, once; a part
+On Spark: a segment's index is dealt by the upper bits of its values into parts of about PER_PART codes; a part
 that holds more than twice that is split by a hash of the code. A query goes to the parts whose upper bits are no
-farther than the radius, and looks up there what is left of it in the lower bits. What a part verifies is cut to k
+farther than the radius, and looks up there what is left of it in the lower bits; parts that no query goes to are left
+out of a round before its exchange. What a part verifies is cut to k
 a query and to the query's kth distance so far, and a code that several segments find is reported by the one
 that meets it first.
 
@@ -34,13 +35,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsift.llm.common import checkpointed, shuffle_parts, spans
+from netsift.llm.common import checkpointed, spans
 
 K = 10
 #: Bytes before a code that say how many components the vector has.
 LENGTH = 4
 #: Codes of a part of an index, by which its upper bits are chosen.
 PER_PART = 16_384
+#: Names of parts, 28 bytes each, that are broadcast.
+BROADCAST_PARTS = 200_000
 #: Values that a task looks up at once.
 AT_ONCE = 1 << 20
 #: The radius up to which the first round goes; a round for radius 0 alone would cost more than it spares.
@@ -123,6 +126,28 @@ def _indexed(layouts: dict[int, Layout]):
     return run
 
 
+def _upper_near(layout: Layout, radius: int) -> np.ndarray:
+    """What the upper bits of a part within the radius may differ by."""
+    return np.concatenate([at_distance(layout.upper, d) for d in range(min(radius, layout.upper) + 1)])
+
+
+def _parts_within(layouts: dict[int, Layout], radius: int):
+    """The parts that any query of a batch goes to, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bits, mine in _by_length(batch):
+                layout, codes = layouts[bits], _matrix(mine.column("ask"))
+                near = _upper_near(layout, radius)
+                for j, (a, b) in enumerate(zip(layout.edges, layout.edges[1:])):
+                    own = np.unique(segment_values(codes, a, b) >> (b - a - layout.upper))
+                    for s in range(0, len(own), step := max(1, AT_ONCE // len(near))):
+                        upper = np.unique(own[s : s + step][:, None] ^ near)
+                        yield pa.RecordBatch.from_pydict({"bits": pa.array(np.full(len(upper), bits, np.int32)), "segment": pa.array(np.full(len(upper), j, np.int32)), "upper": pa.array(upper)})
+
+    return run
+
+
 def _sent(layouts: dict[int, Layout], radius: int):
     """Every query for each part whose upper bits are within the radius."""
 
@@ -130,7 +155,7 @@ def _sent(layouts: dict[int, Layout], radius: int):
         for batch in batches:
             for bits, mine in _by_length(batch):
                 layout, codes = layouts[bits], _matrix(mine.column("ask"))
-                near = np.concatenate([at_distance(layout.upper, d) for d in range(min(radius, layout.upper) + 1)])
+                near = _upper_near(layout, radius)
                 for j, (a, b) in enumerate(zip(layout.edges, layout.edges[1:])):
                     own = segment_values(codes, a, b) >> (b - a - layout.upper)
                     for s in range(0, len(own), step := max(1, AT_ONCE // 16 // len(near))):
@@ -233,13 +258,34 @@ def index_parts(classes: DataFrame, layouts: dict[int, Layout], per_part: int) -
     salts = checkpointed(salts.select(*key, F.ceil(F.col("count") / per_part).cast("int").alias("salts")))
     salt = F.pmod(F.xxhash64("code"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
     salted = entries.join(salts, key, "left").select(*key, salt, "first", "code")
-    return checkpointed(salted.repartition(shuffle_parts(classes.sparkSession), *key, "salt").sortWithinPartitions(*key, "salt")), salts
+    # not dealt here: Spark forgets how a checkpoint is partitioned, so each round deals what is asked for
+    return checkpointed(salted), salts
+
+
+def _by_salt(rows: DataFrame, salts: DataFrame) -> DataFrame:
+    """Rows of parts, once for each salt of their part."""
+    key = ["bits", "segment", "upper"]
+    rest = [c for c in rows.columns if c not in key]
+    return rows.join(salts, key, "left").select(*key, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), *rest)
+
+
+def asked_parts(index: DataFrame, salts: DataFrame, asks: DataFrame, layouts: dict[int, Layout], radius: int, most: int) -> DataFrame:
+    """The entries of those parts that queries (bits, ask) go to at a radius; most: how many parts and salts there are at most.
+
+    Up to BROADCAST_PARTS of them are broadcast, and other entries aren't even exchanged; beyond that the join is on all
+    that the search groups by, so that both share one exchange."""
+    parts = asks.select("bits", "ask").mapInArrow(_parts_within(layouts, radius), "bits int, segment int, upper long").distinct()
+    parts = _by_salt(parts, salts)
+    return index.join(F.broadcast(parts) if most <= BROADCAST_PARTS else parts, ["bits", "segment", "upper", "salt"], "left_semi")
 
 
 def nearest_codes(classes: DataFrame, asks: DataFrame, k: int, *, per_part: int = PER_PART) -> DataFrame:
     """ask, distance, first and found: the k nearest classes of every code asked for."""
     # a row for each length of vectors: fewer than the longest vector has components
-    layouts = {r["bits"]: Layout.of(r["bits"], r["count"], per_part) for r in classes.groupBy("bits").count().collect()}
+    codes = {r["bits"]: r["count"] for r in classes.groupBy("bits").count().collect()}
+    layouts = {bits: Layout.of(bits, n, per_part) for bits, n in codes.items()}
+    # a part has salts only from twice per_part on, at most one and a half for each per_part codes
+    most = sum(x.segments * ((1 << x.upper) + 2 * codes[bits] // per_part) for bits, x in layouts.items())
     index, salts = index_parts(classes, layouts, per_part)
     key = ["bits", "segment", "upper"]
     cut = asks.sparkSession.createDataFrame([(b, x.segments, x.width) for b, x in layouts.items()], "bits int, segments int, width int")
@@ -249,8 +295,8 @@ def nearest_codes(classes: DataFrame, asks: DataFrame, k: int, *, per_part: int
     kth = F.when(F.size("near") >= k, F.element_at("near", F.least(F.lit(k), F.greatest(F.size("near"), F.lit(1))))["distance"])
     while True:
         sent = state.select("bits", "ask", F.coalesce(kth, "bits").alias("bound")).mapInArrow(_sent(layouts, radius), "bits int, segment int, upper long, ask binary, bound int")
-        sent = sent.join(salts, key, "left").select(*key, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "ask", "bound")
-        found = index.groupBy(*key, "salt").cogroup(sent.groupBy(*key, "salt")).applyInArrow(_searched(layouts, range(done + 1, radius + 1), k), FOUND)
+        sent = _by_salt(sent, salts)
+        found = asked_parts(index, salts, state, layouts, radius, most).groupBy(*key, "salt").cogroup(sent.groupBy(*key, "salt")).applyInArrow(_searched(layouts, range(done + 1, radius + 1), k), FOUND)
         order = Window.partitionBy("ask").orderBy("distance", "first", "found")
         found = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
         new = found.groupBy("ask").agg(F.collect_list(F.struct("distance", "first", "found")).alias("new"))

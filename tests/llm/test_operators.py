@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from netsift.llm import chat_format, decontamination, language_id, licenses, warc
+from netsift.llm import chat_format, decontamination, hamming_search, language_id, licenses, warc
 from netsift.llm.common import shared_folder
 from netsift.llm.hamming_search import nearest
 from netsift.llm.jaccard_join import near_duplicate_components
@@ -350,6 +350,27 @@ def test_hamming_search_in_split_parts(spark):
     assert got == sorted(want)
 
 
+def test_hamming_search_hands_on_asked_parts_only(spark):
+    """One query at radius 0 meets one part of each segment, at radius 1 those of its neighbours; all codes stay reachable."""
+    rnd = np.random.default_rng(10)
+    codes = [(24).to_bytes(4, "big") + rnd.integers(0, 256, 3, np.uint8).tobytes() for _ in range(3000)]
+    classes = spark.createDataFrame([(24, i, c) for i, c in enumerate(sorted(set(codes)))], "bits int, first long, code binary")
+    layout = hamming_search.Layout.of(24, 3000, 100)
+    index, salts = hamming_search.index_parts(classes, {24: layout}, 100)
+    asks = spark.createDataFrame([(24, codes[0])], "bits int, ask binary")
+    own = [int.from_bytes(codes[0][4:], "big") >> (24 - b) & (1 << (b - a)) - 1 for a, b in zip(layout.edges, layout.edges[1:])]
+    for radius in range(layout.upper + 1):
+        near = {(j, u) for j, (a, b) in enumerate(zip(layout.edges, layout.edges[1:])) for u in range(1 << layout.upper) if ((own[j] >> (b - a - layout.upper)) ^ u).bit_count() <= radius}
+        got = hamming_search.asked_parts(index, salts, asks, {24: layout}, radius, 0).groupBy("segment", "upper").count().collect()
+        told = hamming_search.asked_parts(index, salts, asks, {24: layout}, radius, 1000).groupBy("segment", "upper").count().collect()
+        assert sorted(map(tuple, told)) == sorted(map(tuple, got))
+        assert {(r.segment, r.upper) for r in got} <= near
+        read, whole = sum(r["count"] for r in got), index.count()
+        assert read == index.where(F.concat_ws(",", "segment", "upper").isin([f"{j},{u}" for j, u in near])).count()
+        assert read < whole / 8 if radius == 0 else read <= whole
+    assert layout.upper > 3 and read == whole
+
+
 def _foreign(kind, block, **fields):
     head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
     return f"WARC/1.0\r\nWARC-Type: {kind}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
