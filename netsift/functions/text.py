@@ -63,11 +63,21 @@ def class_key(name: Column) -> Column:
 
 
 def general_value(x: Column) -> Column:
-    """%.6g without trailing zeros of the mantissa; N/A for null."""
-    tidy = F.regexp_replace(F.regexp_replace(F.format_string("%.6g", x), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    """%.6g without trailing zeros of the mantissa; N/A for null. Ties are told by the exact binary value and go to even,
+    as in C and Python: format_string rounds the shortest decimal up, format_number does not."""
+    to_six = lambda y: F.call_function("format_number", y, F.lit("0.00000E0")).try_cast("double")
+    # of a whole double Java doesn't know that its digits are exact, of a long it does
+    six = F.when((F.abs(x) < 2.0**63) & (x == F.floor(x)), to_six(x.cast("long"))).otherwise(to_six(x))
+    six = F.when(F.isnan(x) | (F.abs(x) == float("inf")) | (x == 0), x).otherwise(six)
+    tidy = F.regexp_replace(F.regexp_replace(F.format_string("%.6g", six), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
     return F.when(x.isNull(), "N/A").otherwise(tidy)
 
 
+def percent(share: Column) -> Column:
+    """A share as %.2f%%, ties as in `general_value`."""
+    return F.concat(F.call_function("format_number", share * 100, F.lit("0.00")), F.lit("%"))
+
+
 def filled(*texts: Column, default: str | None = None) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.when(t != "", t) for t in texts], F.lit(default))
@@ -80,11 +90,11 @@ def filled_number(*values: Column) -> Column:
 
 def headline(predicted: Column, confidence: Column, strongest: Column) -> Column:
     """The sentence on a flow's prediction and its strongest contributor, a struct with feature and direction."""
-    percent = F.format_string("%.2f%%", confidence * 100)
+    sure = percent(confidence)
     did = F.when(strongest["direction"] == "supports_prediction", "supported").when(strongest["direction"] == "opposes_prediction", "opposed")
     did = did.when(strongest["direction"] == "neutral", "had a neutral effect on").otherwise("influenced")
-    some = F.format_string(HEADLINE["some"], predicted, percent, strongest["feature"], did)
-    return F.when(strongest.isNull(), F.format_string(HEADLINE["none"], predicted, percent)).otherwise(some)
+    some = F.format_string(HEADLINE["some"], predicted, sure, strongest["feature"], did)
+    return F.when(strongest.isNull(), F.format_string(HEADLINE["none"], predicted, sure)).otherwise(some)
 
 
 def narration(predicted: Column, contributors: Column) -> Column:
@@ -100,7 +110,7 @@ def narration(predicted: Column, contributors: Column) -> Column:
 def prompt(predicted: Column, confidence: Column, contributors: Column, n: int = 5) -> Column:
     """A grounded prompt for one flow: its class, confidence and first n contributors. No model is called."""
     line = lambda x: F.concat(F.lit("- "), x["feature"], F.lit(": value "), general_value(x["raw_value"]), F.lit(", contribution "), general_value(x["shap_value"]), F.lit(", "), x["direction"])
-    sure = F.when(confidence.isNull(), "Not provided").otherwise(F.format_string("%.2f%%", confidence * 100))
+    sure = F.when(confidence.isNull(), "Not provided").otherwise(percent(confidence))
     head = F.concat(F.lit("Explain only from these facts.\nPredicted class: "), F.coalesce(predicted, F.lit("Unknown")), F.lit("\nConfidence: "), sure, F.lit("\n"))
     lines = F.array_join(F.transform(F.slice(contributors, 1, n), line), "\n")
     return F.concat(head, F.coalesce(lines, F.lit("")))
