@@ -35,7 +35,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates one row with the smallest id; documents without an id all stay, and so do
-    those that are linked with nothing. Rows are told apart by a hash of id and text, not by the id alone."""
+    those that are linked with nothing. Rows are told apart by a hash of id and text, not by the id alone.
+
+    Whole documents are never sorted: the rows that go are made into a hash table part by part, numbers only, and
+    documents stream by."""
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
     row, names = _new_name(docs), [f"`{c}`" for c in docs.columns]
     docs = docs.withColumn(row, key)
@@ -45,8 +48,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows = checkpointed(linked.withColumnRenamed("doc_id", row).join(ids, row))
     first = rows.groupBy("component_id").agg(F.min(F.struct("id", row)).alias("first")).select(F.col("first")[row].alias(row))
     first = checkpointed(first)
-    out = docs.join(rows.join(first, row, "left_anti").select(row), row, "left_anti")
-    again = rows.where("count > 1").join(first, row, "left_semi").select(row)
+    gone = rows.join(first, row, "left_anti").select(row).hint("shuffle_hash")
+    out = docs.join(gone, row, "left_anti")
+    again = rows.where("count > 1").join(first, row, "left_semi").select(row).hint("shuffle_hash")
     if not again.isEmpty():
         out = out.join(again, row, "left_anti").unionByName(out.join(again, row, "left_semi").dropDuplicates([row]))
     return out.select(*names)
