@@ -29,7 +29,7 @@ def _new_name(docs: DataFrame) -> str:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; the others go."""
+    """Documents in a language that the labelled ones teach, with lang as told from the text; those without a letter go."""
     return in_known_language(docs, train(docs.where(~held_out())))
 
 
@@ -70,8 +70,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 2048 tokens."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The documents' pieces in sequences of at most 2048 tokens, with the language of their document."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), carry=("lang",))
 
 
 STAGES = [(f.__name__, f) for f in (language_id, ngram_jaccard_join, suffix_array_dedup, benchmark_decontamination, best_fit_packing)]

@@ -1,6 +1,6 @@
 """Language of whole texts by multinomial naive Bayes over hashed character n-grams.
 
-The counts of a bounded sample of labelled rows are gathered by Spark; the matrix of log-probabilities, languages x
+The counts of all labelled rows, or of a sample if one is asked for, are gathered by Spark; the matrix of log-probabilities, languages x
 BUCKETS numbers whatever the corpus, is broadcast. Batches of texts become sparse counts, how often each n-gram bucket
 occurs in each text, and these times the rows of the matrix are added up by text.
 
@@ -26,9 +26,9 @@ from netsift.llm.common import mix, runs, text_groups
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
-#: The sample of labelled rows is thinned by a hash of their id to about so many, the same number of each label, but
-#: to no fewer than LEAST_ROWS of a label.
-SAMPLE_ROWS, LEAST_ROWS = 20_000, 500
+#: A sample of labelled rows is thinned by a hash of their id, to the same number of each label, but to no fewer of a
+#: label than this.
+LEAST_ROWS = 500
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Characters that are counted at once, and numbers of the matrix that are taken at once.
@@ -109,17 +109,18 @@ class Model:
         return [self.languages[i] for i in best], 1 / np.exp(total).sum(axis=1)
 
 
-def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model from about sample_rows labelled rows, or all if there are fewer; None without any.
+def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", doc_id: str = "doc_id", sample_rows: int | None = None) -> Model | None:
+    """A model from all labelled rows, None without any; the shares of the labels are the prior.
 
-    Each label keeps up to an equal share of the sample, or LEAST_ROWS if that is more; the shares of all labelled rows
-    are the prior.
+    With sample_rows from about so many, or all if there are fewer: each label keeps up to an equal share of the
+    sample, or LEAST_ROWS if that is more.
     """
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).withColumn(label, F.col(label).cast("string"))
     sizes = dict(rows.groupBy(label).count().collect())
     if not sizes:
         return None
-    languages, most = sorted(sizes), max(LEAST_ROWS, sample_rows // len(sizes))
+    languages = sorted(sizes)
+    most = max(sizes.values()) if sample_rows is None else max(LEAST_ROWS, sample_rows // len(sizes))
     if any(n > most for n in sizes.values()):
         whole = 1 << 30
         share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(whole, whole * most // n))])
@@ -159,24 +160,24 @@ def predict(documents: DataFrame, model: Model | None, *, text: str = "text", ca
     return out.select(*[F.col("carried")[c].alias(c) for c in carry], "lang_pred", "score")
 
 
-def _known(model, text: int, least: float):
+def _known(model, text: int, label: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in text_groups(batch, text):
                 texts = group.column(text).to_pylist()
-                keep, at = np.zeros(len(texts), bool), [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-                if model is not None and at:
-                    keep[at] = model.value.score([texts[i] for i in at])[1] >= least
-                yield group.filter(pa.array(keep))
+                at = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model is not None else []
+                kept = group.take(pa.array(at, pa.int64()))
+                told = pa.array(model.value.score([texts[i] for i in at])[0] if at else [], kept.schema.field(label).type)
+                yield kept.set_column(label, kept.schema.field(label), told)
 
     return run
 
 
-def in_known_language(documents: DataFrame, model: Model | None, *, text: str = "text", least: float = 0.0) -> DataFrame:
-    """The documents, whole rows, whose language has at least the probability `least`; at 0 those go that `predict`
-    calls `und`, and no others."""
+def in_known_language(documents: DataFrame, model: Model | None, *, text: str = "text", label: str = "lang") -> DataFrame:
+    """The documents, whole rows, that `predict` doesn't call `und`; their label becomes the language that it tells from the
+    text. Labels are only what the model learned from: rows without one get theirs, and a wrong one does not stay."""
     sent = None if model is None else documents.sparkSession.sparkContext.broadcast(model)
-    return documents.mapInArrow(_known(sent, documents.columns.index(text), least), documents.schema)
+    return documents.mapInArrow(_known(sent, documents.columns.index(text), documents.columns.index(label)), documents.schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -184,7 +185,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify_languages(documents: DataFrame, *, text: str = "text", label: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def identify_languages(documents: DataFrame, *, text: str = "text", label: str = "lang", doc_id: str = "doc_id", sample_rows: int | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, learned from those that are not held out."""
     model = train(documents.where(~held_out(doc_id)), text=text, label=label, doc_id=doc_id, sample_rows=sample_rows)
     out = predict(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)

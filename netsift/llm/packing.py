@@ -7,8 +7,8 @@ the bins left open at the end of a task are few beside those it closed. Long doc
 
 A document's ids are those of the tokenizer for its whole text, then END. Only documents longer than a sequence are
 cut, into full pieces and a last one. Null text counts as empty: one piece that holds END alone. Repeated rows are
-packed as often as they stand; rows with equal ids are one document to no one but the reader. Other columns are
-ignored. An empty table gives an empty result.
+packed as often as they stand; rows with equal ids are one document to no one but the reader. Columns named by `carry`
+follow the pieces, others are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -130,22 +130,22 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _pieces(path: str, length: int, end: int):
+def _pieces(path: str, length: int, end: int, carry: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         for batch in batches:
             for group in text_groups(batch, limit=500_000):
-                out = []
+                out, row = [], []
                 ids_of = words.encode([t or "" for t in group.column(1).to_pylist()])
-                for doc, ids in zip(group.column(0).to_pylist(), ids_of, strict=True):
+                for i, (doc, ids) in enumerate(zip(group.column(0).to_pylist(), ids_of, strict=True)):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), length)):
                         piece = ids[start : start + length]
+                        row.append(i)
                         out.append((doc, k, start, len(piece), zlib.crc32(piece.tobytes())))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)]
+                columns += [group.column(2 + k).take(pa.array(row, pa.int64())) for k in range(len(carry))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *carry])
 
     return run
 
@@ -185,7 +185,7 @@ class Bins:
         return number
 
 
-def _place(length: int, open_bins: int):
+def _place(length: int, open_bins: int, carry: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -195,18 +195,20 @@ def _place(length: int, open_bins: int):
             placed = [bins.place(n) for n in batch.column("length").to_pylist()]
             columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             columns += [pa.array([base + number for number, _ in placed], pa.int64()), pa.array([offset for _, offset in placed], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            columns += [batch.column(c) for c in carry]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *carry])
 
     return run
 
 
 def pack_documents(
-    documents: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, end: int = END, open_bins: int = OPEN_BINS, per_task: int = PER_TASK
+    documents: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, end: int = END, open_bins: int = OPEN_BINS, per_task: int = PER_TASK, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per piece: where it comes from, its checksum, and its place in a sequence."""
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """One row per piece: where it comes from, its checksum, its place in a sequence, and the carried columns of its document."""
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
+    more = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     tasks = max(1, round((size["n"] + size["bytes"] / BYTES_PER_ID / length) / per_task))
-    pieces = rows.mapInArrow(_pieces(tokenizer, length, end), PIECES)
+    pieces = rows.mapInArrow(_pieces(tokenizer, length, end, carry), PIECES + more)
     dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "start")).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(_place(length, open_bins), PLACED)
+    return dealt.mapInArrow(_place(length, open_bins, carry), PLACED + more)

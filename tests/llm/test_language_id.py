@@ -92,3 +92,23 @@ def test_a_rare_label_is_learned(spark, monkeypatch):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4, "xyzzy zyx").otherwise("abba cab").alias("text"), F.when(F.col("id") < 4, "rare").otherwise("common").alias("lang"))
     model = L.train(docs, sample_rows=100)
     assert model.languages == ["common", "rare"] and model.score(["zyx xyz"])[0] == ["rare"]
+
+
+def test_the_stage_of_the_pipeline_tells_every_language(spark):
+    """Into lang, for rows without a label and for those with a wrong one, and on to the packed pieces; und go."""
+    import corpus_pipeline
+
+    rows = [(i, *(("abba cab", "a"), ("xyzzy zyx", "x"))[i % 2]) for i in range(40)] + [(40, "abba", None), (42, "zyx zyx zyx", "a"), (43, "123", "a"), (44, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.language_id(spark, docs, "")
+    assert out.columns == docs.columns and {r.doc_id: r.lang for r in out.collect()} == {**{i: "ax"[i % 2] for i in range(40)}, 40: "a", 42: "x"}
+    packed = corpus_pipeline.best_fit_packing(spark, out.where("doc_id >= 40"), "")
+    assert {r.doc_id: r.lang for r in packed.collect()} == {40: "a", 42: "x"}
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """One more than the 20,000 of the sample that was the default, and the only one of its letters."""
+    docs = spark.range(20_201).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 20_200, "qqqq").otherwise("ab").alias("text"), F.lit("a").alias("lang"))
+    docs = docs.union(spark.createDataFrame([(-1, "b", "b")], docs.schema))
+    rows = L.train(docs.where("doc_id <> 20200")).rows, L.train(docs).rows
+    assert not np.array_equal(*rows)
